@@ -1,6 +1,6 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a text: densities and counts of words from a fixed lexicon and from one learned on the training
+Features of a text: densities and counts of words from a fixed lexicon and of stems learned on the training
 rows, how many of them stand near a second-person word, shares of capitals, punctuation, marks and digits,
 and rates of obfuscation (letters swapped for digits or marks, spelled-out words, stretched letters).
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, fold_of, lower_ascii, materialize, slices, span_sums, text_bytes
 
-TRAIN_ROWS, LEARNED_WORDS, MIN_DOCS, TREES, DEPTH = 12_000, 40, 8, 20, 4
+TRAIN_ROWS, LEARNED_WORDS, MIN_DOCS, TREES, DEPTH = 12_000, 60, 8, 20, 4
 # Insults and second-person words of the languages at hand.
 LEXICON = (
     "idiot moron stupid dumb loser pathetic disgusting worthless trash scum clown fool imbecile jerk bastard bitch asshole shit fuck crap "
@@ -56,7 +56,12 @@ def text_features(batch: pa.RecordBatch, learned: frozenset[bytes], name: str =
     size = np.maximum(np.diff(off), 1)
     kind = _CLASS[data]
     share = [span_sums(kind == i, off) / size for i in range(1, 6)]
-    fixed = _LEXICON
+    fixed, lengths = _LEXICON, sorted({len(w) for w in learned})
+    heads = frozenset(w[:3] for w in learned)
+
+    def listed(words: list[bytes]) -> list[int]:
+        return [k for k, w in enumerate(words) if w in fixed or (w[:3] in heads and any(w[:n] in learned for n in lengths))]
+
     out = np.zeros((batch.num_rows, len(FEATURES)))
     for i, raw in enumerate(as_bytes(batch, name)):
         low = raw.lower()
@@ -64,16 +69,16 @@ def text_features(batch: pa.RecordBatch, learned: frozenset[bytes], name: str =
         if not words:
             continue
         n = len(words)
-        hits = [k for k, w in enumerate(words) if w in fixed or w in learned]
+        hits = listed(words)
         if any(c in low for c in (b"!", b"*", b"$", b"@", b"#", b"|")):
             words = [w.strip(_EDGES) for w in words]
-            hits = [k for k, w in enumerate(words) if w in fixed or w in learned]
+            hits = listed(words)
         own = sum(words[k] in fixed for k in hits)
         near = sum(any(w in SECOND_PERSON for w in words[max(0, k - 3) : k + 4]) for k in hits)
         masked = [m.translate(LEET) for m in _MASKED.findall(low)]
-        found = sum(_holds(m, fixed, learned) for m in masked)
+        found = sum(_holds(m, fixed) for m in masked) + len(listed(masked))
         spelled = [re.sub(rb"[^a-z]", b"", m) for m in _SPELLED.findall(low)]
-        told = sum(m in fixed or m in learned for m in spelled)
+        told = len(listed(spelled))
         out[i, :5] = own, own / n, len(hits) - own, (len(hits) - own) / n, near / n
         out[i, 10:] = found + told, len(masked) / n, len(spelled) / n, len(_STRETCHED.findall(low)) / n, np.log1p(n), len(low) / n
     out[:, 5:10] = np.stack(share, axis=1)
@@ -83,14 +88,13 @@ def text_features(batch: pa.RecordBatch, learned: frozenset[bytes], name: str =
 _LEXICON = frozenset(w.encode() for w in LEXICON)
 
 
-def _holds(masked: bytes, *lexicons) -> bool:
+def _holds(masked: bytes, lexicon: frozenset[bytes]) -> bool:
+    """Whether a word of the lexicon fits where stars stand for any letter."""
     word = masked.strip(b"*")
-    if any(word in x for x in lexicons):
-        return True
     if b"*" not in word or len(word) < 4:
         return False
     pattern = re.compile(re.escape(word).replace(rb"\*", b"."))
-    return any(pattern.fullmatch(w) for x in lexicons for w in x)
+    return any(pattern.fullmatch(w) for w in lexicon)
 
 
 def add_features(docs: DataFrame, learned: frozenset[bytes], keep: tuple[str, ...]) -> DataFrame:
@@ -115,18 +119,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int) ->
 
 
 def learn_lexicon(train: DataFrame, size: int = LEARNED_WORDS, least: int = MIN_DOCS) -> frozenset[bytes]:
-    """Words whose share among toxic documents stands out; ranked by the log odds over their standard error."""
+    """Word beginnings of 4 to 6 letters that stand out among toxic documents, so that endings don't hide a stem.
+
+    Ranked by the log odds over their standard error; one that begins another, or begins with it, adds nothing.
+    """
     count = train.agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
     n, pos = count["n"] or 0, count["pos"] or 0.0
     if not pos or pos == n:
         return frozenset()
-    words = train.select("label", F.explode(F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
-    by = words.groupBy("w").agg(F.sum("label").alias("p"), F.count("*").alias("a")).where(F.col("p") >= least)
+
+    def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            seen: dict[str, list[int]] = {}
+            for raw, toxic in zip(as_bytes(batch), batch.column(1).to_pylist(), strict=True):
+                for w in {w[:k] for w in set(raw.lower().translate(_NOT_WORD).decode("utf-8", "replace").split()) for k in range(4, 7) if len(w) >= k}:
+                    x = seen.setdefault(w, [0, 0])
+                    x[0] += toxic == 1
+                    x[1] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["w", "p", "a"])
+
+    by = train.select("text", "label").mapInArrow(stems, "w string, p long, a long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("a").alias("a")).where(F.col("p") >= least)
     q = F.col("a") - F.col("p")
     odds = F.log((F.col("p") + 0.5) / (pos - F.col("p") + 0.5)) - F.log((q + 0.5) / (n - pos - q + 0.5))
     rank = odds / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (q + 0.5))
-    top = by.where(odds > 3.0).orderBy(rank.desc(), "w").limit(size).collect()
-    return frozenset(r["w"].encode() for r in top)
+    chosen: list[str] = []
+    for r in by.where(odds > 2.5).orderBy(rank.desc(), F.length("w").desc(), "w").limit(20 * size).collect():
+        if len(chosen) < size and not any(c.startswith(r["w"]) or r["w"].startswith(c) for c in chosen):
+            chosen.append(r["w"])
+    return frozenset(w.encode() for w in chosen)
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, target: str = "toxic") -> DataFrame:
