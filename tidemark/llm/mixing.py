@@ -111,3 +111,11 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
         out = out.unionByName(more)
     copies = F.col("whole") + F.col("up")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it; rows alike in id and size share their copies evenly, rounded."""
+    plan = mix_documents(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    met = docs.join(plan.where("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_id")) & (size == F.col("_size")))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])

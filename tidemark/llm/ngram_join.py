@@ -271,3 +271,20 @@ def link_documents(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
     named = root.join(least, "component").select("node", "n_copies", "component_id")
     out = signed.select("doc_id", "node", "n_shingles").join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id, and of its repetitions one.
+
+    Only ids that go are joined to the texts, and only repeated ids are windowed.
+    """
+    linked = materialize(link_documents(spark, docs, n, num, den), "join-linked").where(F.col("doc_id").isNotNull())
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    by = linked.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(stays).alias("stay"))
+    by = materialize(by.where("rows > 1 or stay = 0"), "join-gone")
+    kept = docs.join(by.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    if by.where("stay > 0").isEmpty():
+        return kept
+    again = docs.join(by.where("stay > 0").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1)])
+    return kept.unionByName(again.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth"))

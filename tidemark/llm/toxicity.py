@@ -40,6 +40,8 @@ LEXICON = (
 SECOND_PERSON = frozenset(w.encode() for w in "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre usted tú ti eres".split())
 LEET = bytes.maketrans(b"013457@$!|*#", b"oieastasii**")
 FEATURES = ("hits", "density", "learned_hits", "learned_density", "near_you", "capitals", "punctuation", "marks", "digits", "exclaim", "masked_hits", "masked_rate", "spelled", "stretched", "log_words", "word_length")
+#: Names that no column of documents has.
+COLUMNS = tuple(f"_toxic_{f}" for f in FEATURES)
 _NOT_WORD = bytes(c if chr(c).isalnum() or c >= 128 or c in b"@$!*#|" else 32 for c in range(256))
 _EDGES = b"@$!*#|"
 _MASKED = re.compile(rb"[a-z]+[0-9@$!*#|]+[a-z][a-z0-9@$!*#|]*|[@$!0-9][a-z]{2,}[0-9@$!*]*[a-z]*")
@@ -98,15 +100,16 @@ def _holds(masked: bytes, lexicon: frozenset[bytes]) -> bool:
 
 
 def add_features(docs: DataFrame, learned: frozenset[bytes], keep: tuple[str, ...]) -> DataFrame:
-    rows = docs.select(*keep, "text")
+    """The ``keep`` columns and one column for each feature; text itself may be kept."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], docs["text"].alias("_text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            x = text_features(batch, learned)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(x[:, j]) for j in range(len(FEATURES))]], names=[*keep, *FEATURES])
+        for batch in slices(batches, "_text"):
+            x = text_features(batch, learned, "_text")
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(x[:, j]) for j in range(len(FEATURES))]], names=[*keep, *COLUMNS])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(measure, kinds + "".join(f", {f} double" for f in FEATURES))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return rows.mapInArrow(measure, kinds + "".join(f", {f} double" for f in COLUMNS))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
@@ -149,22 +152,38 @@ def learn_lexicon(train: DataFrame, size: int = LEARNED_WORDS, least: int = MIN_
     return frozenset(w.encode() for w in chosen)
 
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, target: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+def _scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], train_rows: int, target: str) -> DataFrame:
+    """The ``keep`` columns and _toxic_score."""
     train = materialize(training_rows(docs, labels, target, train_rows), "toxicity-train")
     learned = learn_lexicon(train)
     known = materialize(add_features(train, learned, ("doc_id", "label")), "toxicity-features").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
     by = {(r["label"], r["cal"]): r["count"] for r in known.groupBy("label", (F.col("part") == 0).alias("cal")).count().collect()}
     pos = sum(v for (y, _), v in by.items() if y == 1)
     total = sum(by.values())
-    rows = add_features(docs, learned, ("doc_id",))
+    rows = add_features(docs, learned, keep)
     if min(by.get((y, c), 0) for y in (0.0, 1.0) for c in (True, False)) < 2:
-        scored = rows.select("doc_id", F.lit((pos + 0.5) / (total + 1)).alias("score"))
-    else:
-        join = VectorAssembler(inputCols=list(FEATURES), outputCol="x")
-        trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=4, seed=7, maxMemoryInMB=64, cacheNodeIds=False)
-        model = trees.fit(join.transform(known.where("part <> 0")).select("x", "label").coalesce(4))
-        margin = lambda df: model.transform(join.transform(df)).withColumn("margin", vector_to_array("rawPrediction")[1])
-        curve = IsotonicRegression(featuresCol="margin", labelCol="label").fit(margin(known.where("part = 0")).select("margin", "label").coalesce(1))
-        scored = curve.transform(margin(rows).select("doc_id", "margin")).select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")).alias("score"))
-    return scored.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        return rows.withColumn("_toxic_score", F.lit((pos + 0.5) / (total + 1)))
+    join = VectorAssembler(inputCols=list(COLUMNS), outputCol="_toxic_x")
+    trees = GBTClassifier(featuresCol="_toxic_x", labelCol="label", predictionCol="_toxic_class", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=4, seed=7, maxMemoryInMB=64)
+    trees.set(trees.rawPredictionCol, "_toxic_raw")
+    trees.set(trees.probabilityCol, "_toxic_p")
+    model = trees.fit(join.transform(known.where("part <> 0")).select("_toxic_x", "label").coalesce(4))
+
+    def margin(df: DataFrame) -> DataFrame:
+        return model.transform(join.transform(df)).withColumn("_toxic_margin", vector_to_array("_toxic_raw")[1])
+
+    curve = IsotonicRegression(featuresCol="_toxic_margin", labelCol="label", predictionCol="_toxic_iso")
+    curve = curve.fit(margin(known.where("part = 0")).select("_toxic_margin", "label").coalesce(1))
+    return curve.transform(margin(rows)).withColumn("_toxic_score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "_toxic_iso")))
+
+
+def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, target: str = "toxic") -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    score = F.col("_toxic_score")
+    return _scored(spark, docs, labels, ("doc_id",), train_rows, target).select("doc_id", (fold_of() == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, target: str = "toxic", least: float = 0.5) -> DataFrame:
+    """docs without the rows that score ``least`` or more; all columns, texts untouched and not shuffled."""
+    kept = _scored(spark, docs, labels, tuple(docs.columns), train_rows, target).where(F.col("_toxic_score") < least)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
