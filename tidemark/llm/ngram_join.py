@@ -6,7 +6,7 @@ their Jaccard similarity reaches num/den; a node's component is what links reach
 Small sets (up to a size at which both ways cost the same, chosen from the sizes at hand) enumerate their
 subsets of the sizes that a link would have in common; two linked sets share such a subset. Large sets, and
 the small ones within reach of them, enter inverted lists of their prefix: the fewest elements that any
-linked set must hit, rarest first. The order comes from a sketch of element counts over all documents; any
+linked set must hit, rarest first, and some more for very large sets, which must then hit several. The order comes from a sketch of element counts over all documents; any
 order gives whole results, a good one short lists.
 
 Within a list, neighbours in order of (size, node) are compared first; what they link is contracted, and
@@ -75,6 +75,15 @@ def prefix_size(a: int, num: int, den: int) -> int:
     return a - -(-num * a // den) + 1
 
 
+def shared_least(a: int) -> int:
+    """How many elements two linked sets share within prefixes that are longer by as many less one (a: the smaller size).
+
+    The first elements that both have lie in both prefixes, so a link between large sets shows several times,
+    and a passage that two long texts share by chance doesn't make a candidate.
+    """
+    return 1 + min(a // 100, 24)
+
+
 def subset_sizes(a: int, num: int, den: int) -> list[int]:
     return sorted({c for b in partners(a, num, den) if (c := least_common(a, b, num, den)) <= min(a, b)})
 
@@ -158,7 +167,7 @@ def signatures(spark: SparkSession, rows: DataFrame, n: int, num: int, den: int)
                     mine.append(subset_keys(own, num, den))
                 if a and partners(a, num, den)[-1] > boundary:
                     rarity = order[(own >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                    p = prefix_size(a, num, den)
+                    p = min(a, prefix_size(a, num, den) + shared_least(a) - 1)
                     place = (rarity << _U(56)) | (mix64(own) >> _U(8))
                     mine.append(own[np.argpartition(place, p - 1)[:p]] if p < a else own)
                 keys += mine
@@ -239,11 +248,15 @@ def link_documents(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
     facts = one.select("node", "size", "parity")
     side = lambda s: facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns])
 
+    def shared(size: Column) -> Column:
+        return F.lit(1) + F.least(F.floor(size / 100), F.lit(24))
+
     def filtered(pairs: DataFrame) -> DataFrame:
         met = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-        return met.where(_may_link(F.col("size_a"), F.col("size_b"), F.col("parity_a"), F.col("parity_b"), num, den)).select("a", "b")
+        met = met.where(_may_link(F.col("size_a"), F.col("size_b"), F.col("parity_a"), F.col("parity_b"), num, den))
+        return met.where(F.col("times") >= shared(F.least("size_a", "size_b"))).select("a", "b")
 
-    chain = lists.where("prev is not null").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct()
+    chain = lists.where("prev is not null").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
     chain = materialize(filtered(chain), "join-chain")
     wanted = chain.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = rows.join(nodes.join(wanted, "node").select("node", F.col("rep").alias("doc_id")), "doc_id").select("node", "text")
@@ -251,21 +264,32 @@ def link_documents(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
     edges = materialize(verify(chain, sets, num, den), "join-edges")
     first = components(edges, "join-components")
 
-    # pairs that share a key and are still apart
-    apart = lists.join(first, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    apart = apart.join(split, "key").join(facts.select("node", "parity"), "node")
-    a, b = apart.alias("x"), apart.alias("y")
-    more = a.join(b, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(F.col("x.size"), F.col("y.size"), F.col("x.parity"), F.col("y.parity"), num, den))
-    more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = materialize(more.join(chain, ["a", "b"], "left_anti"), "join-more")
-    if more.isEmpty():
-        found = first
-    else:
+    # pairs that share keys and are still apart: all of them, or where they are many the likeliest of each node first
+    found, tested = first, chain
+    while True:
+        apart = lists.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+        split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        apart = apart.join(split, "key").join(facts.select("node", "parity"), "node")
+        x, y = apart.alias("x"), apart.alias("y")
+        more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(F.col("x.size"), F.col("y.size"), F.col("x.parity"), F.col("y.parity"), num, den))
+        more = more.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("times"), F.first(F.least("x.size", "y.size")).alias("size"))
+        more = materialize(more.where(F.col("times") >= shared(F.col("size"))).join(tested, ["a", "b"], "left_anti"), "join-more")
+        rows_left, heads = more.agg(F.count("*"), F.count_distinct("a")).first()
+        if not rows_left:
+            break
+        last = rows_left <= 16 * heads
+        if not last:
+            likely = Window.partitionBy("a").orderBy(F.desc(F.col("times") / F.col("size")), "b")
+            more = materialize(more.withColumn("nth", F.row_number().over(likely)).where("nth <= 3"), "join-likely")
+        more = more.select("a", "b")
         missing = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
         texts = rows.join(nodes.join(missing, "node").select("node", F.col("rep").alias("doc_id")), "doc_id").select("node", "text")
         sets = sets.unionByName(materialize(node_sets(texts, n), "join-sets"))
-        found = components(edges.unionByName(verify(more, sets, num, den)), "join-components")
+        edges = edges.unionByName(materialize(verify(more, sets, num, den), "join-edges"))
+        tested = tested.unionByName(more)
+        found = components(edges, "join-components")
+        if last:
+            break
     root = nodes.join(found, "node", "left").select("node", "rep", "n_copies", F.coalesce("component", "node").alias("component"))
     least = root.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = root.join(least, "component").select("node", "n_copies", "component_id")
