@@ -100,8 +100,8 @@ def subset_keys(own: np.ndarray, num: int, den: int) -> np.ndarray:
     word = mix64(own ^ _U(0x5851F42D4C957F2D))
     total, out = word.sum(dtype=np.uint64), []
     for c in subset_sizes(a, num, den):
-        without = [total - word[list(x)].sum(dtype=np.uint64) for x in combinations(range(a), a - c)]
-        out.append(mix64(np.array(without, np.uint64) + _U(c)))
+        gone = np.array([word[list(x)].sum(dtype=np.uint64) for x in combinations(range(a), a - c)], np.uint64)
+        out.append(mix64(np.full(len(gone), total, np.uint64) - gone + _U(c)))
     return np.unique(np.concatenate(out))
 
 
