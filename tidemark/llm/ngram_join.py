@@ -34,6 +34,8 @@ from tidemark.llm.common import as_bytes, list_column, materialize, mix64, slice
 
 #: Buckets of the count sketch, the least count that a task reports, and the most subsets of one small set.
 SKETCH_BITS, SKETCH_LEAST, MOST_SUBSETS = 22, 5, 512
+#: Bits of the map by which later rounds find the sets they compare.
+WANTED_BITS = 25
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
 _WORDS_KEPT = 500_000
@@ -211,6 +213,22 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(both * den >= union * num).select("a", "b")
 
 
+def wanted_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets whose nodes may occur in pairs: all that do, and few others.
+
+    A bitmap over hash slots of the pairs' nodes goes to every task: 2^WANTED_BITS bits at most (4 MB), whatever
+    the number of pairs. Where it is full it lets every set pass, and the join by node decides as ever.
+    """
+    slot = lambda c: F.pmod(F.col(c), F.lit(1 << WANTED_BITS))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(slot("node").alias("slot"))
+    bits = ends.groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(1 << 15))).alias("bits"))
+    placed = sets.withColumn("slot", slot("node")).withColumn("part", F.shiftright("slot", 15))
+    at = F.pmod("slot", F.lit(1 << 15))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("getbit(byte, CAST(slot % 8 AS INT))")
+    return placed.join(F.broadcast(bits), "part").withColumn("byte", byte).where(is_set == 1).select("node", "elements")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, component (the smallest node that edges reach), by alternating large and small stars.
 
@@ -285,7 +303,7 @@ def link_documents(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
         missing = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
         texts = rows.join(nodes.join(missing, "node").select("node", F.col("rep").alias("doc_id")), "doc_id").select("node", "text")
         sets = sets.unionByName(materialize(node_sets(texts, n), "join-sets"))
-        edges = edges.unionByName(materialize(verify(more, sets, num, den), "join-edges"))
+        edges = edges.unionByName(materialize(verify(more, wanted_sets(sets, more), num, den), "join-edges"))
         tested = tested.unionByName(more)
         found = components(edges, "join-components")
         if last:
