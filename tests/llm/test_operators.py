@@ -235,3 +235,17 @@ def test_pipeline(spark):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns
     assert corpus_pipeline.run(spark, sf).where("not round_trip").count() == 0
+
+
+def test_later_rounds_join_components_and_find_their_sets(spark):
+    from tidemark.llm.ngram_join import components, joined_components, wanted_sets
+
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first = components(edges([(1, 2), (2, 3), (10, 11), (20, 21)]))
+    found = joined_components(first, edges([(3, 11), (30, 31), (2, 1), (31, 5)]))
+    got = {r.node: r.component for r in found.collect()}
+    assert got == {2: 1, 3: 1, 10: 1, 11: 1, 21: 20, 30: 5, 31: 5}
+    assert {r.node: r.component for r in joined_components(found, edges([(1, 11)])).collect()} == got
+    sets = spark.createDataFrame([(i * 7919 - 5000, [i]) for i in range(500)], "node long, elements array<long>")
+    pairs = edges([(i * 7919 - 5000, (i + 1) * 7919 - 5000) for i in range(0, 40, 2)])
+    assert {i * 7919 - 5000 for i in range(40)} == {r.node for r in wanted_sets(sets, pairs).collect()}

@@ -250,6 +250,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def joined_components(found: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
+    """node, component after more edges: only edges between components are looked at, each component as one node.
+
+    A component's smallest node, which stands for it, has no row of its own in ``found`` until it is joined to another.
+    """
+    at = lambda end: F.coalesce(f"component_{end}", end).alias(end)
+    of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
+    between = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(at("a"), at("b"))
+    between = materialize(between.where("a <> b").distinct(), name)
+    if between.isEmpty():
+        return found
+    new = components(between, name)
+    moved = found.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return materialize(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(new), name)
+
+
 def link_documents(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (rows of the same set) for each row of docs."""
     rows = docs.select("doc_id", "text")
@@ -303,9 +319,9 @@ def link_documents(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
         missing = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
         texts = rows.join(nodes.join(missing, "node").select("node", F.col("rep").alias("doc_id")), "doc_id").select("node", "text")
         sets = sets.unionByName(materialize(node_sets(texts, n), "join-sets"))
-        edges = edges.unionByName(materialize(verify(more, wanted_sets(sets, more), num, den), "join-edges"))
+        linked = materialize(verify(more, wanted_sets(sets, more), num, den), "join-edges")
         tested = tested.unionByName(more)
-        found = components(edges, "join-components")
+        found = joined_components(found, linked, "join-components")
         if last:
             break
     root = nodes.join(found, "node", "left").select("node", "rep", "n_copies", F.coalesce("component", "node").alias("component"))
