@@ -113,11 +113,14 @@ def add_features(docs: DataFrame, learned: frozenset[bytes], keep: tuple[str, ..
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int) -> DataFrame:
-    """doc_id, text, label of at most ``rows`` labelled documents outside the held-out fold, a fixed choice."""
+    """doc_id, text, label of at most ``rows`` labelled documents outside the held-out fold, a fixed choice.
+
+    The chosen ids and labels, ``rows`` of them at most, are broadcast, so that other documents' texts are not shuffled.
+    """
     marked = labels.where(F.col(target).isin(0, 1)).where(F.col("doc_id").isNotNull()).where(fold_of() != 0).select("doc_id", F.col(target).cast("double").alias("label"))
     order = F.xxhash64("doc_id", F.lit(3))
     few = marked.orderBy(order, "doc_id", "label").limit(rows)
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
     return found.withColumn("key", F.xxhash64("text")).dropDuplicates(["key", "label"]).drop("key")
 
 
