@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark import registry
+from tidemark import registry_cycle as registry
 from tidemark.functions import stats, text
 from tidemark.operators import rollup, series, topics
 from tidemark.plans import views
@@ -24,7 +24,7 @@ def plain(v):
 @pytest.mark.parametrize("name", ["daily_rollup", "near_dups", "language_guess", "quota_topk", "robust_baseline", "bh_correction", "nearest_topic", "trend_scores", "source_health"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in "events documents embeddings lineitem customer orders nation pages labels conversations".split():
+    for t in "events documents embeddings lineitem supplier customer orders nation pages labels conversations".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = registry.queries()[name](spark, SF)
     found = con.execute(registry.oracle_sql()[name])

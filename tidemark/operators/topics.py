@@ -48,9 +48,9 @@ def centroid_drift(assigned: DataFrame, topics: DataFrame, rate: float = 0.02) -
 
 
 def coherence(rows: DataFrame, key: str) -> DataFrame:
-    """Mean pairwise cosine of each group without pairs: (|sum u|^2 - n) / (n (n - 1)) on unit vectors."""
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    unit = rows.select(key, F.posexplode(F.transform("embedding", lambda x: x / norm)).alias("i", "u"))
+    """Mean pairwise cosine of each group without pairs: (|sum u|^2 - n) / (n (n - 1)) on unit vectors; zero vectors are left out."""
+    norm = F.nullif(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), F.lit(0.0))
+    unit = rows.where(norm.isNotNull()).select(key, F.posexplode(F.transform("embedding", lambda x: x / norm)).alias("i", "u"))
     by = unit.groupBy(key, "i").agg(F.sum("u").alias("s"), F.count("*").alias("n"))
     by = by.groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.first("n").alias("n")).where("n >= 2")
     return by.select(key, F.col("n").cast("long").alias("n"), ((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("coherence"))
