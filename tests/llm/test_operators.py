@@ -128,6 +128,21 @@ def test_classifiers(spark, odd, none, score, target):
     assert all(0 <= r["score"] <= 1 for r in score(spark, odd.unionByName(docs, True), labels).collect())
 
 
+def test_quality_learns_from_whole_texts(spark):
+    clean = "\n".join(f"the cat sat on mat {k} and saw a dog run over to the old barn." for k in range(70))
+    dirty = "\n".join("BUY!! NOW!! BIG!! SALE!! | x | y | z | 1 | q |" for _ in range(40))
+    rows = [(i, f"{clean} {i}" if i % 2 else f"{clean} {i}\n{dirty}", "en", "s", 1) for i in range(120)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    got = quality.score_quality(spark, docs, labels).where("held_out").collect()
+    assert len(got) > 10 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.9
+    # a line longer than any prefix that was once taken
+    rows = [(i, "so it goes. " * 2_000 + ("it goes on and on." if i % 2 else "BUY!! NOW!! | x | y | z | 1 | " * 2_000), "en", "s", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("text", F.concat("text", F.col("doc_id").cast("string")))
+    got = quality.score_quality(spark, docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))).where("held_out").collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.9
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     per, move = np.array([3, 1, 4]), rng.normal(size=(2, 2))

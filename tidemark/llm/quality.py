@@ -6,7 +6,9 @@ give a document's share of bad text, and a logistic curve turns that into a prob
 
 Labels are of documents, so lines of bad documents are first taken as bad, then labelled anew by the field
 itself (at least the worst line stays bad) and the field fitted again. Fields and curve are fitted on at most
-``TRAIN_ROWS`` labelled documents outside the held-out fold and at most ``TRAIN_LINES`` lines of each.
+``TRAIN_ROWS`` labelled documents outside the held-out fold, each of them whole. Executors build the features of
+their lines; the driver gets 120 bytes for each line and no text, but nothing bounds the lines of a document.
+A fit walks as many steps as the longest of these documents has lines.
 
 Null texts count as one empty line, as empty ones do. Labels other than 0 and 1 are ignored. Without rows
 of both classes the score is the smoothed share of good labels. A line feed ends a line; equal texts get
@@ -19,22 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, materialize, slices, span_sums, text_bytes
+from tidemark.llm.common import column, fold_of, materialize, slices, span_sums, text_bytes
 from tidemark.llm.toxicity import training_rows
 
-TRAIN_ROWS, TRAIN_LINES = 6_000, 60
-_KINDS = 9
+TRAIN_ROWS = 6_000
+_KINDS, _OWN = 9, 14
 _CLASS = np.zeros(256, np.uint8)
 for _c in range(256):
     _ch = chr(_c)
     _CLASS[_c] = 1 if 65 <= _c <= 90 else 2 if 97 <= _c <= 122 or _c >= 128 else 3 if 48 <= _c <= 57 else 4 if _ch in ".,;:'\"?()-" else 5 if _ch in "|\t" else 6 if _ch == "!" else 7 if 33 <= _c < 127 else 8 if _ch in " \r\x0b\x0c" else 0
 
 
-def line_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of all lines, line lengths, lines of each document) of texts laid end to end."""
+def own_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of each line alone, line lengths, lines of each document) of texts laid end to end."""
     feed = data == 10
     ends = np.flatnonzero(feed)
     docs = len(off) - 1
@@ -70,11 +73,24 @@ def line_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     order = np.lexsort((np.arange(len(code)), code, doc))
     again = np.zeros(len(code), bool)
     again[order[1:]] = (code[order][1:] == code[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    own = np.hstack([own, (again & (size > 0))[:, None]])
+    return np.hstack([own, (again & (size > 0))[:, None]]), size, per
+
+
+def with_neighbours(own: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """All features of lines: their own, those of the lines before and after, and whether a document starts or ends there."""
+    first = np.concatenate([[0], np.cumsum(per)[:-1]]).astype(np.int64)
+    is_first, is_last = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    is_first[first], is_last[first + per - 1] = True, True
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     before[first], after[first + per - 1] = 0, 0
-    return np.hstack([np.ones((len(own), 1)), own, before, after, is_first[:, None], is_last[:, None]]), size, per
+    return np.hstack([np.ones((len(own), 1)), own, before, after, is_first[:, None], is_last[:, None]])
+
+
+def line_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of all lines, line lengths, lines of each document) of texts laid end to end."""
+    own, size, per = own_features(data, off)
+    return with_neighbours(own, per), size, per
 
 
 def _line_codes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -163,19 +179,18 @@ def bad_share(x: np.ndarray, size: np.ndarray, per: np.ndarray, w: np.ndarray, m
     return np.add.reduceat(prob * weight, first) / np.add.reduceat(weight, first), prob
 
 
-def _features_of(texts: list[str], at_once: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``line_features`` of texts, some documents at a time: its arrays take many bytes for each byte of text."""
-    parts = []
-    for i in range(0, len(texts), at_once):
-        raw = [t.encode("utf-8", "replace") for t in texts[i : i + at_once]]
-        off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        parts.append(line_features(np.frombuffer(b"".join(raw), np.uint8), off))
-    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+def _training_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, label and, as bytes, the lines' own features and lengths of whole texts."""
+    for batch in slices(batches, "text"):
+        own, size, per = own_features(*text_bytes(batch))
+        cut = np.cumsum(per)[:-1]
+        packed = [pa.array([a.tobytes() for a in np.split(part, cut)], pa.binary()) for part in (own, size)]
+        yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "label"), *packed], names=["key", "label", "own", "size"])
 
 
-def fit(texts: list[str], good: np.ndarray, rounds: int = 2) -> dict:
-    """Field and curve from whole documents."""
-    x, size, per = _features_of(texts)
+def fit(own: np.ndarray, size: np.ndarray, per: np.ndarray, good: np.ndarray, rounds: int = 2) -> dict:
+    """Field and curve from the lines of whole documents."""
+    x = with_neighbours(own, per)
     mean, spread = x.mean(0), x.std(0) + 1e-6
     mean[0], spread[0] = 0.0, 1.0
     x -= mean
@@ -209,10 +224,14 @@ def score_batch(data: np.ndarray, off: np.ndarray, model: dict) -> tuple[np.ndar
 def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, target: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted, bad_share."""
     train = training_rows(docs, labels, target, train_rows)
-    few = F.array_join(F.slice(F.split("text", "\n", -1), 1, TRAIN_LINES), "\n")
-    known = materialize(train.select("label", F.substring(few, 1, 20_000).alias("text")), "quality-train").orderBy(F.xxhash64("text"), "label").collect()
-    good = np.array([r["label"] for r in known])
-    model = fit([r["text"] for r in known], good) if 0 < good.sum() < len(good) else None
+    lines = train.select(F.xxhash64("text").alias("key"), "label", "text").mapInArrow(_training_lines, "key long, label double, own binary, size binary")
+    known = materialize(lines, "quality-train").orderBy("key", "label").toArrow()  # a bounded number of documents
+    good = known["label"].to_numpy()
+    model = None
+    if 0 < good.sum() < len(good):
+        own, size = (np.frombuffer(b"".join(x for c in known[name].chunks for x in c.to_pylist()), kind) for name, kind in (("own", np.float64), ("size", np.int64)))
+        per = pc.binary_length(known["size"]).to_numpy().astype(np.int64) // 8
+        model = fit(own.reshape(-1, _OWN), size, per, good)
     prior = (float(good.sum()) + 0.5) / (len(good) + 1)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select("doc_id", "text")
