@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from test_engine import SF
 from test_engine import test_query_equals_sql as same
-from tidemark import registry_cycle
+from tidemark import fixtures, registry_cycle
 from tidemark.operators import discovery
 from tidemark.plans import cycle
 
@@ -38,6 +38,44 @@ def test_near_pairs_and_clusters_equal_all_pairs(spark):
     assert discovery.density_clusters(rows.limit(20), 0.9).count() == 0
 
 
+def test_clusters_count_copies_without_pairing_them(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 6))
+    base[1], base[3] = base[0] + 0.05, base[2] + 0.05
+    # a group of many copies, a pair of small groups near each other, a border row, groups too small, zeros
+    times = [60, 1, 3, 2, 4, 5, 1, 1, 1, 1, 1, 1]
+    x = np.concatenate([np.repeat(base, times, axis=0), np.zeros((8, 6))])
+    ids = rng.permutation(len(x))
+    rows = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    u = {int(i): r / np.linalg.norm(r) for i, r in zip(ids, x, strict=True) if r.any()}
+    near = {i: {j for j in u if j != i and u[i] @ u[j] >= 0.95} for i in u}
+    core = {i for i in u if len(near[i]) >= 4}
+    want = {i: i for i in core}
+    for _ in core:
+        want = {i: min([want[i], *[want[j] for j in near[i] & core]]) for i in core}
+    want |= {i: min(want[j] for j in near[i] & core) for i in set(u) - core if near[i] & core}
+    made, pairs = [], discovery.near_pairs
+
+    def counted(*args):
+        made.append(pairs(*args))
+        return made[-1]
+
+    monkeypatch.setattr(discovery, "near_pairs", counted)
+    assert dict(map(tuple, discovery.density_clusters(rows, 0.95).collect())) == want
+    assert made[0].count() <= 12 * 11 < 60 * 59
+
+
+def test_residue_is_what_no_topic_takes(spark):
+    e = fixtures.table(spark, SF, "embeddings").collect()
+    x, label = np.array([r["embedding"] for r in e], float), np.array([r["label"] for r in e])
+    cen = np.stack([x[label == k].mean(0) for k in np.unique(label)])
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    left = {e[i]["vec_id"] for i in np.flatnonzero((unit(x) @ unit(cen).T).max(1) < 0.55)}
+    got = {r["vec_id"] for r in registry_cycle.queries()["residue_clusters"](spark, SF).collect()}
+    # clusters reach vectors that the sample of every fifth never holds
+    assert got <= left and (len(left) < 30 or any(i % 5 for i in got))
+
+
 def test_matching_takes_the_most_alike_first(spark):
     rng = np.random.default_rng(5)
     s = [(i, j, round(float(rng.random()), 1)) for i in range(7) for j in range(5)]

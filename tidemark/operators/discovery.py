@@ -64,12 +64,19 @@ def density_clusters(rows: DataFrame, least: float, size: int = CLUSTER, pool: i
     """vec_id, cluster_id of rows that are no noise; nothing from a pool of fewer than ``pool`` rows.
 
     A core row has ``size`` - 1 or more near rows. Cores that are near each other share a cluster, named by its
-    smallest id; another row joins the smallest cluster among its near cores.
+    smallest id; another row joins the smallest cluster among its near cores. Ids are unique.
+
+    Rows of equal vectors are near each other and to the same others, so one node stands for them and weighs as
+    many as they are: a group of copies makes no pairs of its own. Zero vectors are near nothing, copies included.
     """
-    pairs = cut(near_pairs(rows, least))
+    some = rows.where(F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
+    nodes = cut(some.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
+    weight = nodes.select(F.col("vec_id").alias("b"), "n")
+    pairs = cut(near_pairs(nodes, least))
     enough = rows.agg((F.count("*") >= pool).alias("enough")).where("enough").select(F.lit(1).alias("one"))
-    core = pairs.groupBy("a").count().where(F.col("count") >= size - 1).join(F.broadcast(enough), how="left_semi", on=F.lit(True)).select("a")
-    core = cut(core)
+    others = pairs.join(weight, "b").groupBy("a").agg(F.sum("n").alias("others"))
+    degree = nodes.select(F.col("vec_id").alias("a"), "n").join(others, "a", "left").where(F.col("n") - 1 + F.coalesce("others", F.lit(0)) >= size - 1)
+    core = cut(degree.join(F.broadcast(enough), how="left_semi", on=F.lit(True)).select("a"))
     links = cut(pairs.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b"))
     label = core.select("a", F.col("a").alias("c"))
     while True:
@@ -82,7 +89,8 @@ def density_clusters(rows: DataFrame, least: float, size: int = CLUSTER, pool: i
         if step.where("old <> c").isEmpty():
             break
     border = pairs.join(core, "a", "left_anti").join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("c"))
-    return label.unionByName(border).select(F.col("a").alias("vec_id"), F.col("c").alias("cluster_id"))
+    found = nodes.join(label.unionByName(border), nodes["vec_id"] == F.col("a")).select("embedding", F.col("c").alias("cluster_id"))
+    return some.join(found, "embedding").select("vec_id", "cluster_id")
 
 
 def candidate_resolution(candidates: DataFrame, topics: DataFrame, least: float = CANDIDATE, rate: float = 0.02) -> DataFrame:

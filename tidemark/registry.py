@@ -1,4 +1,9 @@
-"""All queries of the engine and their SQL, by name. Every query reads the given tables whole."""
+"""All queries of the engine and their SQL, by name.
+
+Some stand-ins for what the given tables lack are picked by id, in query and SQL alike: topics have the mean of
+their even vec_ids, a residue or candidate has vec_id % 5 = 0, predictions leave out doc_id % 7 = 0. Those queries
+don't show their operator on the whole table; ``residue_clusters`` does.
+"""
 
 from __future__ import annotations
 

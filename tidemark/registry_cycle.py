@@ -48,6 +48,14 @@ def density_clusters(spark, d):
     return discovery.density_clusters(topics.residue_pool(e, e.where("vec_id % 5 <> 0")), 0.25)
 
 
+@query()
+def residue_clusters(spark, d):
+    """Clusters of what no topic takes: centroids over all vectors of a label, assignment over all vectors, the whole residue."""
+    e = table(spark, d, "embeddings")
+    t = topics.mean_vectors(e.withColumnRenamed("label", "topic_id"), "topic_id")
+    return discovery.density_clusters(topics.residue_pool(e, topics.assign_topics(topics.nearest_topic(e, t))), 0.25)
+
+
 _CAND = ", cd0 AS (SELECT label * 10 + vec_id % 3 AS candidate_id, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) WHERE vec_id % 5 = 0 GROUP BY 1, 2), cd AS (SELECT candidate_id, list(m ORDER BY i) AS v FROM cd0 GROUP BY 1), cs AS (SELECT candidate_id, topic_id, v, centroid, list_cosine_similarity(v, centroid) AS s FROM cd, cen)"
 
 
