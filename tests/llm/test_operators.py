@@ -184,6 +184,31 @@ def test_top_k(spark):
     assert metric_search.top_k(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_copies_and_few_rows(spark):
+    def found(rows):
+        return sorted(map(tuple, metric_search.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+
+    def plain(rows):
+        q, out = [(i, [math.floor(256 * x) for x in v]) for i, v in rows], []
+        for own in {i for i, _ in q if i % 50 == 0}:
+            all_ = [(-sum(a * b for a, b in zip(v, w, strict=True)), j) for i, v in q if i == own for j, w in q if j != own]
+            out += [(own, rank, j, -s) for rank, (s, j) in enumerate(sorted(all_)[:5], 1)]
+        return sorted(out)
+
+    # id 0 is a result like others, with a negative score too
+    apart = [(0, [1.0, 0.0]), (50, [-1.0, 0.0])]
+    # copies of ids 1 and 2 before 8 others of the same vector; repeated queries; one id with several vectors
+    copies = [(0, [1.0, 0.5])] + [(1, [1.0, 1.0])] * 7 + [(2, [1.0, 1.0])] * 2 + [(i, [1.0, 1.0]) for i in range(3, 11)]
+    again = [(50, [0.5, -1.0])] * 3 + [(100, [1.0, -1.0]), (100, [-1.0, 1.0])] + [(200 + i, [i / 8, -i / 4]) for i in range(1, 9)] + [(300, [0.25, 0.0]), (300, [0.25, 0.5]), (300, [0.25, 0.0])]
+    assert found(apart) == plain(apart)
+    assert found(copies) == plain(copies)
+    assert found(again) == plain(again)
+    assert found(copies[1:] + again) == plain(copies[1:] + again)
+    # five ranks for the one query even where copies of one id fill the block that is searched first
+    mixed = [(0, [1.0, 0.0])] + [(7, [1.0, 0.0])] * 3 + [(i, [0.5 - i / 100, 0.1]) for i in range(10, 20)]
+    assert found(mixed) == plain(mixed)
+
+
 def test_best_path_equals_enumeration():
     pieces = [("a", 0, -3.0), ("b", 1, -3.1), ("ab", 2, -4.0), ("ba", 3, -5.5), ("aba", 4, -6.0), *[("", 5 + b, float(b)) for b in range(256)]]
     own, score = sentencepiece.Coder(pieces), {p: s for p, _, s in pieces if p}

@@ -15,6 +15,10 @@ Of equal vectors only the k + 1 smallest ids can be among the results (one may b
 rest leave before the search. Scores are integers; bounds keep a margin over rounding, and equal scores are
 told apart by id, so results are exact.
 
+A row given several times is searched once and counts as often as it is given, for queries and results alike, as
+in the SQL: its copies take several ranks. Several vectors of one id are results of their own, and as queries
+share one list of results.
+
 Vectors that are null, or hold null or non-finite components, or components beyond 2**28, take no part, nor
 do rows of a null vec_id; vectors of unequal length meet as if the shorter were padded with zeros. A row is
 no result of a query of the same vec_id. Fewer candidates give fewer results; empty tables none. Extra
@@ -96,8 +100,8 @@ class Tree:
         kids = [self._build(g, c := self.x[g].mean(0), float(np.linalg.norm(c - centre))) for g in groups]
         return node | {"kids": kids, "kid_x": np.stack([c["x"] for c in kids]), "kid_r": np.array([c["radius"] for c in kids]), "kid_p": np.array([c["to_parent"] for c in kids])}
 
-    def search(self, own: int, q: np.ndarray, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """``best`` is a heap of (score, -vec_id), k at most, and comes back so."""
+    def search(self, own: int, q: np.ndarray, k: int, best: list[tuple[int, float, int]]) -> list[tuple[int, float, int]]:
+        """``best`` is a heap of (score, -vec_id, row of the block), k at most, and comes back so."""
         if self.root is None:
             return best
         qx = np.append(q.astype(float), 0.0)
@@ -117,12 +121,12 @@ class Tree:
                 self.skipped += int((~mine).sum())
                 at = node["at"][mine]
                 self.computed += len(at)
-                for s, i in zip((self.v[at] @ q).tolist(), self.ids[at].tolist(), strict=True):
+                for s, i, row in zip((self.v[at] @ q).tolist(), self.ids[at].tolist(), at.tolist(), strict=True):
                     if i != own:
                         if len(best) < k:
-                            heapq.heappush(best, (s, -i))
-                        elif (s, -i) > best[0]:
-                            heapq.heapreplace(best, (s, -i))
+                            heapq.heappush(best, (s, -i, row))
+                        elif (s, -i, row) > best[0]:
+                            heapq.heapreplace(best, (s, -i, row))
                 continue
             ahead = np.abs(away - node["kid_p"]) - node["kid_r"] <= reach()
             self.skipped += int((~ahead).sum())
@@ -148,7 +152,9 @@ def top_k(spark: SparkSession, embeddings: DataFrame, every: int = 50, k: int =
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(SAMPLE).collect()  # a bounded sample
     heads = spread_routes(matrix([r["v"] for r in sample], width), top, routes)
     shared = spark.sparkContext.broadcast(heads)
-    one = rows.withColumn("copy", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1).drop("copy")
+    # ids are counted, not rows, so copies of one id leave room for the others
+    one = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1).groupBy("v", "vec_id").agg(F.count("*").alias("n"))
+    one = one.select("vec_id", "v", F.xxhash64("v").alias("h"), "n")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hx = lifted(shared.value, top)
@@ -157,13 +163,13 @@ def top_k(spark: SparkSession, embeddings: DataFrame, every: int = 50, k: int =
                 x = lifted(matrix(b.column(1).to_pylist(), width), top)
                 far = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (hx * hx).sum(1) - 2 * x @ hx.T))
                 near = far.argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), b.column(0), b.column(1), pa.array(far[np.arange(len(near)), near])], names=["route", "vec_id", "v", "away"])
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), b.column(0), b.column(1), pa.array(far[np.arange(len(near)), near]), b.column(2), b.column(3)], names=["route", "vec_id", "v", "away", "h", "n"])
 
-    placed = materialize(one.mapInArrow(route, "route int, vec_id long, v array<long>, away double"), "vectors-placed")
+    placed = materialize(one.mapInArrow(route, "route int, vec_id long, v array<long>, away double, h long, n long"), "vectors-placed")
     sizes = {r["route"]: (-(-r["n"] // block), r["radius"]) for r in placed.groupBy("route").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}  # a row for each route
     blocks = F.element_at(F.create_map(*[F.lit(x) for r, (b, _) in sizes.items() for x in (r, b)]), F.col("route"))
-    data = placed.select("route", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"), "vec_id", "v")
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
+    data = placed.select("route", F.pmod(F.xxhash64("vec_id"), blocks).cast("int").alias("block"), "vec_id", "v", "h", "n")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.count("*").alias("n")).select("vec_id", "v", F.xxhash64("v").alias("h"), "n")
 
     def query_routes(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
         hx = lifted(shared.value, top)
@@ -177,45 +183,50 @@ def top_k(spark: SparkSession, embeddings: DataFrame, every: int = 50, k: int =
                 go[np.arange(len(q)), low.argmin(1)] = True
                 bound = [None] * len(q)
             else:
-                bound = b.column(2).to_pylist()
+                bound = b.column(4).to_pylist()
                 base = top + (qx * qx).sum(1)
                 reach = np.array([np.inf if x is None else np.sqrt(max(0.0, z - 2.0 * x) + 1e-9 * z + 1e-6) + 1e-6 for x, z in zip(bound, base, strict=True)])
                 go = (low <= reach[:, None]) & np.isfinite(radius)
             i, r = np.nonzero(go)
-            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array([bound[x] for x in i], pa.int64())], names=["route", "query_id", "q", "bound"])
+            own = [b.column(c).take(pa.array(i)) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), *own, pa.array([bound[x] for x in i], pa.int64())], names=["route", "query_id", "q", "qh", "qn", "bound"])
 
-    kinds = "route int, query_id long, q array<long>, bound long"
+    kinds = "route int, query_id long, q array<long>, qh long, qn long, bound long"
+    hit = "query_id long, qh long, qn long, vec_id long, h long, n long, score long"
     pack = F.pmod(F.xxhash64("query_id"), F.lit(1 << 20))
 
     def packed(q: DataFrame) -> DataFrame:
-        return q.groupBy("route", "block", (pack % F.greatest(F.lit(1), F.col("packs"))).alias("pack")).agg(F.collect_list(F.struct("query_id", "q", "bound")).alias("queries"))
+        return q.groupBy("route", "block", (pack % F.greatest(F.lit(1), F.col("packs"))).alias("pack")).agg(F.collect_list(F.struct("query_id", "q", "qh", "qn", "bound")).alias("queries"))
 
     def visit(left, right):
         out = []
         if len(left) and len(right):
             tree = Tree(right["vec_id"].to_numpy(), matrix(right["v"], width), top)
+            h, n = right["h"].tolist(), right["n"].tolist()
             for pack_ in left["queries"]:
                 for one_ in pack_:
                     q, own, bound = matrix([one_["q"]], width)[0], one_["query_id"], one_["bound"]
-                    # the k-th score so far stands for k results of ids that lose every tie
-                    best = [] if bound is None or bound != bound else [(int(bound) - 1, 0)] * k
-                    out += [(own, -i, s) for s, i in tree.search(own, q, k, best) if i != 0 or best == [] or s >= (bound or 0)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    # the k-th score so far stands for k results, of no row, that only this score or more displaces
+                    best = [] if bound is None or bound != bound else [(int(bound) - 1, np.inf, -1)] * k
+                    out += [(own, one_["qh"], one_["qn"], -i, h[row], n[row], s) for s, i, row in tree.search(own, q, k, best) if row >= 0]
+        return pd.DataFrame(out, columns=["query_id", "qh", "qn", "vec_id", "h", "n", "score"])
 
     def run(q: DataFrame, only_first: bool, name: str) -> DataFrame:
         n = q.count()
         q = q.withColumn("packs", F.lit(-(-n // (PACK * max(1, len(sizes)))))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(0) if only_first else (blocks - 1).cast("int"))))
         mine = packed(q)
         own = data.where("block = 0") if only_first else data
-        met = mine.groupBy("route", "block").cogroup(own.groupBy("route", "block")).applyInPandas(visit, "query_id long, vec_id long, score long")
+        met = mine.groupBy("route", "block").cogroup(own.groupBy("route", "block")).applyInPandas(visit, hit)
         return materialize(met, name)
 
     start = materialize(queries.mapInArrow(lambda b: query_routes(b, True), kinds), "search-first")
     found = run(start, True, "search-found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    bounded = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").select("vec_id", "v", "bound")
+    bounded = queries.join(kth, queries["vec_id"] == kth["query_id"], "left").select("vec_id", "v", "h", "n", "bound")
     rest = materialize(bounded.mapInArrow(lambda b: query_routes(b, False), kinds), "search-rest")
     more = run(rest, False, "search-more")
     both = found.unionByName(more).distinct()
+    times = F.least("qn", F.lit(k)) * F.least("n", F.lit(k))
+    both = both.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least(times, F.lit(k)).cast("int"))))
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
