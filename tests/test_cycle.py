@@ -114,6 +114,20 @@ def test_events_are_one_a_key_and_kind_and_cool_down(spark):
     assert "burst" not in {r["kind"] for r in cycle.trend_events(p, past, ["topic_id"], day).collect()}
 
 
+def test_events_emerge_flip_and_rest_after_earlier_runs(spark):
+    start, last = dt.date(2026, 6, 1), dt.date(2026, 6, 26)
+    schema = "topic_id string, bucket date, value double, quality string"
+    old = [("s", start + dt.timedelta(i), 10.0 + i % 3 if i < 24 else 90.0, "clean") for i in range(26)]
+    p = spark.createDataFrame([*old, ("new", last, 8.0, "clean"), ("small", last, 2.0, "clean")], schema)
+    mood = spark.createDataFrame([("s", start + dt.timedelta(i), (0.5 if i < 16 else -0.5) + i % 2 / 50, "clean") for i in range(26)], schema)
+    none = spark.createDataFrame([], "topic_id string, kind string, detected_on date")
+    alone = {(r["topic_id"], r["kind"]) for r in cycle.trend_events(p, none, ["topic_id"], F.lit(last), sentiment=mood).collect()}
+    assert {("new", "emergence"), ("s", "sentiment_flip"), ("s", "burst")} <= alone and not any(t == "small" for t, _ in alone)
+    # the burst of the day before suppresses today's
+    again = {(r["topic_id"], r["kind"]) for r in cycle.daily_runs(p, ["topic_id"], last, before=1, sentiment=mood).collect()}
+    assert ("s", "burst") not in again and ("new", "emergence") in again
+
+
 def test_normalisation_of_few_days_tests_nothing(spark):
     p = spark.createDataFrame([("t", dt.date(2026, 6, d), float(d), 10.0) for d in range(1, 6)], "topic_id string, bucket date, value double, total double")
     got = {r["arm"]: (r["tested"], r["status"]) for r in cycle.normalisation(p).collect()}

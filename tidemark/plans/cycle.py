@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series
+from tidemark.operators.discovery import cut
 from tidemark.operators.topics import dot
 from tidemark.plans import views
 
@@ -36,10 +38,39 @@ def novelty(docs: DataFrame, stop: list[str], top: int = 10, least: float = 0.5)
     return by.select("topic_id", ratio.alias("statistic"), (ratio >= least).alias("fired"), F.array_join("fresh", " ").alias("terms"))
 
 
-def trend_events(points: DataFrame, past: DataFrame, keys: list[str], day: Column, alpha: float = 0.1) -> DataFrame:
-    """Gates, detectors, false-discovery correction, cooldown and one event for each key and kind, as one job."""
-    found = series.bh_correction(series.trend_candidates(points, keys, day), ["kind"], alpha).where("kept")
-    return series.collapse_events(series.cooldown(found, past, keys, day), keys, day)
+def emerging(points: DataFrame, keys: list[str], day: Column) -> DataFrame:
+    """Candidates of keys first seen on the day, over the volume floor but without a baseline; p is 0."""
+    first = points.where((F.col("value") > 0) & (F.col("bucket") <= day)).groupBy(*keys).agg(F.min("bucket").alias("first_seen"), F.max(F.when(F.col("bucket") == day, F.col("value"))).alias("latest"))
+    new = series.gate_outcomes(points, keys, day).where("reason = 'insufficient_baseline'").join(first.where(F.col("first_seen") == day), keys)
+    value = F.col("latest")
+    return new.select(*keys, F.lit("emergence").alias("kind"), F.lit("emergence").alias("method"), value.alias("statistic"), F.lit(0.0).alias("p_value"), value.alias("observed"), F.lit(0.0).alias("expected"), F.lit("rising").alias("direction"))
+
+
+def sentiment_flips(points: DataFrame, sentiment: DataFrame, keys: list[str], day: Column) -> DataFrame:
+    """Change points of the daily sentiment, not deseasonalised, of the keys whose volume passes the gates."""
+    passed = series.gate_outcomes(points, keys, day).where("passed").select(*keys)
+    return series.detect_changepoint(sentiment.join(passed, keys), keys, day, kind="sentiment_flip")
+
+
+def trend_events(points: DataFrame, past: DataFrame, keys: list[str], day: Column, alpha: float = 0.1, sentiment: DataFrame | None = None) -> DataFrame:
+    """Gates, detectors, false-discovery correction, cooldown and one event for each key and kind, as one job.
+
+    ``sentiment`` holds the series of mean sentiment in the columns of ``points``; without it nothing flips.
+    """
+    found = series.trend_candidates(points, keys, day).unionByName(emerging(points, keys, day))
+    if sentiment is not None:
+        found = found.unionByName(sentiment_flips(points, sentiment, keys, day))
+    kept = series.bh_correction(found, ["kind"], alpha).where("kept")
+    return series.collapse_events(series.cooldown(kept, past, keys, day), keys, day)
+
+
+def daily_runs(points: DataFrame, keys: list[str], day: dt.date, before: int = series.COOLDOWN, alpha: float = 0.1, sentiment: DataFrame | None = None) -> DataFrame:
+    """Events of the day after runs of the same job on the days before it; the first run has no past."""
+    past = points.where(F.lit(False)).select(*keys, F.lit("").alias("kind"), F.col("bucket").alias("detected_on"))
+    for back in range(before, 0, -1):
+        events = trend_events(points, past, keys, F.lit(day - dt.timedelta(back)), alpha, sentiment)
+        past = cut(past.unionByName(events.select(*keys, "kind", "detected_on")))
+    return trend_events(points, past, keys, F.lit(day), alpha, sentiment)
 
 
 def event_identity(found: DataFrame, order: list[str]) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidemark.fixtures import FEEDBACK_SQL, feedback, ledger, runs, table
 from tidemark.functions import text as tx
 from tidemark.operators import discovery, topics
 from tidemark.plans import cycle, views
-from tidemark.registry import _COH, _EN, _EV, _ROLLUP, _STATS, _VEC, _events, _metrics, _points, _topics, oracle_sql, queries, query
+from tidemark.registry import DAY, _COH, _EN, _EV, _ROLLUP, _STATS, _VEC, _events, _metrics, _points, _topics, oracle_sql, queries, query
 from tidemark.streaming import daily
 
 __all__ = ["oracle_sql", "queries"]
@@ -142,11 +144,21 @@ def det_novelty(spark, d):
     return cycle.novelty(docs, tx.STOP_WORDS["en"])
 
 
+def _sentiment(spark, d):
+    """A stand-in for daily sentiment: the mean discount, of the topics and days of ``_points``."""
+    li = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("topic_id"), F.to_date("l_shipdate").alias("bucket")).agg(F.avg("l_discount").cast("double").alias("value"))
+    return _points(spark, d)[0].drop("value").join(li, ["topic_id", "bucket"])
+
+
 @query()
-def trend_events(spark, d):
+def det_sentiment_flip(spark, d):
     p, day = _points(spark, d)
-    past = p.where("value > 1e9").select("topic_id", F.lit("burst").alias("kind"), F.col("bucket").alias("detected_on"))
-    return cycle.trend_events(p, past, ["topic_id"], day)
+    return cycle.sentiment_flips(p, _sentiment(spark, d), ["topic_id"], day)
+
+
+@query()
+def trend_events(spark, d):
+    return cycle.daily_runs(_points(spark, d)[0], ["topic_id"], dt.date.fromisoformat(DAY), sentiment=_sentiment(spark, d))
 
 
 _METHODS = ["robust_z", "poisson_exact", "kleinberg", "mann_kendall", "pelt"]
