@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,16 +14,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: What ``fold_others`` calls the columns that an operator does not read.
+OTHERS = "others"
 
 #: What a word is in every operator: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session, whose executors see the driver's disk, gets one of our own; a cluster gets an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return _OWN[0]
@@ -39,6 +47,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def name_of(c: str) -> Column:
+    """A column by its whole name, whatever characters that holds."""
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def fold_others(docs: DataFrame, *core: str) -> DataFrame:
+    """The core columns, and all others in one struct, so that no name of an operator's own can meet theirs."""
+    others = [name_of(c).alias(f"f{i}") for i, c in enumerate(docs.columns) if c not in core]
+    return docs.select(*core, (F.struct(*others) if others else F.lit(0)).alias(OTHERS))
+
+
+def unfold_others(docs: DataFrame, *core: str, **own: Column) -> list[Column]:
+    """What to select from a table made by ``fold_others(docs, *core)`` for docs' columns again; ``own`` replaces some."""
+    at = lambda i, c: F.col(c) if c in core else F.col(OTHERS)[f"f{i}"]
+    return [own.get(c, at(i, c)).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def fold_of(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of doc_id as text, modulo 5; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

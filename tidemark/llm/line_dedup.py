@@ -7,7 +7,7 @@ task); lines whose estimate lies near the threshold get an exact distinct count.
 smallest id and are cut from all others. So no line vanishes from the corpus.
 
 Sites are the values of ``source``; a null source is a site of its own. Null texts stay null, empty ones
-empty. Repeated rows of the smallest id all keep the line. Other columns pass untouched.
+empty. Repeated rows of the smallest id all keep the line. Other columns, whatever their names, pass untouched.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, materialize
+from tidemark.llm.common import OTHERS, WORD, fold_others, materialize, unfold_others
 
 MIN_SITES, MIN_WORDS, LG_K = 8, 3, 12
+#: Most common lines that are broadcast (24 bytes each), and the copies of each beyond that.
+BROADCAST_ROWS, SALTS = 1 << 18, 64
+CORE, COUNTS = ("doc_id", "text", "source"), ("n_lines", "n_removed")
 
 
 def spread_lines(occurrences: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -36,21 +39,49 @@ def spread_lines(occurrences: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     return lines.join(exact, "h", "left").where(spread >= min_sites).select("h", "first_doc", spread.alias("spread"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
-    """All columns of docs with the boilerplate cut from ``text``, and n_lines, n_removed."""
+def occurrences_of(common: DataFrame, found: DataFrame) -> DataFrame:
+    """found joined to the common lines by h. One line may hold a great part of all rows, so no key is one task's.
+
+    Common lines are few and go to every task up to ``BROADCAST_ROWS`` of them; beyond that each is copied
+    ``SALTS`` times and its occurrences are dealt over the copies by document.
+    """
+    if common.count() <= BROADCAST_ROWS:
+        return found.join(F.broadcast(common), "h")
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
+    """doc_id, text with the boilerplate cut, source, others (see ``fold_others``), n_lines, n_removed."""
+    docs = fold_others(docs, *CORE)
     key = F.xxhash64("text")
     parts = F.split("text", "\n", -1)
     lines = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("\u0000")).alias("site"), key.alias("text_key"), F.posexplode(parts).alias("pos", "line"))
     lines = lines.where(F.size(F.split(F.trim("line"), r"[\x20\x09-\x0D]+")) >= min_words).where(F.regexp_count("line", F.lit(WORD)) >= min_words)
     found = materialize(lines.select("doc_id", "site", "text_key", "pos", F.xxhash64("line").alias("h")), "lines")
-    common = spread_lines(found, min_sites, lg_k)
-    cut = found.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    cut = cut.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("_cut")).select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_key"), "_cut")
-    out = docs.alias("d").join(cut, F.col("d.doc_id").eqNullSafe(F.col("_doc_id")) & (key == F.col("_key")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.array_size(parts) - 1), F.col("_cut"))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(kept), lambda i: F.get(parts, i)), "\n"))
+    common = materialize(spread_lines(found, min_sites, lg_k), "lines-common")
+    cut = occurrences_of(common, found).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    cut = cut.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("cut")).select(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), "cut")
+    out = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (key == F.col("cut_key")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.array_size(parts) - 1), F.col("cut"))
+    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(kept), lambda i: F.get(parts, i)), "\n"))
     return out.select(
-        *[text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns],
-        F.coalesce(F.array_size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("_cut"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+        "doc_id", text.alias("text"), "source", "others",
+        F.coalesce(F.array_size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("cut"), F.lit(0)).cast("long").alias("n_removed"),
+    )
+
+
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> DataFrame:
+    """All columns of docs with the boilerplate cut from ``text``, and n_lines, n_removed, which replace columns of these names."""
+    out = without_boilerplate(docs, min_sites, min_words, lg_k)
+    return out.select(*[c for c, name in zip(unfold_others(docs, *CORE), docs.columns, strict=True) if name not in COUNTS], *COUNTS)
+
+
+def cut_boilerplate(docs: DataFrame, **options) -> DataFrame:
+    """The columns of docs with the boilerplate cut from ``text``; ``n_chars``, where there is one, follows the text."""
+    out = without_boilerplate(docs, **options)
+    own = {}
+    if "n_chars" in docs.columns:
+        before = F.col(OTHERS)[f"f{docs.columns.index('n_chars')}"]
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(before)
+    return out.select(*unfold_others(docs, *CORE, **own))

@@ -7,17 +7,17 @@ size first; what each block leaves over meets in blocks of blocks, and so on up
 source, which is drawn. So the number of copies of a source hardly strays, nor, as sizes are alike where
 documents meet, do its words. Draws come from hashes of the document ids: reruns agree.
 
-A null text has size 0. A null source is a source of its own, last in order. Repeated rows are drawn each
-for themselves. Sources without words have target 0, and their documents take none. An empty table gives an
-empty result. Columns besides doc_id, source and text play no part.
+A null text has size 0. A null source is a source of its own, last in order. Rows alike in id, source and
+size, null ids too, are one unit of the rounding and share its copies evenly. Sources without words have target 0, and their documents take none. An empty table gives an
+empty result. Columns besides doc_id, source and text, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, materialize
+from tidemark.llm.common import OTHERS, WORD, fold_others, materialize, unfold_others
 
 #: Fixed by the contract: weights by the order of sources, the mix's share of all words, most copies of a word.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -26,13 +26,13 @@ FAN_IN, CLASS_BASE, SEED = 64, 1.1, 17
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size, target. One row for each source goes through one window; documents never do.
+    """source, source_size, target from (source, size, rows). One row for each source goes through one window; documents never do.
 
     Targets share ``share`` of all words by weight and stop at ``most`` times their source. With sources in
     order of limit / weight, those that stop are a prefix: a source stops when the level that is left for it
     and all after it lies above its own limit.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
     by = by.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(most))
@@ -69,22 +69,25 @@ def _fold(seed: int) -> str:
                 'done', concat(acc.done, array(named_struct('d', IF(t.out, acc.cur, x.d), 'up', CAST(t.out = t.to AS int))))))[0])"""
 
 
-def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, fan_in: int = FAN_IN, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies."""
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sizes = materialize(sizes, "mix-sizes")
+def mix_units(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, fan_in: int = FAN_IN, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source, rows, source_size, target, copies: rows alike in doc_id, size and source are one unit, and share its copies.
+
+    A unit is one fraction in the rounding, so rows of one id, however many, are never gathered.
+    """
+    sizes = docs.select("doc_id", "source", word_count().alias("size"))
+    sizes = materialize(sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows")), "mix-sizes")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = source_targets(sizes, weights, share, most).withColumn("rate", rate)
-    targets = targets.withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("int")).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
     size_class = F.floor(F.log1p(F.col("size").cast("double")) / F.log(F.lit(CLASS_BASE))).cast("int")
     classes = sizes.groupBy("source", size_class.alias("class")).count()
-    classes = classes.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "class", F.ceil(F.col("count") / fan_in).alias("blocks"), "source_size", "target", "whole", "p")
+    classes = classes.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "class", F.ceil(F.col("count") / fan_in).alias("blocks"), "source_size", "target", "rate")
     classes = materialize(classes, "mix-classes")
     blocks = classes.agg(F.max("blocks")).first()[0] or 0
     rows = sizes.withColumn("class", size_class).alias("s").join(classes.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.class") == F.col("c.class")))
+    rows = rows.withColumn("due", F.col("rows") * F.col("rate")).withColumn("whole", F.floor(F.col("due") + 1e-12))
     level = rows.select(
         "s.source", "s.class", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("blocks")).alias("block"),
-        F.struct("doc_id", "size", "source_size", "target", "whole").alias("d"), "p",
+        F.struct("doc_id", "size", F.col("s.source").alias("source"), "rows", "source_size", "target", "whole").alias("d"), F.greatest(F.lit(0.0), F.col("due") - F.col("whole")).alias("p"),
     )
     settled, step = [], 0
     while True:
@@ -109,13 +112,54 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    copies = F.col("whole") + F.col("up")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return out.select("doc_id", "size", "source", "rows", "source_size", "target", (F.col("whole") + F.col("up")).cast("long").alias("copies"))
+
+
+def word_count() -> Column:
+    """Words of ``text`` (null: 0)."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _share(nth: Column) -> Column:
+    """Copies of the nth row (from 1) of a unit: as even as whole copies can be."""
+    return (F.floor(F.col("copies") / F.col("rows")) + (nth <= F.col("copies") % F.col("rows")).cast("long")).cast("int")
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, fan_in: int = FAN_IN, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for each row of docs."""
+    units = mix_units(docs, weights, share, most, fan_in, seed)
+    each = units.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).withColumn("own", _share(F.col("nth")))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("own")).alias("taken"), F.col("own").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows alike in id and size share their copies evenly, rounded."""
-    plan = mix_documents(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    met = docs.join(plan.where("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_id")) & (size == F.col("_size")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    """docs with each row as often as the mix takes it.
+
+    Rows alike in doc_id, source and size are numbered first: within the parts in which they are written, then
+    over the counts of these parts, so that no unit's rows pass through one task.
+    """
+    units = materialize(mix_units(docs, **options), "mix-units")
+    core = ("doc_id", "text", "source")
+    rows = fold_others(docs, *core).withColumn("size", word_count())
+    same = ["doc_id", "source", "size"]
+
+    def met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"own_{c}") if c in keys else c for c in right.columns])
+        alike = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in keys]
+        condition = alike[0]
+        for more in alike[1:]:
+            condition = condition & more
+        return left.join(right, condition, how)
+
+    single = met(rows, units.where("rows = 1 and copies > 0").select(*same, "copies"), same).withColumn("own", F.col("copies"))
+    out = single.select(*core, OTHERS, "own")
+    if not (many := units.where("rows > 1 and copies > 0")).isEmpty():
+        numbered = met(rows, many.select(*same, "rows", "copies"), same).select(*core, "size", OTHERS, "rows", "copies", F.monotonically_increasing_id().alias("at"))
+        numbered = materialize(numbered, "mix-repeats").withColumn("part", F.shiftright("at", 33))
+        parts = numbered.groupBy(*same, "part").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = parts.select(*same, "part", before.alias("before"))
+        local = numbered.withColumn("place", F.row_number().over(Window.partitionBy(*same, "part").orderBy("at")))
+        again = met(local, parts, [*same, "part"]).withColumn("own", _share(F.col("before") + F.col("place")))
+        out = out.unionByName(again.select(*core, OTHERS, F.col("own").cast("long").alias("own")).where("own > 0"))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))).select(*unfold_others(docs, *core))

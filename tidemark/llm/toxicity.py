@@ -10,7 +10,7 @@ fits the isotonic curve. Everything else, the learned lexicon's counts aside, co
 
 Null texts count as empty; every text gets a score. Labels of repeated ids or with nulls are ignored unless
 they are 0 or 1 (repeated labels all count). Without rows of both classes the score is the smoothed share of
-toxic labels (one half without any). Extra columns play no part, nor do lang, source and doc_id.
+toxic labels (one half without any). Extra columns, whatever their names, play no part, nor do lang, source and doc_id.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, fold_of, lower_ascii, materialize, slices, span_sums, text_bytes
+from tidemark.llm.common import as_bytes, fold_of, fold_others, materialize, slices, span_sums, text_bytes, unfold_others
 
 TRAIN_ROWS, LEARNED_WORDS, MIN_DOCS, TREES, DEPTH = 12_000, 60, 8, 20, 4
 # Insults and second-person words of the languages at hand.
@@ -121,7 +121,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int) ->
     order = F.xxhash64("doc_id", F.lit(3))
     few = marked.orderBy(order, "doc_id", "label").limit(rows)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
-    return found.withColumn("key", F.xxhash64("text")).dropDuplicates(["key", "label"]).drop("key")
+    # of equal texts the smallest id stays, so that reruns choose alike
+    return found.groupBy(F.xxhash64("text").alias("key"), "label").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", "label")
 
 
 def learn_lexicon(train: DataFrame, size: int = LEARNED_WORDS, least: int = MIN_DOCS) -> frozenset[bytes]:
@@ -188,5 +189,6 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, trai
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, target: str = "toxic", least: float = 0.5) -> DataFrame:
     """docs without the rows that score ``least`` or more; all columns, texts untouched and not shuffled."""
-    kept = _scored(spark, docs, labels, tuple(docs.columns), train_rows, target).where(F.col("_toxic_score") < least)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    core = ("doc_id", "text")
+    kept = _scored(spark, fold_others(docs, *core), labels, (*core, "others"), train_rows, target).where(F.col("_toxic_score") < least)
+    return kept.select(*unfold_others(docs, *core))
