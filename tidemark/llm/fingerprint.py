@@ -11,8 +11,9 @@ The fingerprint is a one-permutation MinHash of the phrase names from level ``le
 bits, hex. Empty slots take the nearest filled slot's value on the right. Likeness is the share of equal
 slots. Empty and null texts have the fingerprint of no names (all zero), which is alike to itself only.
 
-The next document is the one of the next doc_id (null ids first, equal ids in order of text); rows are
-range-partitioned and neighbours meet inside a partition, and only partitions' edges meet in a second step.
+The next document is the one of the next doc_id (null ids first, equal ids in order of a hash of their texts);
+rows are range-partitioned by id and that hash and neighbours meet inside a partition, and only partitions'
+edges meet in a second step. Fingerprints and hashes stay bytes until the end.
 Equal rows are alike in every column. An empty table gives an empty result.
 """
 
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import as_bytes, materialize, mix64, slices
 
 SLOTS, LEVEL, ROUNDS = 128, 3, 3
+#: Bytes of text parsed at once: arrays of that many code points stay in a core's cache.
+BATCH = 1 << 18
 _U = np.uint64
 
 
@@ -120,8 +123,9 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return np.where(has[:, None], value, _U(0)).astype(np.uint16)
 
 
-def as_text(row: np.ndarray) -> str:
-    return row.astype(">u2").tobytes().hex()
+def as_bytes_of(row: np.ndarray) -> bytes:
+    """Slots as big-endian bytes; their hex is the fingerprint's text."""
+    return row.astype(">u2").tobytes()
 
 
 def from_text(text: str) -> np.ndarray:
@@ -138,15 +142,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-_OUT = "doc_id {id}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id {id}, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_BYTES = ("edited_sha256", "fingerprint", "edited_fingerprint")
 
 
 def _rows(ids: list, texts: list[str], following: list[str], own: np.ndarray, after: np.ndarray) -> dict:
     new = [edited(a, b) for a, b in zip(texts, following, strict=True)]
     prints = fingerprints(new)
     return {
-        "doc_id": ids, "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in new],
-        "fingerprint": [as_text(x) for x in own], "edited_fingerprint": [as_text(x) for x in prints], "near_edited": likeness(own, prints), "near_next": likeness(own, after),
+        "doc_id": ids, "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).digest() for t in new],
+        "fingerprint": [as_bytes_of(x) for x in own], "edited_fingerprint": [as_bytes_of(x) for x in prints], "near_edited": likeness(own, prints), "near_next": likeness(own, after),
     }
 
 
@@ -155,14 +160,15 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, partitions: int
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     out_schema = _OUT.format(id=kind) + ", part int, edge int, edge_text string"
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    schema = pa.schema([("doc_id", id_type), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.int32()), ("edge_text", pa.string())])
+    schema = pa.schema([("doc_id", id_type), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.int32()), ("edge_text", pa.string())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", BATCH):
             ids, texts = batch.column(0).to_pylist(), [x.decode() for x in as_bytes(batch)]
             own = fingerprints(texts)
             edge: dict = {k: [] for k in schema.names}
@@ -196,4 +202,5 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, partitions: int
             made = _rows(ids, texts, following, fingerprints(texts), fingerprints(following))
             yield pa.RecordBatch.from_pydict({k: made[k] for k in names}, pa.schema([schema.field(k) for k in names]))
 
-    return walked.where("edge = -1").select(*names).unionByName(lasts.mapInArrow(close, _OUT.format(id=kind)))
+    both = walked.where("edge = -1").select(*names).unionByName(lasts.mapInArrow(close, _OUT.format(id=kind)))
+    return both.select(*[F.lower(F.hex(c)).alias(c) if c in _BYTES else c for c in names])
