@@ -2,43 +2,76 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.topics import cosine, dot
+from tidemark.functions.text import per_document
+from tidemark.operators.topics import best_matches, cosine, dot
 
 #: Relevance and candidate thresholds, the smallest pool and cluster, refit days.
 RELEVANT, CANDIDATE, POOL, CLUSTER, REFIT_DAYS = 0.35, 0.75, 30, 5, 30
 
 
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own for a local session and an error for a cluster."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that the session names."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "spark-checkpoint-"))
     return df.checkpoint()
 
 
 def theme_relevance(docs: DataFrame, refs: DataFrame, least: float = RELEVANT) -> DataFrame:
     """The highest cosine to a reference vector; without references 0 and not relevant."""
-    met = docs.join(refs.select(F.col("centroid").alias("ref")), how="left", on=F.lit(True))
-    score = F.coalesce(F.max(cosine(F.col("embedding"), F.col("ref"))), F.lit(0.0))
-    return met.groupBy("vec_id").agg(score.alias("relevance_score")).withColumn("is_relevant", F.col("relevance_score") >= least)
+    met = best_matches(docs.select("vec_id", "embedding"), refs.select(F.monotonically_increasing_id().alias("ref_id"), "centroid"), "vec_id", "ref_id")
+    score = F.coalesce("similarity", F.lit(0.0))
+    return met.select("vec_id", score.alias("relevance_score"), (score >= least).alias("is_relevant"))
+
+
+def references_by_basis(themes: DataFrame, description: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """theme, basis and the reference rows of each theme: its description's, its accepted queries' or all of its corpus."""
+    parts = [rows.withColumn("basis", F.lit(name)) for name, rows in (("description", description), ("queries", queries), ("corpus", corpus))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.join(themes.select("theme", "basis"), ["theme", "basis"])
 
 
 def hashed_embedding(docs: DataFrame, dims: int = 384) -> DataFrame:
-    """doc_id, dim, weight: words hashed to ``dims`` places, term counts times idf of the place, unit length; zeros left out."""
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("w"))
-    place = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % dims
-    tf = words.groupBy("doc_id", place.alias("dim")).agg(F.count("*").alias("tf"))
-    df = tf.groupBy("dim").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("n"))
-    idf = df.join(F.broadcast(total), how="inner", on=F.lit(True)).select("dim", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
-    met = tf.join(F.broadcast(idf), "dim").withColumn("x", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
-    return met.select("doc_id", "dim", F.coalesce(F.col("x") / F.nullif(norm, F.lit(0.0)), F.lit(0.0)).alias("weight"))
+    """doc_id, dim, weight: words hashed to ``dims`` places, term counts times idf of the place, unit length; zeros left out.
+
+    Texts are read twice, for document frequencies and for weights, and never shuffled; the frequencies, ``dims``
+    numbers, go to every task.
+    """
+
+    def measure(start: np.ndarray, at: np.ndarray, words: list[str]) -> list[pa.Array]:
+        place = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims for w in words], np.int64)
+        row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        cell, n = np.unique(row * dims + place[at], return_counts=True)
+        off = pa.array(np.searchsorted(cell, np.arange(len(start)) * dims).astype(np.int32))
+        return [pa.ListArray.from_arrays(off, pa.array(cell % dims)), pa.ListArray.from_arrays(off, pa.array(n.astype(np.int64)))]
+
+    tf = per_document(docs, "doc_id", "text", r"[\p{L}\p{N}_]{2,}", "dims array<bigint>, tf array<bigint>", measure)
+    df = {r["dim"]: r["df"] for r in tf.select(F.explode("dims").alias("dim")).groupBy("dim").agg(F.count("*").alias("df")).collect()}  # dims rows at most
+    total = docs.count()
+    idf = F.array(*[F.lit(float(np.log((total + 1) / (df.get(i, 0) + 1)))) for i in range(dims)])
+    met = tf.withColumn("x", F.zip_with("dims", "tf", lambda i, n: F.struct(i.alias("dim"), (n * F.get(idf, i.cast("int"))).alias("x"))))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
+    each = met.select("doc_id", norm.alias("norm"), F.explode("x").alias("e"))
+    return each.select("doc_id", F.col("e.dim").alias("dim"), F.coalesce(F.col("e.x") / F.nullif("norm", F.lit(0.0)), F.lit(0.0)).alias("weight"))
 
 
 def near_pairs(rows: DataFrame, least: float, anchors: int = 3) -> DataFrame:
@@ -98,10 +131,10 @@ def candidate_resolution(candidates: DataFrame, topics: DataFrame, least: float
 
     ``moved`` is how far the one drift step takes the topic's centroid.
     """
-    t = topics.select("topic_id", "pinned", F.col("centroid").alias("home"))
-    s = cosine(F.col("centroid"), F.col("home"))
-    met = candidates.join(t, how="left", on=F.lit(True)).select("candidate_id", "centroid", "home", "topic_id", "pinned", s.alias("s"))
-    best = met.groupBy("candidate_id").agg(F.max_by(F.struct("topic_id", "pinned", "s", "centroid", "home"), F.struct(F.round("s", 9), -F.col("topic_id"))).alias("x"))
+    near = best_matches(candidates.select("candidate_id", F.col("centroid").alias("embedding")), topics.select("topic_id", "centroid"), "candidate_id", "topic_id")
+    home = topics.select("topic_id", "pinned", F.col("centroid").alias("home"))
+    met = near.join(candidates, "candidate_id").join(home, "topic_id", "left")
+    best = met.select("candidate_id", F.struct("topic_id", F.coalesce("pinned", F.lit(False)).alias("pinned"), F.coalesce("similarity", F.lit(-1.0)).alias("s"), "centroid", "home").alias("x"))
     merges = (F.col("x.s") >= least) & ~F.col("x.pinned")
     apart = F.zip_with("x.centroid", "x.home", lambda a, b: a - b)
     return best.select(

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+#: References that go to a task as one matrix (at 384 doubles 25 MB).
+REF_BLOCK = 8192
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -20,13 +28,72 @@ def mean_vectors(rows: DataFrame, key: str, vec: str = "embedding") -> DataFrame
     return by.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def nearest_topic(docs: DataFrame, topics: DataFrame) -> DataFrame:
-    """The best active topic of each document. One row of centroids goes to each document row by a broadcast of checked size.
+def packed_vectors(rows: DataFrame, key: str, vec: str, block: int = REF_BLOCK) -> DataFrame:
+    """Blocks of at most about ``block`` vectors: block, ids, vectors."""
+    blocks = -(-rows.count() // block) or 1
+    by = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).groupBy("block")
+    return by.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vec).alias("v")))).alias("refs"))
+
+
+def best_matches(docs: DataFrame, refs: DataFrame, key: str, ref_key: str, vec: str = "embedding", ref_vec: str = "centroid", block: int = REF_BLOCK) -> DataFrame:
+    """key, ref_key, similarity: the reference of the highest cosine to each row (equal to 9 digits: the smallest), null without one.
 
-    The optimiser broadcasts the topics only under its size limit; beyond it the join is a partitioned product.
+    References come in blocks of bounded size, each a matrix that a task multiplies with its own rows, some at a time.
+    One block, the common case, is broadcast; more blocks are dealt to tasks with a copy of the rows, and the best of
+    each row's blocks is kept. Zero vectors match nothing.
     """
-    met = docs.crossJoin(topics.select("topic_id", "centroid")).select("vec_id", "topic_id", cosine(F.col("embedding"), F.col("centroid")).alias("similarity"))
-    return met.groupBy("vec_id").agg(F.max_by("topic_id", F.struct(F.round("similarity", 9), -F.col("topic_id"))).alias("topic_id"), F.max("similarity").alias("similarity"))
+    packed = packed_vectors(refs, ref_key, ref_vec, block)
+    rows = docs.select(F.col(key).alias("key"), F.col(vec).alias("vec"))
+    kind, ref_kind = rows.schema["key"].dataType.simpleString(), refs.schema[ref_key].dataType.simpleString()
+    schema = f"key {kind}, ref {ref_kind}, similarity double"
+
+    def unit(v: list) -> np.ndarray:
+        x = np.array(v, float)
+        norm = np.sqrt((x * x).sum(1))
+        return np.where(norm[:, None] > 0, x / np.where(norm > 0, norm, 1)[:, None], np.nan)
+
+    def best(ids: list, x: np.ndarray, keys: pa.Array, vectors: list) -> pa.RecordBatch:
+        if not ids or not vectors:
+            return pa.RecordBatch.from_arrays([keys, pa.nulls(len(keys), ref_type), pa.nulls(len(keys), pa.float64())], names=["key", "ref", "similarity"])
+        s = unit(vectors) @ x.T
+        at = np.where(np.isnan(s), -2.0, np.round(s, 9)).argmax(1)
+        top = s[np.arange(len(at)), at]
+        ref = pa.array(ids, ref_type).take(pa.array(at, mask=np.isnan(top)))
+        return pa.RecordBatch.from_arrays([keys, ref, pa.array(top, mask=np.isnan(top))], names=["key", "ref", "similarity"])
+
+    ref_type = _ARROW[ref_kind]
+    if (blocks := packed.count()) <= 1:
+        held = packed.first()
+        own = held["refs"] if held else []
+        shared = docs.sparkSession.sparkContext.broadcast(([r["id"] for r in own], unit([r["v"] for r in own]) if own else None))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, x = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    yield best(ids, x, part.column(0), part.column(1).to_pylist())
+
+        out = rows.mapInArrow(scan, schema)
+    else:
+        dealt = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(-(-docs.count() // 50_000))))
+        parts = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-docs.count() // 50_000) - 1).cast("long"))))
+
+        def meet(left, right):
+            own = right["refs"].to_pylist()[0] if right.num_rows else []
+            found = best([r["id"] for r in own], unit([r["v"] for r in own]) if own else None, left["key"].combine_chunks(), left["vec"].to_pylist())
+            return pa.Table.from_batches([found])
+
+        each = dealt.groupBy("block", "part").cogroup(parts.groupBy("block", "part")).applyInArrow(meet, schema)
+        order = F.round(F.coalesce("similarity", F.lit(-2.0)), 9)
+        top = each.groupBy("key").agg(F.max(order).alias("top"))
+        out = each.join(top, "key").where(order == F.col("top")).groupBy("key").agg(F.min("ref").alias("ref"), F.max("similarity").alias("similarity"))
+    return out.select(F.col("key").alias(key), F.col("ref").alias(ref_key), "similarity")
+
+
+def nearest_topic(docs: DataFrame, topics: DataFrame) -> DataFrame:
+    """The best active topic of each document."""
+    return best_matches(docs, topics, "vec_id", "topic_id").where("similarity is not null")
 
 
 def assign_topics(nearest: DataFrame, least: float = 0.55) -> DataFrame:
@@ -47,6 +114,87 @@ def centroid_drift(assigned: DataFrame, topics: DataFrame, rate: float = 0.02) -
     return met.groupBy("topic_id").agg(F.first("n").cast("long").alias("doc_count"), F.sqrt(F.sum((F.col("new") - F.col("c")) * (F.col("new") - F.col("c")))).alias("moved"))
 
 
+def drift_scores(assigned: DataFrame, topics: DataFrame, rate: float = 0.02, block: int = 512) -> DataFrame:
+    """topic_id, doc_count, drift_score: the sum of rate * |c - x| over a topic's vectors in order, c the centroid before each step.
+
+    A topic's vectors go in blocks. Each block's share of the moving centroid has a closed form, so the centroid at a
+    block's start comes from the blocks before it, and the blocks then walk side by side, each in a task of its own.
+    """
+    order = Window.partitionBy("topic_id").orderBy("vec_id")
+    placed = assigned.select("topic_id", "vec_id", "embedding", ((F.row_number().over(order) - 1) / block).cast("int").alias("block"))
+    kind, dims = assigned.schema["topic_id"].dataType.simpleString(), "array<double>"
+
+    def vectors(table: pa.Table) -> np.ndarray:
+        table = table.sort_by("vec_id")
+        return np.array(table["embedding"].to_pylist(), float).reshape(table.num_rows, -1)
+
+    def added(key, table):
+        x = vectors(table)
+        weight = rate * (1 - rate) ** np.arange(len(x) - 1, -1, -1)
+        return pa.table({"topic_id": pa.array([key[0].as_py()], _ARROW[kind]), "block": pa.array([key[1].as_py()], pa.int32()), "n": [len(x)], "add": [(weight[:, None] * x).sum(0).tolist()]})
+
+    sums = placed.groupBy("topic_id", "block").applyInArrow(added, f"topic_id {kind}, block int, n long, add {dims}")
+    lists = sums.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("block", "n", "add"))).alias("parts")).join(topics.select("topic_id", F.transform("centroid", lambda c: c.cast("double")).alias("c0")), "topic_id")
+    step = lambda s, p: F.struct(F.zip_with(s["c"], p["add"], lambda c, a: c * F.pow(F.lit(1 - rate), p["n"]) + a).alias("c"), F.concat(s["at"], F.array(s["c"])).alias("at"))
+    start = F.struct(F.col("c0").alias("c"), F.expr("cast(array() as array<array<double>>)").alias("at"))
+    starts = lists.select("topic_id", F.posexplode(F.aggregate("parts", start, step, lambda s: s["at"])).alias("block", "c"))
+
+    def walk(key, left, right):
+        total = 0.0
+        if right.num_rows:
+            c = np.array(right["c"].to_pylist()[0], float)
+            for x in vectors(left) if left.num_rows else []:
+                total += rate * float(np.linalg.norm(c - x))
+                c = (1 - rate) * c + rate * x
+        return pa.table({"topic_id": pa.array([key[0].as_py()], _ARROW[kind]), "n": [left.num_rows], "score": [total]})
+
+    walked = placed.groupBy("topic_id", "block").cogroup(starts.groupBy("topic_id", "block")).applyInArrow(walk, f"topic_id {kind}, n long, score double")
+    return walked.groupBy("topic_id").agg(F.sum("n").alias("doc_count"), F.sum("score").alias("drift_score"))
+
+
+def mark_dormant(topics: DataFrame, today: Column, days: int = 60) -> DataFrame:
+    """Active topics that were last seen more than ``days`` before today become dormant; no topic is deleted."""
+    late = (F.col("status") == "active") & (F.col("last_seen") < F.date_sub(today, days))
+    return topics.withColumn("status", F.when(late, "dormant").otherwise(F.col("status")))
+
+
+def touch_topics(topics: DataFrame, assigned: DataFrame, today: Column) -> DataFrame:
+    """Topics that took a document today were last seen today."""
+    seen = assigned.select("topic_id").distinct().withColumn("took", F.lit(True))
+    return topics.join(seen, "topic_id", "left").withColumn("last_seen", F.when(F.col("took"), F.greatest("last_seen", today)).otherwise(F.col("last_seen"))).drop("took")
+
+
+def refit(current: DataFrame, proposed: DataFrame, match: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """(assignments, lineage) after a refit of (document_id, topic_id) by (document_id, cluster_id).
+
+    Only where both labelings agree by an adjusted Rand index of ``least`` or more do documents move to the topic that
+    their cluster matches; clusters without a topic move nothing. Lineage has a row for each pair of topics between
+    which documents moved.
+    """
+    both = current.join(proposed, "document_id")
+    agrees = adjusted_rand(both.select(F.col("topic_id").alias("a"), F.col("cluster_id").alias("b"))).select((F.col("ari") >= least).alias("agrees"))
+    to = proposed.join(match.select("cluster_id", F.col("topic_id").alias("to_id")), "cluster_id").select("document_id", "to_id")
+    met = current.join(to, "document_id", "left").join(F.broadcast(agrees), how="inner", on=F.lit(True))
+    moves = F.col("agrees") & F.col("to_id").isNotNull() & (F.col("to_id") != F.col("topic_id"))
+    out = met.select("document_id", F.when(moves, F.col("to_id")).otherwise(F.col("topic_id")).alias("topic_id"), F.when(moves, F.col("topic_id")).alias("moved_from"))
+    lineage = out.where("moved_from is not null").groupBy(F.col("moved_from").alias("from_topic"), F.col("topic_id").alias("to_topic")).agg(F.count("*").alias("documents")).withColumn("event", F.lit("refit_remap"))
+    return out, lineage
+
+
+def merge_registry(topics: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(topics, lineage) after merges: where A and B are active and differ, A's status is merged and it points to B.
+
+    A topic that several requests name goes into the smallest of their targets.
+    """
+    active = topics.where("status = 'active'").select("topic_id")
+    ok = requests.where("topic_id <> into_id").join(active, "topic_id", "left_semi").join(active.withColumnRenamed("topic_id", "into_id"), "into_id", "left_semi")
+    ok = ok.groupBy("topic_id").agg(F.min("into_id").alias("into_id"))
+    met = topics.join(ok, "topic_id", "left")
+    gone = F.col("into_id").isNotNull()
+    out = met.withColumn("status", F.when(gone, "merged").otherwise(F.col("status"))).withColumn("merged_into", F.coalesce("into_id", "merged_into")).drop("into_id")
+    return out, ok.select(F.col("topic_id").alias("from_topic"), F.col("into_id").alias("to_topic"), F.lit("merge").alias("event"))
+
+
 def coherence(rows: DataFrame, key: str) -> DataFrame:
     """Mean pairwise cosine of each group without pairs: (|sum u|^2 - n) / (n (n - 1)) on unit vectors; zero vectors are left out."""
     norm = F.nullif(F.sqrt(dot(F.col("embedding"), F.col("embedding"))), F.lit(0.0))
@@ -80,12 +228,26 @@ def keywords(docs: DataFrame, group: str, text: str, stop: list[str], features:
     return met.withColumn("place", F.row_number().over(order)).where((F.col("place") <= top) & (F.col("weight") > 0)).select(group, "place", "term", "weight")
 
 
-def resolve_merged(topics: DataFrame, depth: int = 16) -> DataFrame:
-    """The survivor of each topic along merged_into; a cycle, like a chain beyond the depth, has none. Stops when nothing moves."""
-    at = topics.select("topic_id", F.col("topic_id").alias("at"))
-    step = topics.select(F.col("topic_id").alias("from"), "merged_into")
-    for _ in range(depth):
-        at = at.join(step, F.col("at") == F.col("from"), "left").select("topic_id", F.coalesce("merged_into", "at").alias("at"))
+def topic_labels(terms: DataFrame, topics: DataFrame, group: str) -> DataFrame:
+    """The first three keywords of each topic as its label; a topic without any is unlabelled."""
+    by = terms.where("place <= 3").groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda s: s["term"]), ", ").alias("label"))
+    return topics.select(group).distinct().join(by, group, "left").select(group, F.coalesce("label", F.lit("unlabelled topic")).alias("label"))
+
+
+def resolve_merged(topics: DataFrame, cut=lambda df: df) -> DataFrame:
+    """The survivor of each topic along merged_into, however long the chain; a topic that ends in a cycle or an unknown one has none.
+
+    Each round doubles the links that are followed, so rounds are the logarithm of the longest chain; a topic
+    that still moves after as many rounds as there can be goes round in a cycle. ``cut`` may end the lineage.
+    """
+    at = topics.select("topic_id", F.coalesce("merged_into", "topic_id").alias("at"))
+    rounds = max(1, topics.count()).bit_length()
+    for _ in range(rounds):
+        step = at.select(F.col("topic_id").alias("from"), F.col("at").alias("on"))
+        moved = cut(at.join(step, F.col("at") == F.col("from"), "left").select("topic_id", F.coalesce("on", "at").alias("at"), (F.col("on") != F.col("at")).alias("moves")))
+        at = moved.select("topic_id", "at")
+        if moved.where("moves").isEmpty():
+            break
     ends = topics.where("merged_into is null").select(F.col("topic_id").alias("at"), F.lit(True).alias("ends"))
     return at.join(ends, "at", "left").select("topic_id", F.when(F.col("ends"), F.col("at")).alias("survivor"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.discovery import shared_folder
+
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """``path`` is a folder of files or one file; the pattern covers both."""
@@ -24,8 +25,7 @@ def daily_counts(events: DataFrame, late: str = "3 days") -> DataFrame:
 
 def run_available(spark: SparkSession, counts: DataFrame) -> DataFrame:
     """Take in what has landed, then stop. Each batch writes the days it touched; the newest batch of a day holds."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark, 'spark-stream-')}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
