@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 INTENTS = ("bug_report", "feature_request", "praise", "complaint", "question", "comparison", "pricing", "churn", "other")
 
 
+#: The day on which changes are planted.
+PLANT_DAY = "2024-01-30"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +35,24 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted(spark: SparkSession, sf_dir: str, day: str = PLANT_DAY) -> DataFrame:
+    """The feedback view with changes planted, so that detectors meet what they look for at their own thresholds.
+
+    Topic t1 holds a fifth of its documents before the day (a burst on it), t2 grows day by day, t3's sentiment
+    turns ten days before, t4 has no document before the day (it emerges), t5 falls to a third nine days before.
+    """
+    docs, on = feedback(spark, sf_dir), F.lit(day).cast("date")
+    topic, i = F.coalesce("topic_id", F.lit("")), F.col("document_id")
+    early = F.col("bucket") < on
+    gone = (
+        ((topic == "t1") & early & (i % 5 != 0)) | ((topic == "t2") & (i % 30 > F.dayofmonth("bucket"))) | ((topic == "t4") & early)
+        | ((topic == "t5") & (F.col("bucket") >= F.date_sub(on, 9)) & (i % 3 != 0))
+    )
+    s = F.when(topic == "t3", F.abs("sentiment_score") * F.when(F.col("bucket") < F.date_sub(on, 10), 1.0).otherwise(-1.0)).otherwise(F.col("sentiment_score"))
+    label = F.when(F.col("sentiment_score") >= 0.05, "positive").when(F.col("sentiment_score") <= -0.05, "negative").when(F.col("sentiment_score").isNotNull(), "neutral")
+    return docs.where(~gone).withColumn("sentiment_score", s).withColumn("sentiment_label", label)
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """One row for each monitor, source and local day: rows kept (0 where the source was absent) and whether the quota was hit."""
     by = docs.groupBy("monitor_id", "source_name", "bucket").agg(F.count("*").alias("n"))
@@ -39,14 +61,19 @@ def ledger(docs: DataFrame) -> DataFrame:
     return by.select("monitor_id", "source_name", "bucket", F.when(absent, 0).otherwise(F.col("n")).cast("long").alias("kept"), ((day * 7 + size) % 10 == 0).alias("quota_hit"))
 
 
+def planted_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger with the quota hit by one source only, so that most days are clean."""
+    return ledger(docs).withColumn("quota_hit", F.col("quota_hit") & (F.col("source_name") == "view"))
+
+
 def runs(docs: DataFrame) -> DataFrame:
     days = docs.select("monitor_id", "bucket").distinct()
     return days.withColumn("status", F.when(F.dayofmonth("bucket") % 9 == 0, "partial").otherwise("complete"))
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """topic_id, bucket, value: rows per ship day of each return flag and line status in 1995-1997, a long series."""
-    li = table(spark, sf_dir, "lineitem").where("l_shipdate >= date'1995-01-01' and l_shipdate < date'1998-01-01'")
+    """topic_id, bucket, value: rows per ship day of each return flag and line status, a long series."""
+    li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("topic_id"), F.to_date("l_shipdate").alias("bucket")).agg(F.count("*").cast("double").alias("value"))
 
 
@@ -64,5 +91,13 @@ ledger AS (SELECT monitor_id, source_name, bucket, CAST(CASE WHEN (day(bucket) +
 runs AS (SELECT DISTINCT monitor_id, bucket, CASE WHEN day(bucket) % 9 = 0 THEN 'partial' ELSE 'complete' END AS status FROM feedback)"""
 
 DAILY_SQL = """
-daily AS (SELECT l_returnflag || l_linestatus AS topic_id, CAST(l_shipdate AS DATE) AS bucket, CAST(count(*) AS DOUBLE) AS value FROM lineitem
-  WHERE l_shipdate >= DATE '1995-01-01' AND l_shipdate < DATE '1998-01-01' GROUP BY 1, 2)"""
+daily AS (SELECT l_returnflag || l_linestatus AS topic_id, CAST(l_shipdate AS DATE) AS bucket, CAST(count(*) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)"""
+
+_GONE = f"""((coalesce(topic_id, '') = 't1' AND bucket < DATE '{PLANT_DAY}' AND document_id % 5 <> 0) OR (coalesce(topic_id, '') = 't2' AND document_id % 30 > day(bucket))
+  OR (coalesce(topic_id, '') = 't4' AND bucket < DATE '{PLANT_DAY}') OR (coalesce(topic_id, '') = 't5' AND bucket >= DATE '{PLANT_DAY}' - 9 AND document_id % 3 <> 0))"""
+_PLANT = f"""feedback1 AS (SELECT *, CASE WHEN topic_id = 't3' THEN abs(sentiment_score) * CASE WHEN bucket < DATE '{PLANT_DAY}' - 10 THEN 1 ELSE -1 END ELSE sentiment_score END AS ns FROM feedback0 WHERE NOT {_GONE}),
+feedback AS (SELECT document_id, monitor_id, source_name, entity_id, author_hash, published_at, bucket, topic_id, is_relevant, ns AS sentiment_score,
+  CASE WHEN ns >= 0.05 THEN 'positive' WHEN ns <= -0.05 THEN 'negative' WHEN ns IS NOT NULL THEN 'neutral' END AS sentiment_label, rating, engagement, intent, k FROM feedback1),
+ledger AS ("""
+_HIT = "% 10 = 0 AS quota_hit"
+PLANTED_SQL = FEEDBACK_SQL.replace(_HIT, _HIT.replace(" AS", " AND source_name = 'view' AS")).replace("feedback AS (SELECT event_id", "feedback0 AS (SELECT event_id").replace("ledger AS (", _PLANT)

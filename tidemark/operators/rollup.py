@@ -72,11 +72,11 @@ def intent_counts(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     return by.groupBy("monitor_id", "bucket", "topic_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("intent", "count")))).alias("intent_counts"))
 
 
-def late_recompute(docs: DataFrame, ledger: DataFrame, late: DataFrame) -> DataFrame:
-    """The rollup of only those local days that late documents touch."""
+def late_recompute(docs: DataFrame, ledger: DataFrame, late: DataFrame, reason: str = "late_arrival") -> DataFrame:
+    """The rollup of only those local days that late (or otherwise changed) documents touch."""
     days = late.select("monitor_id", "bucket").distinct()
     keep = lambda df: df.join(days, ["monitor_id", "bucket"], "left_semi")
-    return daily_rollup(keep(docs), keep(ledger)).withColumn("reason", F.lit("late_arrival"))
+    return daily_rollup(keep(docs), keep(ledger)).withColumn("reason", F.lit(reason))
 
 
 def _without(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Daily series of topics: dense calendars, gates, baselines, weekly seasonality, detectors, correction, events.
 
 Points are (keys, bucket, value, quality); all keys go through every step at once. Windows are bounded
-(60 days), so groups are small whatever the number of topics.
+(60 days), so groups are small whatever the number of topics. The day that is tested may itself be one of the
+keys (``as_of``), so that one job covers many days.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 
-WINDOW, RECENT, MIN_CLEAN, FLOOR, Z, ALPHA, COOLDOWN = 60, 21, 14, 5, 3.5, 0.05, 3
+WINDOW, RECENT, MIN_CLEAN, FLOOR, Z, ALPHA, COOLDOWN = 60, 21, 14, 5, 3.5, 0.1, 3
 MAD_TO_STD = 1.4826
 
 
@@ -26,6 +27,12 @@ def dense_series(metrics: DataFrame, runs: DataFrame, end: Column, window: int =
     return met.select("monitor_id", "topic_id", "bucket", "value", quality.alias("quality"))
 
 
+def as_of(points: DataFrame, days: list, window: int = WINDOW, name: str = "day") -> DataFrame:
+    """points once for each of the days, as far as that day's window reaches back, with the day as a column."""
+    each = points.withColumn(name, F.explode(F.array(*[F.lit(d).cast("date") for d in days])))
+    return each.where((F.col("bucket") <= F.col(name)) & (F.col("bucket") > F.date_sub(F.col(name), window)))
+
+
 def _clean(points: DataFrame) -> DataFrame:
     return points.where("quality = 'clean' and value is not null")
 
@@ -159,6 +166,19 @@ def cooldown(candidates: DataFrame, events: DataFrame, keys: list[str], day: Col
     return candidates.join(past, [*keys, "kind"], "left").where(F.col("last_on").isNull() | (F.datediff(day, "last_on") >= days)).drop("last_on")
 
 
+def cooldown_history(found: DataFrame, keys: list[str], days: int = COOLDOWN) -> DataFrame:
+    """Of (keys, kind, detected_on): which days fire, each at rest for ``days`` after one that fired; over any span in one pass.
+
+    A group is the days of one key and kind, in order: a fold keeps the last one that fired.
+    """
+    by = found.groupBy(*keys, "kind").agg(F.array_sort(F.collect_set("detected_on")).alias("on"))
+    none = F.lit(None).cast("date")
+    start = F.struct(none.alias("last"), F.expr("cast(array() as array<date>)").alias("kept"))
+    fires = lambda s, d: s["last"].isNull() | (F.datediff(d, s["last"]) >= days)
+    fold = F.aggregate("on", start, lambda s, d: F.struct(F.when(fires(s, d), d).otherwise(s["last"]).alias("last"), F.when(fires(s, d), F.concat(s["kept"], F.array(d))).otherwise(s["kept"]).alias("kept")))
+    return by.select(*keys, "kind", F.explode(fold["kept"]).alias("detected_on"))
+
+
 def collapse_events(kept: DataFrame, keys: list[str], day: Column) -> DataFrame:
     """One event for each key and kind; of several burst methods the last in detector order stays."""
     order = F.when(F.col("method") == "robust_z", 1).when(F.col("method") == "poisson_exact", 2).otherwise(3)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.fixtures import DAILY_SQL, FEEDBACK_SQL, INTENTS, daily_counts, feedback, ledger, runs, table
 from tidemark.functions import text as tx
 from tidemark.operators import rollup, series, topics
+from tidemark.operators.discovery import cut
 from tidemark.plans import views
 from tidemark.sources import ingest
 
@@ -173,14 +174,6 @@ def language_guess(spark, d):
     return tx.language(table(spark, d, "documents"))
 
 
-@query(_LANG + rf" SELECT doc_id, language IS NULL OR language IN ('en', 'de') AS accepted, CASE WHEN language IS NULL OR language IN ('en', 'de') THEN len(regexp_extract_all(text, '[^\s]+')) >= 3 ELSE false END AS is_relevant FROM lang")
-def language_gate(spark, d):
-    docs = table(spark, d, "documents")
-    met = docs.join(tx.language(docs), "doc_id")
-    ok = F.col("language").isNull() | F.col("language").isin("en", "de")
-    return met.select("doc_id", ok.alias("accepted"), F.when(ok, tx.word_count(F.col("text")) >= 3).otherwise(F.lit(False)).alias("is_relevant"))
-
-
 @query(r"SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(coalesce(text, ''), '[^\s]+')) >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS relevance_score FROM conversations")
 def relevance_floor(spark, d):
     c = table(spark, d, "conversations")
@@ -224,21 +217,6 @@ def bucket_bounds(spark, d):
     return b.select("bucket", lo.alias("starts_at"), hi.alias("ends_at"))
 
 
-@query("WITH v AS (SELECT sha256(coalesce(text, '') || chr(31)) AS h, ['bug_report','feature_request','praise','complaint','question','comparison','pricing','churn','other'][min(doc_id) % 9 + 1] AS intent FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1) SELECT d.doc_id, v.intent FROM documents d LEFT JOIN v ON v.h = sha256(coalesce(d.text, '') || chr(31))")
-def intent_attach(spark, d):
-    docs = table(spark, d, "documents").withColumn("h", tx.content_hash(F.col("text"), F.lit(None)))
-    landed = docs.where("doc_id % 3 <> 0").groupBy("h").agg(F.element_at(F.array(*[F.lit(i) for i in INTENTS]), (F.min("doc_id") % 9 + 1).cast("int")).alias("intent"))
-    return docs.join(landed, "h", "left").select("doc_id", "intent")
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'v2' ELSE 'v1' END AS language_version, 'v1' AS sentiment_version FROM documents")
-def stage_rerun(spark, d):
-    docs = table(spark, d, "documents").withColumn("old", F.create_map(F.lit("language"), F.lit("v1"), F.lit("sentiment"), F.lit("v1")))
-    new = F.when(F.col("doc_id") % 4 == 0, F.create_map(F.lit("language"), F.lit("v2"))).otherwise(F.create_map().cast("map<string,string>"))
-    merged = F.map_from_entries(F.concat(F.filter(F.map_entries("old"), lambda e: ~F.map_contains_key(new, e["key"])), F.map_entries(new)))
-    return docs.withColumn("m", merged).select("doc_id", F.col("m")["language"].alias("language_version"), F.col("m")["sentiment"].alias("sentiment_version"))
-
-
 # ---- ingest -------------------------------------------------------------------------------------------------
 
 
@@ -247,22 +225,6 @@ def _items(spark, d):
     return e.select("source_name", F.col("document_id").alias("external_id"), "published_at", "rating", "engagement", "k")
 
 
-@query(f"WITH {FEEDBACK_SQL} SELECT source_name, document_id AS external_id, CASE WHEN source_name IN ('click', 'view') THEN rating END AS rating, CASE WHEN source_name IN ('purchase', 'signup') THEN engagement END AS engagement FROM feedback")
-def unify_items(spark, d):
-    i = _items(spark, d)
-    a = i.where("source_name in ('click', 'view')").select("source_name", "external_id", "rating")
-    b = i.where("source_name in ('purchase', 'signup')").select("source_name", "external_id", "engagement")
-    c = i.where("source_name not in ('click', 'view', 'purchase', 'signup')").select("source_name", "external_id")
-    return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
-
-
-@query("SELECT doc_id, CASE WHEN coalesce(text, '') <> '' AND doc_id % 5 <> 0 THEN text WHEN doc_id % 7 <> 0 THEN source END AS body, sha256(coalesce(CASE WHEN coalesce(text, '') <> '' AND doc_id % 5 <> 0 THEN text WHEN doc_id % 7 <> 0 THEN source END, '') || chr(31) || CAST(doc_id % 5 AS VARCHAR)) AS content_hash FROM documents")
-def document_rows(spark, d):
-    docs = table(spark, d, "documents")
-    body = F.coalesce(F.nullif(F.when(F.col("doc_id") % 5 != 0, F.col("text")), F.lit("")), F.nullif(F.when(F.col("doc_id") % 7 != 0, F.col("source")), F.lit("")))
-    return docs.select("doc_id", body.alias("body"), tx.content_hash(body, F.col("doc_id") % 5).alias("content_hash"))
-
-
 @query(f"WITH {FEEDBACK_SQL} SELECT document_id AS external_id, source_name FROM feedback WHERE published_at > TIMESTAMP '2024-01-15'")
 def cursor_increment(spark, d):
     i = _items(spark, d)
@@ -301,14 +263,6 @@ def fetch_ledger(spark, d):
     return ingest.fetch_ledger(b.select("source_name").distinct().unionByName(b.limit(1).select(F.lit("silent").alias("source_name"))), b, new)
 
 
-@query("SELECT event_id AS payload_id, CASE WHEN event_id % 31 = 0 THEN 'content_type' WHEN event_id % 50 = 0 THEN 'malformed' WHEN event_id % 37 = 0 THEN 'path_missing' END AS failed_check FROM events")
-def payload_validation(spark, d):
-    e = table(spark, d, "events")
-    body = F.when(F.col("event_id") % 50 == 0, F.substring("props", 1, 4)).when(F.col("event_id") % 37 == 0, F.lit("{}")).otherwise(F.col("props"))
-    kind = F.when(F.col("event_id") % 31 == 0, "text/html").otherwise("application/json")
-    return ingest.payload_validation(e.select(F.col("event_id").alias("payload_id"), kind.alias("content_type"), body.alias("body")), "$.k", 1)
-
-
 @query("SELECT DISTINCT event_type AS source_name, 'u' || user_id AS entity_ref FROM events WHERE user_id % 5 <> 0 AND user_id % 7 <> 0")
 def candidate_antijoin(spark, d):
     f = table(spark, d, "events").select(F.col("event_type").alias("source_name"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("entity_ref"), "user_id")
@@ -358,41 +312,6 @@ def deseasonalise(spark, d):
     return series.deseasonalise(_points(spark, d)[0], ["topic_id"]).withColumn("value", F.round("value", 6)).withColumn("factor", F.round("factor", 6))
 
 
-@query(_FLAT + f" SELECT topic_id, round((a.value - m) / mad, 6) AS statistic, abs((a.value - m) / mad) >= 0.5 AS fired FROM adj a JOIN base USING (topic_id) JOIN mad USING (topic_id) WHERE a.bucket = DATE '{DAY}' AND mad > 0 AND abs((a.value - m) / mad) >= 0.5")
-def det_robust_z(spark, d):
-    p, day = _points(spark, d)
-    flat = series.deseasonalise(p, ["topic_id"])
-    return series.detect_robust_z(flat, series.robust_baseline(p, ["topic_id"], day), ["topic_id"], day, 0.5).select("topic_id", F.round("statistic", 6).alias("statistic"), F.lit(True).alias("fired"))
-
-
-@query(_FLAT + f" SELECT topic_id, round(max(a.value) / any_value(lam), 6) AS statistic, round(max(a.value), 6) AS observed FROM adj a JOIN base USING (topic_id) WHERE a.quality = 'clean' AND a.bucket > DATE '{DAY}' - 3 AND lam > 0 AND a.value >= lam * 1.05 GROUP BY topic_id")
-def det_burst(spark, d):
-    p, day = _points(spark, d)
-    flat = series.deseasonalise(p, ["topic_id"])
-    return series.detect_burst(flat, series.robust_baseline(p, ["topic_id"], day), ["topic_id"], day, 1.05).select("topic_id", F.round("statistic", 6).alias("statistic"), F.round("observed", 6).alias("observed"))
-
-
-_NEAR = _POINTS + f", near AS (SELECT topic_id, bucket, value, row_number() OVER (PARTITION BY topic_id ORDER BY bucket) AS i, count(*) OVER (PARTITION BY topic_id) AS n FROM clean WHERE bucket > DATE '{DAY}' - 21)"
-
-
-@query(_NEAR + ", p AS (SELECT a.topic_id, sum(sign(b.value - a.value)) AS s, median((b.value - a.value) / (b.i - a.i)) AS slope, any_value(a.n) AS n FROM near a JOIN near b ON a.topic_id = b.topic_id AND a.i < b.i WHERE a.n >= 8 GROUP BY 1), t AS (SELECT topic_id, sum(t * (t - 1) * (2 * t + 5)) AS tied FROM (SELECT topic_id, value, count(*) AS t FROM near GROUP BY 1, 2) GROUP BY 1) SELECT topic_id, CAST(s AS DOUBLE) AS s, round(CASE WHEN s = 0 THEN 0 ELSE (s - sign(s)) / sqrt((n * (n - 1) * (2 * n + 5) - tied) / 18.0::DOUBLE) END, 6) AS z, round(slope, 6) AS slope FROM p JOIN t USING (topic_id)")
-def det_mann_kendall(spark, d):
-    p, day = _points(spark, d)
-    return series.mann_kendall(series.recent_clean(p, ["topic_id"], day), ["topic_id"]).select("topic_id", F.col("s").cast("double").alias("s"), F.round("z", 6).alias("z"), F.round("slope", 6).alias("slope"))
-
-
-@query(_NEAR + ", r AS (SELECT topic_id, i, n, sum(value) OVER w AS s, sum(value * value) OVER w AS q, sum(value) OVER p AS als, sum(value * value) OVER p AS alq FROM near WINDOW w AS (PARTITION BY topic_id ORDER BY i), p AS (PARTITION BY topic_id)), g AS (SELECT topic_id, i AS split, n, s / i AS before, (als - s) / (n - i) AS after, round(alq - als * als / n - greatest(0, q - s * s / i) - greatest(0, alq - q - (als - s) * (als - s) / (n - i)), 9) AS gain FROM r WHERE n >= 8 AND i BETWEEN 4 AND n - 4) SELECT topic_id, CAST(split AS INTEGER) AS split, round(before, 6) AS before, round(after, 6) AS after FROM g WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY gain DESC, split) = 1")
-def det_changepoint(spark, d):
-    p, day = _points(spark, d)
-    return series.best_split(series.recent_clean(p, ["topic_id"], day), ["topic_id"]).select("topic_id", "split", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
-
-
-@query()
-def trend_candidates(spark, d):
-    p, day = _points(spark, d)
-    return series.trend_candidates(p, ["topic_id"], day)
-
-
 def _pvalues(spark, d):
     e = feedback(spark, d).where("topic_id is not null")
     return e.groupBy("monitor_id", "bucket", "topic_id").agg((F.abs(F.sum(F.col("k") * 7 % 101)) % 101 / 1000.0).alias("p_value"))
@@ -477,15 +396,10 @@ def ctfidf_keywords(spark, d):
     return topics.keywords(table(spark, d, "documents"), "lang", "text", tx.STOP_WORDS["en"])
 
 
-@query("SELECT label AS topic_id, CASE WHEN max(vec_id) < 450 THEN 'dormant' ELSE 'active' END AS status FROM embeddings GROUP BY 1")
-def dormant_topics(spark, d):
-    return table(spark, d, "embeddings").groupBy(F.col("label").alias("topic_id")).agg(F.when(F.max("vec_id") < 450, "dormant").otherwise("active").alias("status"))
-
-
 @query("WITH RECURSIVE t AS (SELECT c_custkey AS topic_id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey - 1 END AS merged_into FROM customer), r AS (SELECT topic_id, topic_id AS place FROM t UNION ALL SELECT r.topic_id, t.merged_into FROM r JOIN t ON t.topic_id = r.place WHERE t.merged_into IS NOT NULL) SELECT topic_id, min(place) AS survivor FROM r WHERE place IN (SELECT topic_id FROM t WHERE merged_into IS NULL) GROUP BY 1 UNION ALL SELECT topic_id, NULL FROM t WHERE topic_id - topic_id % 4 NOT IN (SELECT topic_id FROM t)")
 def resolve_merged(spark, d):
     t = table(spark, d, "customer").select(F.col("c_custkey").alias("topic_id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") - 1).alias("merged_into"))
-    return topics.resolve_merged(t, 4)
+    return topics.resolve_merged(t, cut)
 
 
 @query("SELECT l_orderkey AS document_id, l_partkey AS topic_id FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_shipdate DESC, l_linenumber, l_partkey) = 1")
@@ -515,16 +429,6 @@ def view_overview(spark, d):
     return views.overview(_metrics(spark, d))
 
 
-@query(_ROLLUP + " SELECT monitor_id, topic_id, CAST(sum(doc_count) AS BIGINT) AS documents, round(avg(doc_count_share), 6) AS share, round(avg(sentiment_mean), 6) AS sentiment FROM metrics WHERE grouping_id = 2 GROUP BY 1, 2")
-def view_ranking(spark, d):
-    return views.ranking(_metrics(spark, d))
-
-
-@query(_ROLLUP + " SELECT bucket, monitor_id, doc_count FROM metrics WHERE grouping_id = 2 AND topic_id = 't5'")
-def view_topic_history(spark, d):
-    return _metrics(spark, d).where("grouping_id = 2 and topic_id = 't5'").select("bucket", "monitor_id", "doc_count").orderBy("bucket")
-
-
 @query("SELECT n_name, count(*) AS documents, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share, round(avg(o_totalprice), 4) AS mean_value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1997-01-01' GROUP BY 1")
 def view_share_of_voice(spark, d):
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
@@ -532,11 +436,6 @@ def view_share_of_voice(spark, d):
     return views.share_of_voice(met, "n_name", F.col("o_totalprice")).withColumn("mean_value", F.round("mean_value", 4))
 
 
-@query(f"WITH {FEEDBACK_SQL}, b AS (SELECT monitor_id, source_name, bool_or(kept = 0) AS bad FROM ledger GROUP BY 1, 2) SELECT l.monitor_id, CAST(sum(kept) AS BIGINT) AS sample, list_sort(list(DISTINCT CAST(bucket AS VARCHAR)) FILTER (WHERE quota_hit)) AS truncated_days, (SELECT count(*) FROM b WHERE b.monitor_id = l.monitor_id AND bad) AS sources_failed, (SELECT count(*) FROM b WHERE b.monitor_id = l.monitor_id AND NOT bad) AS sources_ok FROM ledger l GROUP BY 1")
-def view_data_quality(spark, d):
-    return views.data_quality(_docs(spark, d)[1])
-
-
 @query(f"WITH {FEEDBACK_SQL} SELECT document_id, published_at FROM feedback WHERE published_at < TIMESTAMP '2024-01-20' ORDER BY published_at DESC, document_id DESC LIMIT 51")
 def view_document_page(spark, d):
     return views.page(feedback(spark, d), ("2024-01-20", 0), 50).select("document_id", "published_at")
@@ -552,22 +451,6 @@ def day_trust(spark, d):
     return views.day_trust(runs(feedback(spark, d)))
 
 
-def _components(spark, d):
-    m = _metrics(spark, d).where("grouping_id = 2")
-    return m.select("monitor_id", "bucket", "topic_id", "author_diversity", F.col("engagement_sum").cast("double").alias("burst"), F.col("rating_mean").alias("growth"), F.lit(0.0).alias("novelty"), F.col("negativity_rate").alias("sentiment"), F.col("doc_count").cast("double").alias("volume"))
-
-
-@query(_ROLLUP + ", c AS (SELECT monitor_id, bucket, topic_id, author_diversity AS ad, CAST(engagement_sum AS DOUBLE) AS b, rating_mean AS g, negativity_rate AS s, CAST(doc_count AS DOUBLE) AS v FROM metrics WHERE grouping_id = 2), x AS (SELECT *, (0.3 * coalesce(b / nullif(max(b) OVER w, 0), 0) + 0.2 * coalesce(g / nullif(max(g) OVER w, 0), 0) + 0.2 * coalesce(s / nullif(max(s) OVER w, 0), 0) + 0.15 * coalesce(v / nullif(max(v) OVER w, 0), 0)) * CASE WHEN ad < 0.5 THEN 0.5 ELSE 1 END AS raw FROM c WINDOW w AS (PARTITION BY monitor_id, bucket)) SELECT x.monitor_id, x.bucket, topic_id, CASE WHEN r.status <> 'partial' THEN round(raw, 6) END AS value, CASE WHEN r.status = 'partial' THEN 'day_untrustworthy' END AS withheld_reason FROM x JOIN runs r ON r.monitor_id = x.monitor_id AND r.bucket = x.bucket")
-def trend_scores(spark, d):
-    return views.trend_scores(_components(spark, d), views.day_trust(runs(feedback(spark, d))))
-
-
-@query(f"WITH {FEEDBACK_SQL}, s AS (SELECT monitor_id, topic_id, bucket, count(*) AS n FROM feedback WHERE topic_id IS NOT NULL GROUP BY 1, 2, 3) SELECT monitor_id, topic_id, arg_max(n, bucket) AS latest FROM s WHERE day(bucket) % 9 <> 0 GROUP BY 1, 2")
-def latest_score(spark, d):
-    s = feedback(spark, d).where("topic_id is not null").groupBy("monitor_id", "topic_id", "bucket").agg(F.count("*").alias("n"))
-    return s.where(F.dayofmonth("bucket") % 9 != 0).groupBy("monitor_id", "topic_id").agg(F.max_by("n", "bucket").alias("latest"))
-
-
 def _events(spark, d):
     e = feedback(spark, d).where("topic_id is not null and k % 19 = 0")
     return e.select(F.col("document_id").alias("event_id"), "monitor_id", "topic_id", F.to_date("published_at").alias("detected_on"), F.when(F.col("k") % 2 == 0, "pelt").otherwise("robust_z").alias("method"), F.col("source_name").alias("kind"))
@@ -604,12 +487,6 @@ def topic_statistics(spark, d):
     return views.topic_statistics(_metrics(spark, d), feedback(spark, d))
 
 
-@query(_STATS + " SELECT monitor_id, topic_id, round(0.2 * least(1, share) + 0.25 * negativity * abs(sentiment) + 0.15 * ask_share + 0.05 / (1 + 2), 6) AS opportunity FROM st")
-def opportunity_score(spark, d):
-    s = views.topic_statistics(_metrics(spark, d), feedback(spark, d))
-    return views.opportunity_score(s.withColumn("score", F.lit(None).cast("double")).withColumn("breadth", F.lit(None).cast("double")).withColumn("days_since", F.lit(2.0)))
-
-
 @query("SELECT o_orderkey AS topic_id, o_orderkey % 5 <> 0 AND o_orderkey % 4 >= 3 AND o_orderkey % 3 <> 0 AS passed, CASE WHEN o_orderkey % 5 = 0 THEN 'day_untrustworthy' WHEN o_orderkey % 4 < 3 THEN 'evidence_too_thin' WHEN o_orderkey % 3 = 0 THEN 'no_change' END AS reason FROM orders")
 def insight_gates(spark, d):
     o = table(spark, d, "orders")

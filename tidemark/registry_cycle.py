@@ -11,6 +11,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import discovery, topics
 from tidemark.plans import cycle, views
 from tidemark.registry import DAY, _COH, _EN, _EV, _ROLLUP, _STATS, _VEC, _events, _metrics, _points, _topics, oracle_sql, queries, query
+from tidemark import registry_trends, registry_upkeep  # noqa: F401  (their queries join the registry)
 from tidemark.streaming import daily
 
 __all__ = ["oracle_sql", "queries"]
@@ -24,15 +25,6 @@ def theme_relevance(spark, d):
     return discovery.theme_relevance(e, refs).withColumn("relevance_score", F.round("relevance_score", 6))
 
 
-@query("WITH b AS (SELECT label AS theme, vec_id, min(vec_id) OVER (PARTITION BY label) = vec_id AS described, vec_id % 4 = 0 AS asked FROM embeddings) SELECT theme, CASE theme % 3 WHEN 0 THEN 'description' WHEN 1 THEN 'queries' ELSE 'corpus' END AS basis, vec_id FROM b WHERE CASE theme % 3 WHEN 0 THEN described WHEN 1 THEN asked ELSE true END")
-def theme_references(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("label").alias("theme"), "vec_id")
-    first = e.groupBy("theme").agg(F.min("vec_id").alias("vec_id"))
-    parts = [first.withColumn("basis", F.lit("description")), e.where("vec_id % 4 = 0").withColumn("basis", F.lit("queries")), e.withColumn("basis", F.lit("corpus"))]
-    chosen = F.when(F.col("theme") % 3 == 0, "description").when(F.col("theme") % 3 == 1, "queries").otherwise("corpus")
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("basis") == chosen)
-
-
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS w FROM documents),
 tf AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8))::UBIGINT % 384 AS BIGINT) AS dim, count(*) AS tf FROM w GROUP BY 1, 2),
 idf AS (SELECT dim, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM tf GROUP BY 1),
@@ -130,11 +122,6 @@ def eval_stability(spark, d):
 # ---- cycle --------------------------------------------------------------------------------------------------
 
 
-@query(_ROLLUP + " SELECT monitor_id, topic_id, min(bucket) AS bucket, 0.0::DOUBLE AS p_value FROM metrics WHERE grouping_id = 2 GROUP BY 1, 2")
-def det_emergence(spark, d):
-    return cycle.emergence(_metrics(spark, d).where("grouping_id = 2").select("monitor_id", "topic_id", "bucket"))
-
-
 @query(rf"""WITH w AS (SELECT lang AS topic_id, doc_id % 22 = 0 AS today, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM documents), tf AS (SELECT topic_id, term, count(*) FILTER (WHERE today) AS new, count(*) FILTER (WHERE NOT today) AS old FROM w WHERE term NOT IN ({_EN}) GROUP BY 1, 2),
 i AS (SELECT *, ln(3.0::DOUBLE / (1 + (new > 0)::INT + (old > 0)::INT)) + 1 AS idf FROM tf), s AS (SELECT topic_id, term, true AS today, new * idf AS w FROM i WHERE new > 0 UNION ALL SELECT topic_id, term, false, old * idf FROM i WHERE old > 0),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY topic_id, today ORDER BY w DESC, term) <= 10), n AS (SELECT a.topic_id, count(*) AS n, count(*) FILTER (WHERE h.term IS NULL) AS f, coalesce(string_agg(a.term, ' ' ORDER BY a.term) FILTER (WHERE h.term IS NULL), '') AS terms FROM b a LEFT JOIN b h ON h.topic_id = a.topic_id AND h.term = a.term AND NOT h.today WHERE a.today GROUP BY 1)
@@ -144,23 +131,6 @@ def det_novelty(spark, d):
     return cycle.novelty(docs, tx.STOP_WORDS["en"])
 
 
-def _sentiment(spark, d):
-    """A stand-in for daily sentiment: the mean discount, of the topics and days of ``_points``."""
-    li = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("topic_id"), F.to_date("l_shipdate").alias("bucket")).agg(F.avg("l_discount").cast("double").alias("value"))
-    return _points(spark, d)[0].drop("value").join(li, ["topic_id", "bucket"])
-
-
-@query()
-def det_sentiment_flip(spark, d):
-    p, day = _points(spark, d)
-    return cycle.sentiment_flips(p, _sentiment(spark, d), ["topic_id"], day)
-
-
-@query()
-def trend_events(spark, d):
-    return cycle.daily_runs(_points(spark, d)[0], ["topic_id"], dt.date.fromisoformat(DAY), sentiment=_sentiment(spark, d))
-
-
 _METHODS = ["robust_z", "poisson_exact", "kleinberg", "mann_kendall", "pelt"]
 
 
@@ -184,11 +154,6 @@ def backfill_outcome(spark, d):
 # ---- views --------------------------------------------------------------------------------------------------
 
 
-@query(_EV + " SELECT * FROM ev WHERE detected_on BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND kind = 'purchase'")
-def view_events(spark, d):
-    return _events(spark, d).where("detected_on between date'2024-01-05' and date'2024-01-20' and kind = 'purchase'").orderBy(F.desc("detected_on"), F.desc("event_id"))
-
-
 @query(f"WITH {FEEDBACK_SQL} SELECT r.monitor_id, r.bucket, r.status, count(*) AS sources, CAST(sum(l.kept) AS BIGINT) AS kept FROM runs r JOIN ledger l USING (monitor_id, bucket) GROUP BY 1, 2, 3")
 def view_run_history(spark, d):
     docs = feedback(spark, d)
@@ -237,16 +202,6 @@ def eval_groundedness(spark, d):
     return cycle.groundedness(fields, e.where("vec_id % 10 <> 1")).withColumn("groundedness", F.round("groundedness", 6))
 
 
-@query(_COH + ", h AS (SELECT round(avg((q - n) / (n * (n - 1))), 6) AS v, count(*) AS n FROM q WHERE n >= 2), l AS (SELECT l.quality = 1 AS rel, coalesce(d.n_chars > 800, false) AS pred FROM labels l LEFT JOIN documents d USING (doc_id)), m AS (SELECT round(count(*) FILTER (WHERE rel AND pred) / CAST(count(*) FILTER (WHERE pred) AS DOUBLE), 6) AS p, round(count(*) FILTER (WHERE rel AND pred) / CAST(count(*) FILTER (WHERE rel) AS DOUBLE), 6) AS r, count(*) AS n FROM l) SELECT 'coherence' AS measure, v AS value, n AS sample_size, 'ok' AS status FROM h UNION ALL SELECT 'precision', p, n, 'ok' FROM m UNION ALL SELECT 'recall', r, n, 'ok' FROM m UNION ALL SELECT 'diversity', NULL, 0, 'not_available'")
-def eval_report(spark, d):
-    lab = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), (F.col("quality") == 1).alias("relevant"))
-    pred = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), (F.col("n_chars") > 800).alias("predicted"))
-    m = views.relevance_measures(lab, pred)
-    coh = topics.coherence(table(spark, d, "embeddings"), "label").agg(F.round(F.avg("coherence"), 6).alias("value"), F.count("*").alias("sample_size"))
-    part = lambda c: m.select(F.col(c).alias("value"), "sample_size")
-    return cycle.report({"coherence": coh, "precision": part("precision"), "recall": part("recall"), "diversity": coh.where("false")})
-
-
 # ---- stream -------------------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import author_hash, content_hash, outlet
+
 # Paths of the landed JSON payload kinds.
 ITEM_SCHEMAS = {
     "play": "array<struct<reviewId:string,userName:string,content:string,score:int,at:timestamp,appVersion:string>>",
@@ -34,20 +38,76 @@ def parse_payloads(landed: DataFrame, kind: str) -> DataFrame:
     return i.select(F.lit(kind).alias("source_name"), *[c.alias(n) for c, n in zip(cols, names, strict=True)])
 
 
+_RSS_DATE, _ENTRY = "d MMM yyyy HH:mm:ss Z", "id:string,guid:string,link:{link},title:string,description:string,summary:string,pubDate:string,published:string,updated:string"
+
+
 def parse_feed(landed: DataFrame) -> DataFrame:
-    """RSS items of (payload string): id else link, published else updated; a missing date stays null."""
-    item = "struct<guid:string,link:string,title:string,description:string,pubDate:string,updated:string>"
-    x = landed.select(F.explode(F.from_xml("payload", f"struct<channel:struct<item:array<{item}>>>")["channel"]["item"]).alias("i"))
-    when = F.coalesce(F.try_to_timestamp("i.pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.col("i.updated")))
-    return x.select(F.lit("rss").alias("source_name"), F.coalesce("i.guid", "i.link").alias("external_id"), F.col("i.title").alias("title"), F.col("i.description").alias("body"), when.alias("published_at"), F.col("i.link").alias("url"))
+    """Entries of (payload string), RSS items and Atom entries alike: id else link, published else updated; a missing date stays null."""
+    rss = f"struct<channel:struct<item:array<struct<{_ENTRY.format(link='string')}>>>>"
+    atom = f"struct<entry:array<struct<{_ENTRY.format(link='struct<_href:string>')}>>>"
+    feeds = landed.withColumn("is_atom", F.lower("payload").rlike(r"^\s*(<\?xml[^>]*\?>\s*)?<feed\b"))
+    r = feeds.where("not is_atom").select(F.explode(F.from_xml("payload", rss)["channel"]["item"]).alias("i")).select("i", F.col("i.link").alias("link"))
+    a = feeds.where("is_atom").select(F.explode(F.from_xml("payload", atom)["entry"]).alias("i")).select("i", F.col("i.link._href").alias("link"))
+
+    def entries(x: DataFrame) -> DataFrame:
+        text = lambda *names: F.coalesce(*[F.nullif(F.trim(f"i.{n}"), F.lit("")) for n in names])
+        # "Tue, 30 Jan 2024 ..." without its weekday, which the date tells and the parser may not take; else ISO
+        short = lambda c: F.regexp_extract(c, r"^(?:\w{3}, *)?(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})$", 1)
+        at = lambda c: F.when(short(c) != "", F.try_to_timestamp(short(c), F.lit(_RSS_DATE))).otherwise(F.try_to_timestamp(c))
+        when = F.coalesce(at(text("published", "pubDate")), at(text("updated")))
+        link = F.nullif(F.trim("link"), F.lit(""))
+        return x.select(F.lit("rss").alias("source_name"), F.coalesce(text("id", "guid"), link).alias("external_id"), text("title").alias("title"), text("summary", "description").alias("body"), when.alias("published_at"), link.alias("url"))
+
+    return entries(r).unionByName(entries(a))
+
+
+def news_articles(entries: DataFrame, landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(articles, counts): feed entries with the text of the page that their link resolved to.
+
+    ``landed``: link, resolved_url, page_text. An entry without a resolved address or without text is filtered, and
+    counted, not failed.
+    """
+    met = entries.join(landed.select(F.col("link").alias("url"), "resolved_url", "page_text").dropDuplicates(["url"]), "url", "left")
+    usable = F.coalesce((F.col("resolved_url") != "") & (F.col("page_text") != ""), F.lit(False))
+    counts = met.groupBy(F.lit("news").alias("source_name")).agg(F.count_if(usable).alias("articles"), F.count_if(~usable).alias("filtered"))
+    articles = met.where(usable).select(F.lit("news").alias("source_name"), "external_id", "title", F.col("page_text").alias("body"), "published_at", F.col("resolved_url").alias("url"))
+    return articles, counts
 
 
-def payload_validation(payloads: DataFrame, path: str, floor: int) -> DataFrame:
-    """The first check that a payload of (payload_id, content_type, body) fails: type, JSON, path, floor."""
+ITEM = ("source_name", "external_id", "author", "title", "body", "published_at", "url", "rating", "app_version", "engagement")
+
+
+def unify_items(parts: list[DataFrame]) -> DataFrame:
+    """Items of all kinds in one schema; a field that a kind lacks stays null, and the outlet stands in for a missing author."""
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    out = out.withColumns({c: F.lit(None).cast("string") for c in ITEM if c not in out.columns})
+    author = F.when(F.col("source_name").isin("rss", "news"), outlet(F.col("url"))).otherwise(F.col("author"))
+    return out.withColumn("author", author).select(*ITEM)
+
+
+def document_rows(items: DataFrame) -> DataFrame:
+    """Items as document rows: the title where there is no body, hashed author, hash of body and rating."""
+    body = F.coalesce(F.nullif("body", F.lit("")), F.nullif("title", F.lit("")))
+    return items.withColumn("body", body).withColumn("author_hash", author_hash(F.col("author"))).withColumn("content_hash", content_hash(F.col("body"), F.col("rating"))).drop("author", "title")
+
+
+def payload_validation(payloads: DataFrame, path: str, floor: int, required: tuple[str, ...] = ()) -> DataFrame:
+    """The first check that a payload of (payload_id, content_type, body) fails: type, JSON, path to the items, required
+    fields of every item, floor of items. A path to one value that is no list is one item."""
     doc = F.try_parse_json("body")
-    items = F.try_variant_get(doc, path, "string")
-    n = F.when(items.isNotNull(), 1).otherwise(0)
-    failed = F.when(~F.col("content_type").isin("application/json", "text/json"), "content_type").when(doc.isNull(), "malformed").when(items.isNull(), "path_missing").when(n < floor, "below_floor")
+    found = F.try_variant_get(doc, path, "variant")
+    items = F.coalesce(F.try_variant_get(doc, path, "array<variant>"), F.when(found.isNotNull(), F.array(found)))
+
+    def incomplete(item: Column) -> Column:
+        return reduce(Column.__or__, [F.coalesce(F.try_variant_get(item, f"$.{name}", "string"), F.lit("")) == "" for name in required], F.lit(False))
+
+    lacks = F.exists(items, incomplete)
+    failed = (
+        F.when(~F.col("content_type").isin("application/json", "text/json"), "content_type").when(doc.isNull(), "malformed")
+        .when(items.isNull(), "path_missing").when(lacks, "field_missing").when(F.size(items) < floor, "below_floor")
+    )
     return payloads.select("payload_id", failed.alias("failed_check"))
 
 
@@ -56,9 +116,12 @@ def cursor_increment(items: DataFrame, cursors: DataFrame) -> DataFrame:
     return items.join(cursors, "source_name", "left").where(F.col("cursor_at").isNull() | (F.col("published_at") > F.col("cursor_at"))).drop("cursor_at")
 
 
-def quota_topk(items: DataFrame, key: list[str], quota: int) -> DataFrame:
-    """The newest items of each key up to a shared allowance, and whether it was reached. Rank limits apply before the shuffle."""
-    order = Window.partitionBy(*key).orderBy(F.desc("published_at"), "external_id")
+def quota_topk(items: DataFrame, key: list[str], quota: int, adapter: str | None = None) -> DataFrame:
+    """The items of each key up to a shared allowance, and whether it was reached. Rank limits apply before the shuffle.
+
+    Adapters, where there are several, use the allowance up in their order; within one the newest items come first.
+    """
+    order = Window.partitionBy(*key).orderBy(*([adapter] if adapter else []), F.desc("published_at"), "external_id")
     kept = items.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota)
     return kept.withColumn("allowance_reached", F.count("*").over(Window.partitionBy(*key)) >= quota)
 
@@ -76,12 +139,20 @@ def natural_key_dedup(batch: DataFrame, existing: DataFrame, key: list[str], ord
     return batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").join(existing.select(*key), key, "left_anti")
 
 
-def fetch_ledger(sources: DataFrame, attempted: DataFrame, written: DataFrame) -> DataFrame:
-    """One row for each enabled source, with or without items: attempted, kept, duplicates, outcome."""
-    a = attempted.groupBy("source_name").agg(F.count("*").alias("attempted"))
-    k = written.groupBy("source_name").agg(F.count("*").alias("kept"))
-    met = sources.join(a, "source_name", "left").join(k, "source_name", "left").na.fill(0, ["attempted", "kept"])
-    return met.select("source_name", "attempted", "kept", (F.col("attempted") - F.col("kept")).alias("duplicates"), F.when(F.col("attempted") == 0, "empty").when(F.col("kept") == 0, "duplicates_only").otherwise("collected").alias("outcome_kind"))
+def fetch_ledger(sources: DataFrame, attempted: DataFrame, written: DataFrame, errors: DataFrame | None = None, run: str | None = None) -> DataFrame:
+    """One row for each enabled source (and run, where ``run`` names its column), with or without items: attempted,
+    kept, duplicates, outcome. Where a fetch failed (``errors``: the keys, error) nothing counts as kept."""
+    key = ["source_name", *([run] if run else [])]
+    a = attempted.groupBy(*key).agg(F.count("*").alias("attempted"))
+    k = written.groupBy(*key).agg(F.count("*").alias("kept"))
+    met = sources.join(a, key, "left").join(k, key, "left").na.fill(0, ["attempted", "kept"])
+    if errors is not None:
+        met = met.join(errors.groupBy(*key).agg(F.min("error").alias("error")), key, "left")
+        failed = F.col("error").isNotNull()
+        met = met.withColumn("kept", F.when(failed, 0).otherwise(F.col("kept"))).withColumn("duplicates", F.when(failed, 0).otherwise(F.col("attempted") - F.col("kept")))
+        outcome = F.when(failed, "failed").when(F.col("attempted") == 0, "empty").when(F.col("kept") == 0, "duplicates_only").otherwise("collected")
+        return met.select(*key, "attempted", F.col("kept").cast("long").alias("kept"), F.col("duplicates").cast("long").alias("duplicates"), outcome.alias("outcome_kind"), "error")
+    return met.select(*key, "attempted", "kept", (F.col("attempted") - F.col("kept")).alias("duplicates"), F.when(F.col("attempted") == 0, "empty").when(F.col("kept") == 0, "duplicates_only").otherwise("collected").alias("outcome_kind"))
 
 
 def candidate_antijoin(found: DataFrame, rejected: DataFrame, existing: DataFrame) -> DataFrame:
