@@ -1,8 +1,7 @@
 """All queries of the engine and their SQL, by name.
 
-Some stand-ins for what the given tables lack are picked by id, in query and SQL alike: topics have the mean of
-their even vec_ids, a residue or candidate has vec_id % 5 = 0, predictions leave out doc_id % 7 = 0. Those queries
-don't show their operator on the whole table; ``residue_clusters`` does.
+Every query reads its tables whole. What the given tables lack, such as a status or a verdict, is an expression over
+ids, in query and SQL alike.
 """
 
 from __future__ import annotations
@@ -335,14 +334,13 @@ def cooldown_filter(spark, d):
 
 # ---- topics and vectors -------------------------------------------------------------------------------------
 
-_VEC = """WITH t AS (SELECT label AS topic_id, list(embedding) AS vs FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1),
-c0 AS (SELECT label AS topic_id, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) WHERE vec_id % 2 = 0 GROUP BY 1, 2), cen AS (SELECT topic_id, list(m ORDER BY i) AS centroid FROM c0 GROUP BY 1),
+_VEC = """WITH c0 AS (SELECT label AS topic_id, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2), cen AS (SELECT topic_id, list(m ORDER BY i) AS centroid FROM c0 GROUP BY 1),
 sim AS (SELECT vec_id, topic_id, list_cosine_similarity(embedding::DOUBLE[], centroid) AS s FROM embeddings, cen), best AS (SELECT vec_id, topic_id, s FROM sim QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, topic_id) = 1)"""
 
 
 def _topics(spark, d):
     e = table(spark, d, "embeddings")
-    return e, topics.mean_vectors(e.where("vec_id % 2 = 0").withColumnRenamed("label", "topic_id"), "topic_id")
+    return e, topics.mean_vectors(e.withColumnRenamed("label", "topic_id"), "topic_id")
 
 
 @query(_VEC + " SELECT vec_id, topic_id, round(s, 6) AS similarity FROM best")
@@ -350,21 +348,36 @@ def nearest_topic(spark, d):
     return topics.nearest_topic(*_topics(spark, d)).select("vec_id", "topic_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(_VEC + " SELECT vec_id, topic_id, 'centroid' AS method FROM best WHERE s >= 0.55")
+#: Means of three quarters and of a quarter of each label's vectors: near to the label's mean, and less near.
+_CAND = ", cd0 AS (SELECT label * 10 + CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END AS candidate_id, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2), cd AS (SELECT candidate_id, list(m ORDER BY i) AS v FROM cd0 GROUP BY 1), cs AS (SELECT candidate_id, topic_id, v, centroid, list_cosine_similarity(v, centroid) AS s FROM cd, cen)"
+
+
+def _candidates(spark, d):
+    e = table(spark, d, "embeddings").withColumn("candidate_id", F.col("label") * 10 + F.when(F.col("vec_id") % 4 == 0, 1).otherwise(0))
+    return topics.mean_vectors(e, "candidate_id")
+
+
+@query(_VEC + _CAND + " SELECT candidate_id AS vec_id, topic_id, 'centroid' AS method FROM cs WHERE s >= 0.55 QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY round(s, 9) DESC, topic_id) = 1")
 def assign_topics(spark, d):
-    return topics.assign_topics(topics.nearest_topic(*_topics(spark, d))).select("vec_id", "topic_id", "method")
+    docs = _candidates(spark, d).withColumnsRenamed({"candidate_id": "vec_id", "centroid": "embedding"})
+    return topics.assign_topics(topics.nearest_topic(docs, _topics(spark, d)[1])).select("vec_id", "topic_id", "method")
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id % 5 = 0")
+def _residue(spark, d):
+    """The vectors that no topic takes."""
+    e, t = _topics(spark, d)
+    return topics.residue_pool(e, topics.assign_topics(topics.nearest_topic(e, t)))
+
+
+@query(_VEC + " SELECT vec_id FROM best WHERE s < 0.55")
 def residue_pool(spark, d):
-    e = table(spark, d, "embeddings")
-    return topics.residue_pool(e, e.where("vec_id % 5 <> 0")).select("vec_id")
+    return _residue(spark, d).select("vec_id")
 
 
-@query(_VEC + ", a AS (SELECT label AS topic_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) - 1 AS later, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE vec_id % 5 <> 0), x AS (SELECT topic_id, i, sum(0.02 * pow(0.98, later) * embedding[i]::DOUBLE) AS mv, any_value(n) AS n FROM a, range(1, 65) r(i) GROUP BY 1, 2), y AS (SELECT x.topic_id, x.n, pow(0.98, x.n) * c0.m + x.mv - c0.m AS delta FROM x JOIN c0 USING (topic_id, i)) SELECT topic_id, any_value(n) AS doc_count, round(sqrt(sum(delta * delta)), 6) AS moved FROM y GROUP BY 1")
+@query(_VEC + ", a AS (SELECT label AS topic_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) - 1 AS later, count(*) OVER (PARTITION BY label) AS n FROM embeddings), x AS (SELECT topic_id, i, sum(0.02 * pow(0.98, later) * embedding[i]::DOUBLE) AS mv, any_value(n) AS n FROM a, range(1, 65) r(i) GROUP BY 1, 2), y AS (SELECT x.topic_id, x.n, pow(0.98, x.n) * c0.m + x.mv - c0.m AS delta FROM x JOIN c0 USING (topic_id, i)) SELECT topic_id, any_value(n) AS doc_count, round(sqrt(sum(delta * delta)), 6) AS moved FROM y GROUP BY 1")
 def centroid_drift(spark, d):
     e, t = _topics(spark, d)
-    return topics.centroid_drift(e.where("vec_id % 5 <> 0").withColumnRenamed("label", "topic_id"), t).withColumn("moved", F.round("moved", 6))
+    return topics.centroid_drift(e.withColumnRenamed("label", "topic_id"), t).withColumn("moved", F.round("moved", 6))
 
 
 _COH = "WITH u AS (SELECT label, vec_id, i, embedding[i]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS u FROM embeddings, range(1, 65) r(i)), s AS (SELECT label, i, sum(u) AS s, count(*) AS n FROM u GROUP BY 1, 2), q AS (SELECT label, sum(s * s) AS q, any_value(n) AS n FROM s GROUP BY 1)"
@@ -512,10 +525,10 @@ def digest_evidence(spark, d):
     return views.digest_evidence(ok, "digest")
 
 
-@query("WITH p AS (SELECT l.quality = 1 AS rel, coalesce(d.n_chars > 800, false) AS pred FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 7 <> 0) d USING (doc_id)) SELECT round(count(*) FILTER (WHERE rel AND pred) / CAST(count(*) FILTER (WHERE pred) AS DOUBLE), 6) AS precision, round(count(*) FILTER (WHERE rel AND pred) / CAST(count(*) FILTER (WHERE rel) AS DOUBLE), 6) AS recall, count(*) AS sample_size FROM p")
+@query("WITH p AS (SELECT l.quality = 1 AS rel, coalesce(d.n_chars > 800, false) AS pred FROM labels l LEFT JOIN documents d USING (doc_id)) SELECT round(count(*) FILTER (WHERE rel AND pred) / CAST(count(*) FILTER (WHERE pred) AS DOUBLE), 6) AS precision, round(count(*) FILTER (WHERE rel AND pred) / CAST(count(*) FILTER (WHERE rel) AS DOUBLE), 6) AS recall, count(*) AS sample_size FROM p")
 def eval_relevance(spark, d):
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), (F.col("quality") == 1).alias("relevant"))
-    pred = table(spark, d, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("document_id"), (F.col("n_chars") > 800).alias("predicted"))
+    pred = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), (F.col("n_chars") > 800).alias("predicted"))
     return views.relevance_measures(lab, pred)
 
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
+from tidemark import registry_trends, registry_upkeep  # noqa: F401  (their queries join the registry)
 from tidemark.fixtures import FEEDBACK_SQL, feedback, ledger, runs, table
 from tidemark.functions import text as tx
 from tidemark.operators import discovery, topics
 from tidemark.plans import cycle, views
-from tidemark.registry import DAY, _COH, _EN, _EV, _ROLLUP, _STATS, _VEC, _events, _metrics, _points, _topics, oracle_sql, queries, query
-from tidemark import registry_trends, registry_upkeep  # noqa: F401  (their queries join the registry)
+from tidemark.registry import _CAND, _EN, _EV, _ROLLUP, _STATS, _VEC, _candidates, _events, _metrics, _residue, _topics, oracle_sql, queries, query
 from tidemark.streaming import daily
 
 __all__ = ["oracle_sql", "queries"]
@@ -33,13 +31,12 @@ def hashed_embedding(spark, d):
     return discovery.hashed_embedding(table(spark, d, "documents")).withColumn("weight", F.round("weight", 6))
 
 
-@query("""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a, e b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.25),
+@query(_VEC.replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings JOIN best USING (vec_id) WHERE s < 0.55), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a, e b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.25),
 core AS (SELECT a FROM p GROUP BY a HAVING count(*) >= 4), l AS (SELECT p.a, p.b FROM p SEMI JOIN core c ON c.a = p.a WHERE p.b IN (SELECT a FROM core)),
 reach AS (SELECT a, a AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b), lab AS (SELECT a, min(b) AS c FROM reach GROUP BY 1)
 SELECT a AS vec_id, c AS cluster_id FROM lab UNION ALL SELECT p.a, min(lab.c) FROM p JOIN lab ON lab.a = p.b WHERE p.a NOT IN (SELECT a FROM core) GROUP BY 1""")
 def density_clusters(spark, d):
-    e = table(spark, d, "embeddings")
-    return discovery.density_clusters(topics.residue_pool(e, e.where("vec_id % 5 <> 0")), 0.25)
+    return discovery.density_clusters(_residue(spark, d), 0.25)
 
 
 @query()
@@ -50,18 +47,10 @@ def residue_clusters(spark, d):
     return discovery.density_clusters(topics.residue_pool(e, topics.assign_topics(topics.nearest_topic(e, t))), 0.25)
 
 
-_CAND = ", cd0 AS (SELECT label * 10 + vec_id % 3 AS candidate_id, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) WHERE vec_id % 5 = 0 GROUP BY 1, 2), cd AS (SELECT candidate_id, list(m ORDER BY i) AS v FROM cd0 GROUP BY 1), cs AS (SELECT candidate_id, topic_id, v, centroid, list_cosine_similarity(v, centroid) AS s FROM cd, cen)"
-
-
-def _candidates(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id % 5 = 0").withColumn("candidate_id", F.col("label") * 10 + F.col("vec_id") % 3)
-    return topics.mean_vectors(e, "candidate_id")
-
-
-@query(_VEC + _CAND + ", b AS (SELECT *, s >= 0.4 AND topic_id % 4 <> 0 AS m FROM cs QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY round(s, 9) DESC, topic_id) = 1) SELECT candidate_id, CASE WHEN m THEN 'merge' ELSE 'new' END AS outcome, CASE WHEN m THEN topic_id END AS topic_id, CASE WHEN m THEN 0.4::DOUBLE ELSE 1 END AS similarity, CASE WHEN m THEN round(0.02 * list_distance(v, centroid), 6) END AS moved FROM b")
+@query(_VEC + _CAND + ", b AS (SELECT *, s >= 0.75 AND topic_id % 4 <> 0 AS m FROM cs QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY round(s, 9) DESC, topic_id) = 1) SELECT candidate_id, CASE WHEN m THEN 'merge' ELSE 'new' END AS outcome, CASE WHEN m THEN topic_id END AS topic_id, CASE WHEN m THEN 0.75::DOUBLE ELSE 1 END AS similarity, CASE WHEN m THEN round(0.02 * list_distance(v, centroid), 6) END AS moved FROM b")
 def candidate_resolution(spark, d):
     t = _topics(spark, d)[1].withColumn("pinned", F.col("topic_id") % 4 == 0)
-    return discovery.candidate_resolution(_candidates(spark, d), t, 0.4).withColumn("moved", F.round("moved", 6))
+    return discovery.candidate_resolution(_candidates(spark, d), t).withColumn("moved", F.round("moved", 6))
 
 
 @query()

@@ -217,7 +217,7 @@ def stage_rerun_recompute(spark, d):
 # ---- topic upkeep ---------------------------------------------------------------------------------------------
 
 
-@query(_VEC.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + ", a AS (SELECT label AS topic_id, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings), w AS (SELECT topic_id, 0::BIGINT AS i, centroid AS c, 0::DOUBLE AS score FROM cen UNION ALL SELECT w.topic_id, a.i, list_transform(range(1, 65), lambda j: 0.98 * w.c[j] + 0.02 * a.x[j]), w.score + 0.02 * list_distance(w.c, a.x) FROM w JOIN a ON a.topic_id = w.topic_id AND a.i = w.i + 1) SELECT topic_id, i AS doc_count, round(score, 5) AS drift_score FROM w QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY i DESC) = 1")
+@query(_VEC.replace("WITH", "WITH RECURSIVE", 1) + ", a AS (SELECT label AS topic_id, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings), w AS (SELECT topic_id, 0::BIGINT AS i, centroid AS c, 0::DOUBLE AS score FROM cen UNION ALL SELECT w.topic_id, a.i, list_transform(range(1, 65), lambda j: 0.98 * w.c[j] + 0.02 * a.x[j]), w.score + 0.02 * list_distance(w.c, a.x) FROM w JOIN a ON a.topic_id = w.topic_id AND a.i = w.i + 1) SELECT topic_id, i AS doc_count, round(score, 5) AS drift_score FROM w QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY i DESC) = 1")
 def topic_drift_score(spark, d):
     e, t = _topics(spark, d)
     return topics.drift_scores(e.withColumnRenamed("label", "topic_id"), t).withColumn("drift_score", F.round("drift_score", 5))
