@@ -20,7 +20,7 @@ from tidemark.sources import ingest
 TABLES = "events documents embeddings lineitem supplier customer orders nation pages labels conversations".split()
 
 
-@pytest.mark.parametrize("name", ["feed_items", "unify_items", "news_items", "payload_validation", "fetch_ledger_runs", "stage_rerun_recompute", "topic_drift_score", "refit_remap", "merged_registry", "view_topic_history", "backfill_plan", "resolve_merged", "trend_candidates", "trend_events", "opportunity_score"])
+@pytest.mark.parametrize("name", ["feed_items", "unify_items", "news_items", "payload_validation", "fetch_ledger_runs", "stage_rerun_recompute", "topic_drift_score", "refit_remap", "merged_registry", "view_topic_history", "backfill_plan", "bucket_bounds_with_clock_changes", "resolve_merged", "trend_candidates", "trend_events", "opportunity_score"])
 def test_query_equals_sql(spark, name):
     sf = "/root/testdata/sf0.01" if name.startswith(("trend", "opp")) else "/root/testdata/sf0.001"
     con = duckdb.connect()
@@ -161,3 +161,13 @@ def test_long_merge_chains_and_cycles(spark):
     rows = [(i, i - 1 if i else None) for i in range(70)] + [(100, 101), (101, 102), (102, 100), (200, 999)]
     got = {r[0]: r[1] for r in topics.resolve_merged(spark.createDataFrame(rows, "topic_id long, merged_into long")).collect()}
     assert all(got[i] == 0 for i in range(70)) and got[100] is None and got[101] is None and got[200] is None
+
+
+def test_new_vocabulary_is_a_candidate_of_the_job(spark):
+    start = dt.date(2026, 6, 1)
+    points = spark.createDataFrame([(t, start + dt.timedelta(i), 10.0 + i % 3, "clean") for t in ("s", "same") for i in range(26)], "topic_id string, bucket date, value double, quality string")
+    old, new = "rivers barns sheep hills fences gates crows ponds lanes fields", "rockets orbits engines fuels pads crews suits visors hatches docks"
+    texts = spark.createDataFrame([("s", False, old), ("s", True, new), ("same", False, old), ("same", True, old)], "topic_id string, today boolean, text string")
+    none = spark.createDataFrame([], "topic_id string, kind string, detected_on date")
+    got = {(r["topic_id"], r["kind"]) for r in cycle.trend_events(points, none, ["topic_id"], F.lit(start + dt.timedelta(25)), texts=texts, stop=["the"]).collect()}
+    assert ("s", "novelty") in got and ("same", "novelty") not in got

@@ -101,7 +101,10 @@ def assign_topics(nearest: DataFrame, least: float = 0.55) -> DataFrame:
 
 
 def residue_pool(docs: DataFrame, assignments: DataFrame) -> DataFrame:
-    return docs.join(assignments.select("vec_id"), "vec_id", "left_anti")
+    """Documents with a vector that no topic has; where they tell of relevance (``is_relevant``), the relevant ones."""
+    rows = docs.where(F.col("embedding").isNotNull())
+    rows = rows.where("is_relevant") if "is_relevant" in docs.columns else rows
+    return rows.join(assignments.select("vec_id"), "vec_id", "left_anti")
 
 
 def centroid_drift(assigned: DataFrame, topics: DataFrame, rate: float = 0.02) -> DataFrame:

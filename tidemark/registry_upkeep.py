@@ -10,7 +10,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import discovery, rollup, topics
 from tidemark.operators.discovery import cut
 from tidemark.plans import cycle, views
-from tidemark.registry import _COH, _HEALTH, _LANG, _ROLLUP, _VEC, _WS, _docs, _metrics, _topics, query
+from tidemark.registry import _COH, _HEALTH, _LANG, _ROLLUP, _VEC, _WS, _docs, _metrics, _topics, oracle_sql, query
 from tidemark.sources import ingest
 
 # ---- payloads -------------------------------------------------------------------------------------------------
@@ -214,6 +214,27 @@ def stage_rerun_recompute(spark, d):
     return rollup.late_recompute(tx.rerun_stages(old, new, "document_id", _STAGE), ledger(feedback(spark, d)), new, "stage_rerun")
 
 
+def _berlin(d: str) -> str:
+    """Hours that Berlin is ahead of UTC at a date's first moment: two after the last Sunday of March up to that of October (1995: of September)."""
+    y = f"year({d})"
+    sunday = lambda m: f"({m} - CAST(isodow({m}) % 7 AS INTEGER))"
+    until = f"CASE WHEN {y} = 1995 THEN make_date({y}, 9, 30) ELSE make_date({y}, 10, 31) END"
+    return f"to_hours(CASE WHEN {d} > {sunday(f'make_date({y}, 3, 31)')} AND {d} <= {sunday(f'({until})')} THEN 2 ELSE 1 END)"
+
+
+@query(f"WITH b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS bucket FROM orders), t AS (SELECT bucket, CAST(bucket + 1 AS DATE) AS after FROM b), r AS (SELECT bucket, CAST(bucket AS TIMESTAMP) - {_berlin('bucket')} AS starts_at, CAST(after AS TIMESTAMP) - {_berlin('after')} AS ends_at FROM t) SELECT *, CAST(date_diff('hour', starts_at, ends_at) AS BIGINT) AS hours FROM r")
+def bucket_bounds_with_clock_changes(spark, d):
+    b = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("bucket")).distinct()
+    lo, hi = tx.day_bounds(F.col("bucket"), F.lit("Europe/Berlin"))
+    return b.select("bucket", lo.alias("starts_at"), hi.alias("ends_at"), ((F.unix_timestamp(hi) - F.unix_timestamp(lo)) / 3600).cast("long").alias("hours"))
+
+
+@query("SELECT lang, string_agg(term, ', ' ORDER BY place) AS label FROM (" + oracle_sql()["ctfidf_keywords"] + ") WHERE place <= 3 GROUP BY 1")
+def topic_labels(spark, d):
+    docs = table(spark, d, "documents")
+    return topics.topic_labels(topics.keywords(docs, "lang", "text", tx.STOP_WORDS["en"]), docs, "lang")
+
+
 # ---- topic upkeep ---------------------------------------------------------------------------------------------
 
 
