@@ -75,7 +75,7 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a text column holds about ``limit`` bytes in each (a longer text stands alone)."""
     for batch in batches:
         size = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
@@ -114,6 +114,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64)
+
+
+def word_codes(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a text column end to end, A-Z lower-cased, and how many words each text has.
+
+    A word's hash scrambles the sum of its scrambled (place, byte) pairs, so that no word becomes an object of its own.
+    """
+    data, off = text_bytes(batch, name)
+    inside = ~_SPACE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edge = off[1:-1]
+    edge = edge[(edge > 0) & (edge < len(data))]
+    edge = edge[inside[edge] & inside[edge - 1]]  # two texts that touch without white space
+    first[edge], last[edge - 1] = True, True
+    start = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - start
+    ends = np.cumsum(size)
+    place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
+    each = mix64((place.astype(np.uint64) << np.uint64(8)) + _LOWER[data[inside]] + np.uint64(0x9E3779B97F4A7C15))
+    run = np.zeros(len(each) + 1, np.uint64)
+    np.cumsum(each, out=run[1:])
+    code = mix64(run[ends] - run[ends - size] + size.astype(np.uint64))
+    return code, np.diff(np.searchsorted(start, off))
+
+
 def span_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values over [offsets[i], offsets[i+1])."""
     run = np.zeros(len(values) + 1, np.int64)
