@@ -6,17 +6,25 @@ their Jaccard similarity reaches num/den; a node's component is what links reach
 Small sets (up to a size at which both ways cost the same, chosen from the sizes at hand) enumerate their
 subsets of the sizes that a link would have in common; two linked sets share such a subset. Large sets, and
 the small ones within reach of them, enter inverted lists of their prefix: the fewest elements that any
-linked set must hit, rarest first, and some more for very large sets, which must then hit several. The order comes from a sketch of element counts over all documents; any
-order gives whole results, a good one short lists.
+linked set must hit, rarest first; of a pair, the smaller set meets the other with fewer still, which are marked.
+The order comes from a sketch of element counts over all documents; any order gives whole results, a good one
+short lists. Entries leave a list at once where sizes and marks leave them no partner in it.
 
-Within a list, neighbours in order of (size, node) are compared first; what they link is contracted, and
-only pairs of nodes that are still apart are compared afterwards. So a group of copies costs a chain, and no
-link between components is lost. Every link is verified on whole sets, as integers.
+A node carries parity words: for each of some hash buckets, whether its set has an odd number of elements
+there. Two sets differ in at least as many elements as their parities differ in bits, so parities rule out
+nearly all pairs that don't link before their sets meet.
+
+Within a list, neighbours in an order of its own (size classes, shuffled within) are compared first; what they
+link is contracted. Only nodes of different components are then compared, each pair that sizes and parities
+allow, a long list cut into cells that meet two by two; the likeliest pairs of each node come first, so that
+what they link spares the rest. So a group of copies costs some chains, and no link between components is lost.
+Every link is verified on whole sets, as integers.
 
 A null or empty text, or one without words, has an empty set, size 0, no links and its own doc_id as
 component. Texts shorter than a shingle have one element, all their words. Repeated rows are one node; rows
-of a null doc_id link like others but lend no id (a component of none but null ids has none). Extra columns
-play no part. Empty tables give empty results.
+of a null doc_id link like others but lend no id (a component of none but null ids has none). Several texts of
+one id are nodes of their own. Extra columns, whatever their names, play no part. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -30,37 +38,41 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, list_column, materialize, mix64, slices
+from tidemark.llm.common import column, fold_others, list_column, materialize, mix64, slices, unfold_others, word_codes
 
 #: Buckets of the count sketch, the least count that a task reports, and the most subsets of one small set.
 SKETCH_BITS, SKETCH_LEAST, MOST_SUBSETS = 22, 5, 512
-#: Bits of the map by which later rounds find the sets they compare.
-WANTED_BITS = 25
+#: Words of 64 parity bits, the nodes of a list's cell, and the occurrences by which a hot list is cut for its chains.
+PARITY, CELL, CHAIN = 16, 2048, 1 << 16
+#: Bits of the map that picks texts to fetch, and edges that one task contracts at the end.
+WANTED_BITS, LOCAL_EDGES = 25, 1 << 20
 _U = np.uint64
-_WORDS: dict[bytes, int] = {}
-_WORDS_KEPT = 500_000
-
-
-def shingle_hashes(raw: bytes, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word n-grams."""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > _WORDS_KEPT:
-        _WORDS.clear()
-    get = _WORDS.get
-    code = []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh64_intdigest(w)
-        code.append(h)
-    h = np.array(code, np.uint64)
-    m = min(n, len(h))
-    out = np.full(len(h) - m + 1, m, np.uint64)
-    for i in range(m):
-        out = mix64(out * _U(0x9E3779B97F4A7C15) + h[i : len(h) - m + 1 + i])
-    return np.unique(out)
+
+
+def shingle_sets(batch: pa.RecordBatch, n: int, name: str = "text") -> list[np.ndarray]:
+    """For each text of a batch, the sorted distinct 64-bit hashes of its word n-grams (of all its words, where these are fewer)."""
+    h, per = word_codes(batch, name)
+
+    def grams(words: np.ndarray, m: int) -> np.ndarray:
+        out = np.full(len(words) - m + 1, m, np.uint64)
+        for i in range(m):
+            out = mix64(out * _U(0x9E3779B97F4A7C15) + words[i : len(words) - m + 1 + i])
+        return out
+
+    def distinct(x: np.ndarray) -> np.ndarray:
+        x = np.sort(x)
+        keep = np.ones(len(x), bool)
+        np.not_equal(x[1:], x[:-1], out=keep[1:])
+        return x[keep]
+
+    whole = grams(h, n) if len(h) >= n else np.zeros(0, np.uint64)
+    start = np.cumsum(per) - per
+    return [distinct(whole[s : s + k - n + 1]) if k >= n else grams(h[s : s + k], k) if k else np.zeros(0, np.uint64) for s, k in zip(start.tolist(), per.tolist(), strict=True)]
+
+
+def node_of(own: np.ndarray) -> int:
+    """A set's hash; 0 for the empty set."""
+    return xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0
 
 
 def least_common(a: int, b: int, num: int, den: int) -> int:
@@ -77,13 +89,13 @@ def prefix_size(a: int, num: int, den: int) -> int:
     return a - -(-num * a // den) + 1
 
 
-def shared_least(a: int) -> int:
-    """How many elements two linked sets share within prefixes that are longer by as many less one (a: the smaller size).
+def index_size(a: int, num: int, den: int) -> int:
+    """Of a linked pair the smaller set (either of equal ones) shares one of this many first elements with the other's prefix.
 
-    The first elements that both have lie in both prefixes, so a link between large sets shows several times,
-    and a passage that two long texts share by chance doesn't make a candidate.
+    All that both share from their first common element on lies behind it, and a set of this size or more must share
+    as much as with one of its own size.
     """
-    return 1 + min(a // 100, 24)
+    return a - least_common(a, a, num, den) + 1
 
 
 def subset_sizes(a: int, num: int, den: int) -> list[int]:
@@ -128,10 +140,10 @@ def sketch_counts(rows: DataFrame, n: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, sizes = np.zeros(1 << SKETCH_BITS, np.int32), np.zeros(64, np.int64)
         for batch in slices(batches, "text"):
-            sets = [shingle_hashes(raw, n) for raw in as_bytes(batch)]
+            sets = shingle_sets(batch, n)
             for s in sets:
                 sizes[min(len(s), 63)] += 1
-            np.add.at(seen, (np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
+            np.add.at(seen, (np.concatenate(sets) >> _U(64 - SKETCH_BITS)).astype(np.int64), np.int32(1))
         often = np.flatnonzero(seen >= SKETCH_LEAST)
         some = np.flatnonzero(sizes)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([often, -1 - some]).astype(np.int64)), pa.array(np.concatenate([seen[often], sizes[some]]).astype(np.int64))], names=["bucket", "total"])
@@ -140,68 +152,110 @@ def sketch_counts(rows: DataFrame, n: int) -> DataFrame:
 
 
 def signatures(spark: SparkSession, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, node, n_shingles, keys, parity: what the candidate search needs of each document.
+    """doc_id, text_key, node, n_shingles, keys, tags, parity: what the candidate search needs of each document.
 
-    The parity words hold, for each of 256 hash buckets, whether a set has an odd number of elements there:
-    two sets differ in at least as many elements as parity words differ in bits.
+    A tag is twice a salt, which cuts the lists of very frequent elements, and one more for a marked key. What comes to the driver is the sketch, 2^SKETCH_BITS
+    buckets at most, packed.
     """
-    counts = sketch_counts(rows, n).collect()  # 2^SKETCH_BITS rows at most, those that were seen often
-    rank = np.zeros(1 << SKETCH_BITS, np.uint8)
-    often = [(r["bucket"], r["total"]) for r in counts if r["bucket"] >= 0]
-    for b, t in often:
-        rank[b] = min(63, int(t).bit_length())
-    sizes = {-1 - r["bucket"]: r["total"] for r in counts if r["bucket"] < 0}
-    mean_list = sum(t * t for _, t in often) / max(1, sum(t for _, t in often)) / max(1, len(often)) if often else 0.0
+    counts = sketch_counts(rows, n).select(F.col("bucket").cast("int"), F.least(F.col("total"), F.lit(1 << 30)).cast("int").alias("total")).toArrow()
+    bucket, total = counts["bucket"].to_numpy(), counts["total"].to_numpy().astype(np.int64)
+    often = bucket >= 0
+    rank, cuts = np.zeros(1 << SKETCH_BITS, np.uint8), np.zeros(1 << SKETCH_BITS, np.uint16)
+    rank[bucket[often]] = np.frexp(total[often].astype(float))[1]
+    cuts[bucket[often]] = np.minimum(total[often] // CHAIN, 60_000)
+    sizes = dict(zip((-1 - bucket[~often]).tolist(), total[~often].tolist(), strict=True))
+    mean_list = float((total[often] ** 2).sum() / max(1, total[often].sum()) / max(1, often.sum()))
     boundary = choose_boundary(sizes, mean_list, num, den)
-    shared = spark.sparkContext.broadcast(rank)
+    shared = spark.sparkContext.broadcast((rank, cuts))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value
+        order, cut = shared.value
         for batch in slices(batches, "text"):
-            node, size, keys, length, parity = [], [], [], [], []
-            for raw in as_bytes(batch):
-                own = shingle_hashes(raw, n)
+            node, size, keys, tags, length, parity = [], [], [], [], [], []
+            for own in shingle_sets(batch, n):
                 a = len(own)
                 size.append(a)
-                node.append(xxhash.xxh64_intdigest(own.tobytes()) if a else 0)
-                mine = []
+                node.append(node_of(own))
+                mine, tag = [], []
                 if 0 < a <= boundary:
                     mine.append(subset_keys(own, num, den))
+                    tag.append(np.ones(len(mine[0]), np.int32))
                 if a and partners(a, num, den)[-1] > boundary:
-                    rarity = order[(own >> _U(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                    p = min(a, prefix_size(a, num, den) + shared_least(a) - 1)
-                    place = (rarity << _U(56)) | (mix64(own) >> _U(8))
-                    mine.append(own[np.argpartition(place, p - 1)[:p]] if p < a else own)
+                    slot = (own >> _U(64 - SKETCH_BITS)).astype(np.int64)
+                    p = min(a, prefix_size(a, num, den))
+                    place = (order[slot].astype(np.uint64) << _U(56)) | (mix64(own) >> _U(8))
+                    first = np.argpartition(place, p - 1)[:p] if p < a else np.arange(a)
+                    first = first[np.argsort(place[first])]
+                    slot = slot[first]
+                    mine.append(own[first])
+                    cell = np.where(cut[slot] > 0, 1 + (node[-1] >> 1) % np.maximum(cut[slot].astype(np.int64), 1), 0)
+                    tag.append((2 * cell + (np.arange(p) < index_size(a, num, den))).astype(np.int32))
                 keys += mine
+                tags += tag
                 length.append(sum(map(len, mine)))
-                bit = np.bincount((own & _U(255)).astype(np.int64), minlength=256) & 1
+                bit = np.bincount((own & _U(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
                 parity.append(np.packbits(bit.astype(np.uint8)).view(np.int64))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            flat_tags = np.concatenate(tags) if tags else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(size, np.int64)), list_column(flat, np.array(length), pa.int64()), list_column(np.concatenate(parity), np.full(len(parity), 4), pa.int64())],
-                names=["doc_id", "node", "n_shingles", "keys", "parity"],
-            )
+                [column(batch, "doc_id"), column(batch, "text_key"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(size, np.int64)), list_column(flat, np.array(length), pa.int64()),
+                 list_column(flat_tags, np.array(length), pa.int32()), list_column(np.concatenate(parity), np.full(len(parity), PARITY), pa.int64())],
+                names=["doc_id", "text_key", "node", "n_shingles", "keys", "tags", "parity"],
+            )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(sign, f"doc_id {kind}, node long, n_shingles long, keys array<long>, parity array<long>"), "join-signatures")
+    signed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, f"doc_id {kind}, text_key long, node long, n_shingles long, keys array<long>, tags array<int>, parity array<long>")
+    return materialize(signed, "join-signatures")
 
 
 def node_sets(rows: DataFrame, n: int) -> DataFrame:
-    """node, elements of (node, text)."""
+    """node, elements of (text)."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [shingle_hashes(raw, n) for raw in as_bytes(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_column(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64())], names=["node", "elements"])
+            sets = shingle_sets(batch, n)
+            node = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), list_column(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64())], names=["node", "elements"])
+
+    return rows.select("text").mapInArrow(whole, "node long, elements array<long>")
+
+
+def picked(rows: DataFrame, picks: DataFrame, names: Column) -> DataFrame:
+    """The rows whose ``names`` (a long) is in picks (``pick``), joined after a map over hash slots let few others pass.
+
+    The map goes to every task: 2^WANTED_BITS bits at most (4 MB), whatever the number of picks. Where it is
+    full it lets every row pass, and the join decides as ever.
+    """
+    slot = lambda c: F.pmod(c, F.lit(1 << WANTED_BITS))
+    bits = picks.select(slot(F.col("pick")).alias("slot")).groupBy(F.shiftright("slot", 15).alias("slots")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(1 << 15))).alias("bits"))
+    placed = rows.withColumn("named", names).withColumn("slot", slot(F.col("named")))
+    at = F.pmod("slot", F.lit(1 << 15))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    some = placed.join(F.broadcast(bits), F.shiftright("slot", 15) == F.col("slots")).withColumn("byte", byte).where(F.expr("getbit(byte, CAST(slot % 8 AS INT)) = 1"))
+    return some.join(picks.select(F.col("pick").alias("named")), "named", "left_semi").select(rows.columns)
+
+
+def fetch_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, known: DataFrame | None = None) -> DataFrame:
+    """node, elements of the nodes of pairs (a, b) that are not yet known: one text of each is fetched, by a hash of its id and text."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if known is not None:
+        wanted = wanted.join(known.select("node"), "node", "left_anti")
+    picks = materialize(nodes.select("node", "pick").join(wanted, "node", "left_semi").select("pick"), "join-picks")
+    texts = picked(rows.select("doc_id", "text"), picks, F.xxhash64("doc_id", F.xxhash64("text"))).select("text")
+    return materialize(node_sets(texts, n).groupBy("node").agg(F.first("elements").alias("elements")), "join-sets")
+
 
-    return rows.select("node", "text").mapInArrow(whole, "node long, elements array<long>")
+def _size_room(na: Column, nb: Column, num: int, den: int) -> Column:
+    return (na * den >= nb * num) & (nb * den >= na * num)
 
 
-def _may_link(na: Column, nb: Column, pa_: Column, pb: Column, num: int, den: int) -> Column:
-    """Sizes and parity words leave room for a link."""
-    differ = sum((F.bit_count(pa_[i].bitwiseXOR(pb[i])).cast("long") for i in range(4)), F.lit(0).cast("long"))
-    spare = (na + nb) - 2 * F.ceil((na + nb) * num / (num + den))
-    return (na * den >= nb * num) & (nb * den >= na * num) & (differ <= spare)
+def _differ(pa_: Column, pb: Column) -> Column:
+    return sum((F.bit_count(pa_[i].bitwiseXOR(pb[i])).cast("long") for i in range(PARITY)), F.lit(0).cast("long"))
+
+
+def _spare(na: Column, nb: Column, num: int, den: int) -> Column:
+    """The most elements in which linked sets of these sizes differ."""
+    return (na + nb) - 2 * F.ceil((na + nb) * num / (num + den))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -213,136 +267,175 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(both * den >= union * num).select("a", "b")
 
 
-def wanted_sets(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets whose nodes may occur in pairs: all that do, and few others.
-
-    A bitmap over hash slots of the pairs' nodes goes to every task: 2^WANTED_BITS bits at most (4 MB), whatever
-    the number of pairs. Where it is full it lets every set pass, and the join by node decides as ever.
-    """
-    slot = lambda c: F.pmod(F.col(c), F.lit(1 << WANTED_BITS))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(slot("node").alias("slot"))
-    bits = ends.groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(1 << 15))).alias("bits"))
-    placed = sets.withColumn("slot", slot("node")).withColumn("part", F.shiftright("slot", 15))
-    at = F.pmod("slot", F.lit(1 << 15))
-    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = F.expr("getbit(byte, CAST(slot % 8 AS INT))")
-    return placed.join(F.broadcast(bits), "part").withColumn("byte", byte).where(is_set == 1).select("node", "elements")
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """node, component (the smallest node that edges reach), by alternating large and small stars.
-
-    Each step aggregates neighbours' minima before the shuffle, so a hub sends one row from each task.
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node that edges reach) of all nodes but the smallest ones."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        la, lb = label[a], label[b]
+        if (la == lb).all():
+            break
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label != (up := label[label])).any():
+            label = up
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each task's edges (u, v) as stars around the smallest nodes, some edges at a time."""
+    u = v = np.zeros(0, np.int64)
+    for batch in batches:
+        u, v = np.concatenate([u, batch.column(0).to_numpy()]), np.concatenate([v, batch.column(1).to_numpy()])
+        if len(u) > 2 * LOCAL_EDGES:
+            u, v = contracted(u, v)
+            if len(u) > LOCAL_EDGES:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                u = v = np.zeros(0, np.int64)
+    u, v = contracted(u, v)
+    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def components(edges: DataFrame, name: str = "components", local: int = LOCAL_EDGES) -> DataFrame:
+    """node, component (the smallest node that edges reach; that node itself has no row).
+
+    Tasks contract their own edges first. What is left, where it is ``local`` edges at most (16 MB), one task
+    contracts; more than that goes through alternating large and small stars, in which each step aggregates
+    neighbours' minima before the shuffle, so a hub sends one row from each task.
     """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    before = None
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges, before = materialize(pairs.mapInArrow(_contract, "u long, v long"), name), None
     while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        if now[0] <= local:
+            edges = materialize(edges.coalesce(1).mapInArrow(_contract, "u long, v long"), name)
+            break
+        before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.where("m <> u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def joined_components(found: DataFrame, edges: DataFrame, name: str = "components") -> DataFrame:
-    """node, component after more edges: only edges between components are looked at, each component as one node.
+def with_partners(listed: DataFrame, num: int, den: int) -> DataFrame:
+    """key, node, size, marked, prev of the entries (key, node, size, tag) that may have a partner in their list.
 
-    A component's smallest node, which stands for it, has no row of its own in ``found`` until it is joined to another.
+    A larger set needs a marked entry of a size within reach before it, in order of size; a marked one any within reach
+    after it. ``prev`` is the neighbour in the list's own order: by size class, shuffled within. Hot lists are cut by
+    salt for this, and all their entries stay.
     """
-    at = lambda end: F.coalesce(f"component_{end}", end).alias(end)
+    entry = listed.select("key", "node", F.col("size").cast("long").alias("size"), F.shiftright("tag", 1).alias("salt"), (F.col("tag") % 2 == 1).alias("marked"))
+    by_size = Window.partitionBy("key", "salt").orderBy("size", F.desc("marked"))
+    before = F.last(F.when(F.col("marked"), F.col("size")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.lead("size").over(by_size)
+    stays = (F.col("salt") > 0) | F.coalesce(F.col("before") * den >= F.col("size") * num, F.lit(False)) | (F.col("marked") & F.coalesce(F.col("after") * num <= F.col("size") * den, F.lit(False)))
+    entry = entry.withColumn("before", before).withColumn("after", after).where(stays)
+    band = F.floor(F.log("size") * F.lit(2 / np.log(den / num)))
+    order = Window.partitionBy("key", "salt").orderBy(band, F.xxhash64("node", "key"))
+    return entry.select("key", "node", F.col("size").cast("int").alias("size"), "marked", F.lag("node").over(order).alias("prev"))
+
+
+def still_apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose ends are of different components."""
     of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
-    between = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(at("a"), at("b"))
-    between = materialize(between.where("a <> b").distinct(), name)
-    if between.isEmpty():
-        return found
-    new = components(between, name)
-    moved = found.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-    return materialize(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(new), name)
+    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return met.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select(pairs.columns)
 
 
-def link_documents(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies (rows of the same set) for each row of docs."""
+def pairs_apart(lists: DataFrame, facts: DataFrame, found: DataFrame, num: int, den: int, cell: int = CELL) -> DataFrame:
+    """a, b, differ: the pairs of different components that share a list and whose sizes and parities leave room for a link.
+
+    A list of more than ``cell`` nodes is cut into cells; each meets itself and every other, in tasks of their own.
+    """
+    whole = Window.partitionBy("key")
+    apart = lists.join(found, "node", "left").select("key", "node", "size", "marked", F.coalesce("component", "node").alias("component"))
+    apart = apart.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).withColumn("cells", F.ceil(F.count("*").over(whole) / cell)).where("lo <> hi")
+    apart = apart.join(facts.select("node", "parity"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")))
+    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    apart = apart.select("key", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), "own", "node", F.col("size").cast("long").alias("size"), "marked", "component", "parity")
+    x, y = apart.alias("x"), apart.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.c1") == F.col("y.c1")) & (F.col("x.c2") == F.col("y.c2"))
+    once = (F.col("x.node") < F.col("y.node")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.c1") == F.col("x.c2")))
+    na, nb = F.col("x.size"), F.col("y.size")
+    differ = _differ(F.col("x.parity"), F.col("y.parity"))
+    marked = (F.col("x.marked") & (na <= nb)) | (F.col("y.marked") & (nb <= na))
+    met = x.join(y, same & once & marked & (F.col("x.component") != F.col("y.component")) & _size_room(na, nb, num, den) & (differ <= _spare(na, nb, num, den)))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), differ.alias("differ")).groupBy("a", "b").agg(F.first("differ").alias("differ"))
+
+
+def link_nodes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, cell: int = CELL, local: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, node, n_shingles of each row; node, n_copies, component, component_id of each node)."""
     rows = docs.select("doc_id", "text")
     signed = signatures(spark, rows, n, num, den)
-    nodes = materialize(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("size")), "join-nodes")
-    # one row of keys for each node: rows are alike within a node, and any of them stands for it
-    one = signed.where("n_shingles > 0").select("node", "n_shingles", "keys", "parity", F.xxhash64("doc_id").alias("pick")).withColumn("row", F.row_number().over(Window.partitionBy("node").orderBy("pick"))).where("row = 1")
-    one = materialize(one.select("node", F.col("n_shingles").alias("size"), "keys", "parity"), "join-unique")
-    lists = one.select("node", "size", F.explode("keys").alias("key"))
-    order = Window.partitionBy("key").orderBy("size", "node")
-    lists = lists.select("key", "node", "size", F.lag("node").over(order).alias("prev"), F.lead("node").over(order).alias("next"))
-    lists = materialize(lists.where("prev is not null or next is not null"), "join-lists")
-
-    facts = one.select("node", "size", "parity")
-    side = lambda s: facts.select(*[F.col(c).alias(f"{c}_{s}") for c in facts.columns])
-
-    def shared(size: Column) -> Column:
-        return F.lit(1) + F.least(F.floor(size / 100), F.lit(24))
-
-    def filtered(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-        met = met.where(_may_link(F.col("size_a"), F.col("size_b"), F.col("parity_a"), F.col("parity_b"), num, den))
-        return met.where(F.col("times") >= shared(F.least("size_a", "size_b"))).select("a", "b")
-
-    chain = lists.where("prev is not null").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
-    chain = materialize(filtered(chain), "join-chain")
-    wanted = chain.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.join(nodes.join(wanted, "node").select("node", F.col("rep").alias("doc_id")), "doc_id").select("node", "text")
-    sets = materialize(node_sets(texts, n), "join-sets")
-    edges = materialize(verify(chain, sets, num, den), "join-edges")
-    first = components(edges, "join-components")
-
-    # pairs that share keys and are still apart: all of them, or where they are many the likeliest of each node first
-    found, tested = first, chain
-    while True:
-        apart = lists.join(found, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-        split = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        apart = apart.join(split, "key").join(facts.select("node", "parity"), "node")
-        x, y = apart.alias("x"), apart.alias("y")
-        more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may_link(F.col("x.size"), F.col("y.size"), F.col("x.parity"), F.col("y.parity"), num, den))
-        more = more.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("times"), F.first(F.least("x.size", "y.size")).alias("size"))
-        more = materialize(more.where(F.col("times") >= shared(F.col("size"))).join(tested, ["a", "b"], "left_anti"), "join-more")
-        rows_left, heads = more.agg(F.count("*"), F.count_distinct("a")).first()
-        if not rows_left:
-            break
-        last = rows_left <= 16 * heads
-        if not last:
-            likely = Window.partitionBy("a").orderBy(F.desc(F.col("times") / F.col("size")), "b")
-            more = materialize(more.withColumn("nth", F.row_number().over(likely)).where("nth <= 3"), "join-likely")
-        more = more.select("a", "b")
-        missing = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
-        texts = rows.join(nodes.join(missing, "node").select("node", F.col("rep").alias("doc_id")), "doc_id").select("node", "text")
-        sets = sets.unionByName(materialize(node_sets(texts, n), "join-sets"))
-        linked = materialize(verify(more, wanted_sets(sets, more), num, den), "join-edges")
-        tested = tested.unionByName(more)
-        found = joined_components(found, linked, "join-components")
-        if last:
-            break
+    nodes = signed.where("n_shingles > 0").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min(F.xxhash64("doc_id", "text_key")).alias("pick"),
+        F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("tags").alias("tags"), F.first("parity").alias("parity"),
+    )
+    nodes = materialize(nodes, "join-nodes")
+    listed = nodes.select("node", F.col("size").cast("int").alias("size"), F.explode(F.arrays_zip("keys", "tags")).alias("x"))
+    lists = materialize(with_partners(listed.select(F.col("x.keys").alias("key"), "node", "size", F.col("x.tags").alias("tag")), num, den), "join-lists")
+
+    facts = nodes.select("node", "size", "parity")
+    side = lambda s: facts.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("parity").alias(f"parity_{s}"))
+    chain = lists.where("prev is not null").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct()
+    differ = _differ(F.col("parity_a"), F.col("parity_b"))
+    sizes = F.col("size_a"), F.col("size_b")
+    chain = chain.join(side("a"), "a").join(side("b"), "b").where(_size_room(*sizes, num, den) & (differ <= _spare(*sizes, num, den))).select("a", "b", differ.alias("differ"))
+    likely = Window.partitionBy("a").orderBy("differ", "b")
+    todo = materialize(chain.withColumn("nth", F.row_number().over(likely)).where("nth <= 3"), "join-chain")
+    sets = fetch_sets(rows, nodes, todo, n)
+    edges = materialize(verify(todo, sets, num, den), "join-edges")
+    found, tested = components(edges, "join-components", local), todo.select("a", "b")
+    more = materialize(pairs_apart(lists, facts, found, num, den, cell).join(tested, ["a", "b"], "left_anti"), "join-more")
+    if not more.isEmpty():
+        sets, quota = sets.unionByName(fetch_sets(rows, nodes, more, n, sets)), 4
+        while True:
+            todo = materialize(more.withColumn("nth", F.row_number().over(likely)), "join-likely")
+            last = todo.where(F.col("nth") > quota).isEmpty()
+            todo = todo.where(F.col("nth") <= quota)
+            edges = edges.unionByName(materialize(verify(todo, sets, num, den), "join-edges"))
+            found = components(edges, "join-components", local)
+            if last:
+                break
+            tested, quota = tested.unionByName(todo.select("a", "b")), quota * 16
+            more = still_apart(more, found).join(tested, ["a", "b"], "left_anti")
     root = nodes.join(found, "node", "left").select("node", "rep", "n_copies", F.coalesce("component", "node").alias("component"))
     least = root.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = root.join(least, "component").select("node", "n_copies", "component_id")
-    out = signed.select("doc_id", "node", "n_shingles").join(named, "node", "left")
+    return signed.select("doc_id", "text_key", "node", "n_shingles"), root.join(least, "component").select("node", "n_copies", "component", "component_id")
+
+
+def link_documents(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies (rows of the same set) for each row of docs."""
+    rows, nodes = link_nodes(spark, docs, n, num, den, **options)
+    out = rows.join(nodes, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id, and of its repetitions one.
+    """docs with one row of each component: that of the smallest doc_id, and of its texts and repetitions one.
 
-    Only ids that go are joined to the texts, and only repeated ids are windowed.
+    Rows without shingles all stay. A component of none but null ids keeps one row, others none of a null id.
+    Only rows that go, by id and text, are joined to the texts, and only repeated ones are grouped.
     """
-    linked = materialize(link_documents(spark, docs, n, num, den), "join-linked").where(F.col("doc_id").isNotNull())
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    by = linked.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(stays).alias("stay"))
-    by = materialize(by.where("rows > 1 or stay = 0"), "join-gone")
-    kept = docs.join(by.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    if by.where("stay > 0").isEmpty():
-        return kept
-    again = docs.join(by.where("stay > 0").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1)])
-    return kept.unionByName(again.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth"))
+    core = ("doc_id", "text")
+    folded = fold_others(docs, *core)
+    rows, nodes = link_nodes(spark, folded, n, num, den)
+    linked = materialize(rows.where("n_shingles > 0").join(nodes.select("node", "component"), "node").select("doc_id", "text_key", "component"), "join-linked")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("text_key"))
+    stays = linked.groupBy("component").agg(F.min(name).alias("stay"))
+    by = linked.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("rows")).join(stays, "component")
+    by = by.select("doc_id", "text_key", "rows", (F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("text_key") == F.col("stay.text_key"))).alias("stays"))
+    by = materialize(by.where("rows > 1 or not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "stays"), "join-gone")
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
+    kept = folded.join(by, same, "left_anti")
+    if not by.where("stays").isEmpty():
+        again = folded.join(by.where("stays"), same, "left_semi").withColumn("row", F.struct(*folded.columns))
+        again = again.groupBy("doc_id", F.xxhash64("text").alias("text_key")).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        kept = kept.unionByName(again.select("row.*"))
+    return kept.select(*unfold_others(docs, *core))
