@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import as_bytes, list_column, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segments kept by a worker, and the longest one worth keeping.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Segments kept while a task runs, and the longest one worth keeping.
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 MARK = "▁"
 SEGMENT = re.compile(f"[\n{MARK}]| *[^ \n{MARK}]+| +")
-_CODERS: dict[str, Coder] = {}
 
 
 def load_pieces(path: str = MODEL_PATH) -> list[tuple[str, int, float]]:
@@ -119,24 +118,19 @@ class Coder:
         return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def coder(shared) -> Coder:
-    """One coder for each worker process and model; ``shared`` broadcasts a path and its vocabulary, whose size is fixed."""
-    path, pieces = shared.value
-    if path not in _CODERS:
-        _CODERS[path] = Coder(pieces)
-    return _CODERS[path]
-
-
 def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str = MODEL_PATH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, then piece_ids array<int>, n_pieces, n_byte_pieces and whether decoding gave the text back."""
-    shared = spark.sparkContext.broadcast((model_path, load_pieces(model_path)))
+    """``keep`` columns, then piece_ids array<int>, n_pieces, n_byte_pieces and whether decoding gave the text back.
+
+    The vocabulary, whose size is fixed, is broadcast; a task builds its automaton and drops it, with its cache, at its end.
+    """
+    shared = spark.sparkContext.broadcast(load_pieces(model_path))
     rows = docs.select(*keep, docs["text"].alias("_text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(shared)
+        own = Coder(shared.value)
         is_byte = np.zeros(max(own.surface) + 1, bool)
         is_byte[own.byte] = True
-        for batch in slices(batches, "_text", 2 << 20):
+        for batch in slices(batches, "_text"):
             packed, exact = [], []
             for raw in as_bytes(batch, "_text"):
                 text = raw.decode()
@@ -157,10 +151,10 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str = MOD
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """doc_id and text from doc_id and piece_ids (null ids: the empty text)."""
-    shared = spark.sparkContext.broadcast((model_path, load_pieces(model_path)))
+    shared = spark.sparkContext.broadcast(load_pieces(model_path))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(shared)
+        own = Coder(shared.value)
         for batch in batches:
             texts = [own.decode(x) if x else "" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
