@@ -221,10 +221,10 @@ def node_sets(rows: DataFrame, n: int) -> DataFrame:
 
 
 def picked(rows: DataFrame, picks: DataFrame, names: Column) -> DataFrame:
-    """The rows whose ``names`` (a long) is in picks (``pick``), joined after a map over hash slots let few others pass.
+    """The rows whose ``names`` (a long) is in picks (``pick``), and few others: those that a map over hash slots lets pass.
 
     The map goes to every task: 2^WANTED_BITS bits at most (4 MB), whatever the number of picks. Where it is
-    full it lets every row pass, and the join decides as ever.
+    full it lets every row pass. Nothing is shuffled.
     """
     slot = lambda c: F.pmod(c, F.lit(1 << WANTED_BITS))
     bits = picks.select(slot(F.col("pick")).alias("slot")).groupBy(F.shiftright("slot", 15).alias("slots")).agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(1 << 15))).alias("bits"))
@@ -232,7 +232,7 @@ def picked(rows: DataFrame, picks: DataFrame, names: Column) -> DataFrame:
     at = F.pmod("slot", F.lit(1 << 15))
     byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     some = placed.join(F.broadcast(bits), F.shiftright("slot", 15) == F.col("slots")).withColumn("byte", byte).where(F.expr("getbit(byte, CAST(slot % 8 AS INT)) = 1"))
-    return some.join(picks.select(F.col("pick").alias("named")), "named", "left_semi").select(rows.columns)
+    return some.select(rows.columns)
 
 
 def fetch_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, known: DataFrame | None = None) -> DataFrame:
@@ -240,9 +240,11 @@ def fetch_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, know
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     if known is not None:
         wanted = wanted.join(known.select("node"), "node", "left_anti")
-    picks = materialize(nodes.select("node", "pick").join(wanted, "node", "left_semi").select("pick"), "join-picks")
+    wanted = materialize(nodes.select("node", "pick").join(wanted, "node", "left_semi"), "join-picks")
+    picks, wanted = wanted.select("pick"), wanted.select("node")
     texts = picked(rows.select("doc_id", "text"), picks, F.xxhash64("doc_id", F.xxhash64("text"))).select("text")
-    return materialize(node_sets(texts, n).groupBy("node").agg(F.first("elements").alias("elements")), "join-sets")
+    found = node_sets(texts, n).join(wanted.hint("shuffle_hash"), "node", "left_semi")
+    return materialize(found.groupBy("node").agg(F.first("elements").alias("elements")), "join-sets")
 
 
 def _size_room(na: Column, nb: Column, num: int, den: int) -> Column:
@@ -388,7 +390,7 @@ def link_nodes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int,
     sizes = F.col("size_a"), F.col("size_b")
     chain = chain.join(side("a"), "a").join(side("b"), "b").where(_size_room(*sizes, num, den) & (differ <= _spare(*sizes, num, den))).select("a", "b", differ.alias("differ"))
     likely = Window.partitionBy("a").orderBy("differ", "b")
-    todo = materialize(chain.withColumn("nth", F.row_number().over(likely)).where("nth <= 3"), "join-chain")
+    todo = materialize(chain.withColumn("nth", F.row_number().over(likely)).where("nth = 1"), "join-chain")
     sets = fetch_sets(rows, nodes, todo, n)
     edges = materialize(verify(todo, sets, num, den), "join-edges")
     found, tested = components(edges, "join-components", local), todo.select("a", "b")
