@@ -44,7 +44,8 @@ FEATURES = ("hits", "density", "learned_hits", "learned_density", "near_you", "c
 COLUMNS = tuple(f"_toxic_{f}" for f in FEATURES)
 _NOT_WORD = bytes(c if chr(c).isalnum() or c >= 128 or c in b"@$!*#|" else 32 for c in range(256))
 _EDGES = b"@$!*#|"
-_MASKED = re.compile(rb"[a-z]+[0-9@$!*#|]+[a-z][a-z0-9@$!*#|]*|[@$!0-9][a-z]{2,}[0-9@$!*]*[a-z]*")
+# A run of letters is tried once, from its start: very long ones stay linear.
+_MASKED = re.compile(rb"(?<![a-z])[a-z]++[0-9@$!*#|]+[a-z][a-z0-9@$!*#|]*|[@$!0-9][a-z]{2,}[0-9@$!*]*[a-z]*")
 _SPELLED = re.compile(rb"(?<![a-z])(?:[a-z][ .*_-]){3,}[a-z](?![a-z])")
 _STRETCHED = re.compile(rb"([a-z])\1{3,}")
 _CLASS = np.zeros(256, np.uint8)
