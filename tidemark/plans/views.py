@@ -157,7 +157,7 @@ def alert_matches(events: DataFrame, rules: DataFrame) -> DataFrame:
     any_kind = on.where("rule_kind is null").select("rule_id")
     each = events.select("kind").distinct().join(any_kind, how="inner", on=F.lit(True)).withColumnRenamed("kind", "rule_kind")
     every = events.join(each, F.col("kind") == F.col("rule_kind"))
-    return own.unionByName(every).select("rule_id", "event_id", F.lit("pending").alias("state")).dropDuplicates(["rule_id", "event_id"])
+    return own.select("rule_id", "event_id").unionByName(every.select("rule_id", "event_id")).select("rule_id", "event_id", F.lit("pending").alias("state")).dropDuplicates(["rule_id", "event_id"])
 
 
 def delivery_states(attempts: DataFrame, most: int = 3) -> DataFrame:
