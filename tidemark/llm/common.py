@@ -119,18 +119,23 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint6
 
 
 def word_codes(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a text column end to end, A-Z lower-cased, and how many words each text has.
+    """64-bit hashes of all words of a text column end to end, A-Z lower-cased, and how many words each text has."""
+    data, off = text_bytes(batch, name)
+    code, start, _ = run_codes(data, off, ~_SPACE[data])
+    return code, np.diff(np.searchsorted(start, off))
+
 
-    A word's hash scrambles the sum of its scrambled (place, byte) pairs, so that no word becomes an object of its own.
+def run_codes(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of ``inside`` bytes, which ends where a text ends: a 64-bit hash (A-Z lower-cased), its start and size.
+
+    A run's hash scrambles the sum of its scrambled (place, byte) pairs, so that no word becomes an object of its own.
     """
-    data, off = text_bytes(batch, name)
-    inside = ~_SPACE[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
     edge = off[1:-1]
     edge = edge[(edge > 0) & (edge < len(data))]
-    edge = edge[inside[edge] & inside[edge - 1]]  # two texts that touch without white space
+    edge = edge[inside[edge] & inside[edge - 1]]  # two texts that touch
     first[edge], last[edge - 1] = True, True
     start = np.flatnonzero(first)
     size = np.flatnonzero(last) + 1 - start
@@ -139,8 +144,7 @@ def word_codes(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, n
     each = mix64((place.astype(np.uint64) << np.uint64(8)) + _LOWER[data[inside]] + np.uint64(0x9E3779B97F4A7C15))
     run = np.zeros(len(each) + 1, np.uint64)
     np.cumsum(each, out=run[1:])
-    code = mix64(run[ends] - run[ends - size] + size.astype(np.uint64))
-    return code, np.diff(np.searchsorted(start, off))
+    return mix64(run[ends] - run[ends - size] + size.astype(np.uint64)), start, size
 
 
 def span_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
