@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_FOLDER: list[str] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table written to the folder that the session names and read again: computed once, where ``cut`` computes it twice."""
+    if not _FOLDER or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
+        _FOLDER[:] = [shared_folder(df.sparkSession, "spark-stored-")]
+    path = f"{_FOLDER[0]}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def theme_relevance(docs: DataFrame, refs: DataFrame, least: float = RELEVANT) -> DataFrame:
     """The highest cosine to a reference vector; without references 0 and not relevant."""
     met = best_matches(docs.select("vec_id", "embedding"), refs.select(F.monotonically_increasing_id().alias("ref_id"), "centroid"), "vec_id", "ref_id")

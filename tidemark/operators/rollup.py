@@ -79,7 +79,7 @@ def late_recompute(docs: DataFrame, ledger: DataFrame, late: DataFrame, reason:
     return daily_rollup(keep(docs), keep(ledger)).withColumn("reason", F.lit(reason))
 
 
-def _without(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+def without(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows whose key is not among the new; nulls are equal."""
     names = [f"_new_{k}" for k in keys]
     other = new.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
@@ -88,10 +88,10 @@ def _without(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def upsert_keep_latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows whose key is not among the new, and the new."""
-    return _without(old, new, keys).unionByName(new)
+    return without(old, new, keys).unionByName(new)
 
 
 def prune_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that a recompute of their day no longer supports."""
     days = new.select("monitor_id", "bucket").distinct()
-    return _without(old.join(days, ["monitor_id", "bucket"], "left_semi").select(old.columns), new, keys)
+    return without(old.join(days, ["monitor_id", "bucket"], "left_semi").select(old.columns), new, keys)

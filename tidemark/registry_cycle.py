@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark import registry_trends, registry_upkeep  # noqa: F401  (their queries join the registry)
+from tidemark import registry_store, registry_trends, registry_upkeep  # noqa: F401  (their queries join the registry)
 from tidemark.fixtures import FEEDBACK_SQL, feedback, ledger, runs, table
 from tidemark.functions import text as tx
 from tidemark.operators import discovery, topics
