@@ -34,8 +34,8 @@ from tidemark.operators.topics import dot
 
 #: Nodes of a block and the most routing objects; far pivots; neighbours kept of each node; visitors of a task; edges of a range.
 BLOCK, ROUTES, PIVOTS, NEAR, PACK, EDGES = 2048, 1024, 12, 16, 4096, 1 << 20
-#: The least weight of an edge: rows at one place have a finite level.
-TINY = 1e-9
+#: The least weight of an edge. Rows nearer than this count as one place, so that a few copies don't outweigh what lies around them.
+FINEST = 0.01
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -186,7 +186,7 @@ def spanning_tree(spark: SparkSession, placed: DataFrame, places: Places, found:
     points = stored(met.select("node", "u", "block", core.alias("core"), F.greatest(end, core).alias("low"), "others"))
     cores = points.select(F.col("node").alias("b"), F.col("core").alias("core_b"))
     pairs = points.select(F.col("node").alias("a"), F.col("core").alias("core_a"), F.explode("others").alias("o")).select("a", "core_a", F.col("o.id").alias("b"), "o.d").join(cores, "b")
-    weight = F.greatest("d", "core_a", "core_b", F.lit(TINY))
+    weight = F.greatest("d", "core_a", "core_b", F.lit(FINEST))
     edges = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), weight.alias("w")).groupBy("a", "b").agg(F.min("w").alias("w")))
     points, label, tree = points.drop("others"), points.select("node", F.col("node").alias("comp")), None
     kind = placed.schema["node"].dataType.simpleString()
@@ -196,7 +196,7 @@ def spanning_tree(spark: SparkSession, placed: DataFrame, places: Places, found:
         if left.num_rows and right.num_rows:
             order = np.argsort(right["node"].to_numpy(), kind="stable")
             ids, core, comp = (right[c].to_numpy()[order] for c in ("node", "core", "comp"))
-            w = np.maximum(np.maximum(distances(matrix(left["u"]), matrix(right["u"])[order]), core), np.maximum(left["core"].to_numpy()[:, None], TINY))
+            w = np.maximum(np.maximum(distances(matrix(left["u"]), matrix(right["u"])[order]), core), np.maximum(left["core"].to_numpy()[:, None], FINEST))
             w[left["comp"].to_numpy()[:, None] == comp] = np.inf
             own = left["node"].to_numpy()
             # of equal weights the smallest pair (smaller id, larger id)
@@ -259,7 +259,7 @@ def _pivot_bound(spark: SparkSession, here: DataFrame, lost: DataFrame, places:
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, core, comp = pivots.value
         for b in batches:
-            w = np.maximum(np.maximum(distances(matrix(b["u"]), u), core), np.maximum(b["core"].to_numpy()[:, None], TINY))
+            w = np.maximum(np.maximum(distances(matrix(b["u"]), u), core), np.maximum(b["core"].to_numpy()[:, None], FINEST))
             w[b["comp"].to_numpy()[:, None] == comp] = np.inf
             yield pa.RecordBatch.from_arrays([b["comp"], pa.array(w.min(1))], names=["comp", "other"])
 
@@ -267,9 +267,30 @@ def _pivot_bound(spark: SparkSession, here: DataFrame, lost: DataFrame, places:
     return least.where(F.col("other") < float("inf"))
 
 
-def _joined(links: DataFrame) -> DataFrame:
-    """comp, root (the smallest that links (comp_a, comp_b) reach) of each linked component."""
-    both = stored(links.select("comp_a", "comp_b").unionByName(links.select(F.col("comp_b").alias("comp_a"), F.col("comp_a").alias("comp_b"))).distinct())
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links of one task as (comp, root), the smallest that links reach."""
+    parts = list(batches)
+    a, b = (np.concatenate([p.column(i).to_numpy() for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(u) and not (label[u] == label[v]).all():
+        x, y = label[u], label[v]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["comp", "root"])
+
+
+def _joined(links: DataFrame, local: int = EDGES) -> DataFrame:
+    """comp, root (the smallest that links (comp_a, comp_b) reach) of each linked component.
+
+    ``local`` links at most (16 MB) are joined by one task; more of them in rounds over all.
+    """
+    links = stored(links.select("comp_a", "comp_b"))
+    kind = links.schema["comp_a"].dataType.simpleString()
+    if kind in ("int", "bigint") and links.count() <= local:
+        return stored(links.coalesce(1).mapInArrow(_stars, f"comp {kind}, root {kind}"))
+    both = stored(links.unionByName(links.select(F.col("comp_b").alias("comp_a"), F.col("comp_a").alias("comp_b"))).distinct())
     label = both.select("comp_a").distinct().select("comp_a", F.col("comp_a").alias("c"))
     while True:
         near = both.join(label.select(F.col("comp_a").alias("comp_b"), F.col("c").alias("m")), "comp_b").groupBy("comp_a").agg(F.min("m").alias("m"))
@@ -288,7 +309,7 @@ def condensed(nodes: DataFrame, tree: DataFrame, size: int = CLUSTER, edges: int
     root's parent is null.
     """
     kind = nodes.schema["node"].dataType.simpleString()
-    ranked = tree.select(F.greatest("w", F.lit(TINY)).alias("w"), "a", "b")
+    ranked = tree.select(F.greatest("w", F.lit(FINEST)).alias("w"), "a", "b")
     ranges = max(1, -(-ranked.count() // edges))
     number = F.lit(0)
     if ranges > 1:
@@ -299,7 +320,7 @@ def condensed(nodes: DataFrame, tree: DataFrame, size: int = CLUSTER, edges: int
     pending = F.when(~big, F.array(F.struct("node", "n")))
     # a node that weighs as much as a cluster is one from the start
     own = F.when(big, F.col("node").cast("string"))
-    state = stored(nodes.select(F.col("node").alias("comp"), F.col("n").alias("size"), own.alias("cluster"), F.when(big, F.col("n") / TINY).otherwise(0.0).alias("sum"), F.lit(0.0).alias("below"), pending.alias("pending")))
+    state = stored(nodes.select(F.col("node").alias("comp"), F.col("n").alias("size"), own.alias("cluster"), F.when(big, F.col("n") / FINEST).otherwise(0.0).alias("sum"), F.lit(0.0).alias("below"), pending.alias("pending")))
     label, rows, clusters = nodes.select("node", F.col("node").alias("comp")), [nodes.where(big).select("node", own.alias("cluster"))], []
     held = f"size long, cluster string, sum double, below double, pending array<struct<node:{kind},n:long>>"
     schema = f"kind string, comp {kind}, to {kind}, parent string, stability double, {held}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import registry_store, registry_trends, registry_upkeep  # noqa: F401  (their queries join the registry)
 from tidemark.fixtures import FEEDBACK_SQL, feedback, ledger, runs, table
 from tidemark.functions import text as tx
-from tidemark.operators import discovery, topics
+from tidemark.operators import discovery, hierarchy, topics
 from tidemark.plans import cycle, views
 from tidemark.registry import _CAND, _EN, _EV, _ROLLUP, _STATS, _VEC, _candidates, _events, _metrics, _residue, _topics, oracle_sql, queries, query
 from tidemark.streaming import daily
@@ -41,10 +41,8 @@ def density_clusters(spark, d):
 
 @query()
 def residue_clusters(spark, d):
-    """Clusters of what no topic takes: centroids over all vectors of a label, assignment over all vectors, the whole residue."""
-    e = table(spark, d, "embeddings")
-    t = topics.mean_vectors(e.withColumnRenamed("label", "topic_id"), "topic_id")
-    return discovery.density_clusters(topics.residue_pool(e, topics.assign_topics(topics.nearest_topic(e, t))), 0.25)
+    """Clusters of any density of what no topic takes, over all vectors."""
+    return hierarchy.density_hierarchy(_residue(spark, d))
 
 
 @query(_VEC + _CAND + ", b AS (SELECT *, s >= 0.75 AND topic_id % 4 <> 0 AS m FROM cs QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY round(s, 9) DESC, topic_id) = 1) SELECT candidate_id, CASE WHEN m THEN 'merge' ELSE 'new' END AS outcome, CASE WHEN m THEN topic_id END AS topic_id, CASE WHEN m THEN 0.75::DOUBLE ELSE 1 END AS similarity, CASE WHEN m THEN round(0.02 * list_distance(v, centroid), 6) END AS moved FROM b")
