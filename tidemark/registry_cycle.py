@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import registry_store, registry_trends, registry_upkeep  # noqa: F401  (their queries join the registry)
 from tidemark.fixtures import FEEDBACK_SQL, feedback, ledger, runs, table
 from tidemark.functions import text as tx
-from tidemark.operators import discovery, hierarchy, topics
+from tidemark.operators import discovery, hierarchy, matching, topics
 from tidemark.plans import cycle, views
 from tidemark.registry import _CAND, _EN, _EV, _ROLLUP, _STATS, _VEC, _candidates, _events, _metrics, _residue, _topics, oracle_sql, queries, query
 from tidemark.streaming import daily
@@ -51,12 +51,19 @@ def candidate_resolution(spark, d):
     return discovery.candidate_resolution(_candidates(spark, d), t).withColumn("moved", F.round("moved", 6))
 
 
-@query()
+#: Labels of either parity are a monitor of their own; every assignment of clusters to topics, by sets of topics taken.
+@query(_VEC.replace("WITH", "WITH RECURSIVE", 1) + _CAND + """, c AS (SELECT candidate_id // 10 % 2 AS monitor_id, candidate_id, topic_id, CAST(round(s * 1000000) AS BIGINT) AS s, s AS cosine,
+dense_rank() OVER (PARTITION BY candidate_id // 10 % 2 ORDER BY candidate_id) AS i, CAST(1 << (dense_rank() OVER (PARTITION BY topic_id % 2 ORDER BY topic_id) - 1) AS BIGINT) AS bit FROM cs WHERE candidate_id // 10 % 2 = topic_id % 2),
+o AS (SELECT DISTINCT monitor_id, i, candidate_id, NULL::INTEGER AS topic_id, 0::BIGINT AS worth, 0::BIGINT AS bit FROM c UNION ALL SELECT monitor_id, i, candidate_id, topic_id, s + 2000000, bit FROM c),
+dp(monitor_id, i, taken, worth, pairs) AS (SELECT DISTINCT monitor_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, CAST([] AS BIGINT[][]) FROM c
+UNION ALL SELECT dp.monitor_id, o.i, dp.taken | o.bit, max(dp.worth + o.worth), arg_max(CASE WHEN topic_id IS NULL THEN pairs ELSE list_append(pairs, [candidate_id::BIGINT, topic_id::BIGINT]) END, dp.worth + o.worth)
+FROM dp JOIN o ON o.monitor_id = dp.monitor_id AND o.i = dp.i + 1 AND dp.taken & o.bit = 0 GROUP BY 1, 2, 3),
+top AS (SELECT monitor_id, arg_max(pairs, (i, worth)) AS pairs FROM dp GROUP BY 1), u AS (SELECT monitor_id, unnest(pairs) AS p FROM top)
+SELECT u.monitor_id, candidate_id AS cluster_id, topic_id, round(cosine, 6) AS s FROM u JOIN c ON candidate_id = p[1] AND topic_id = p[2]""")
 def cluster_topic_match(spark, d):
-    t = _topics(spark, d)[1].withColumnRenamed("centroid", "home")
-    met = _candidates(spark, d).join(t, how="inner", on=F.lit(True))
-    s = F.round(topics.cosine(F.col("centroid"), F.col("home")), 9)
-    return discovery.match_one_to_one(met.select(F.col("candidate_id").alias("cluster_id"), "topic_id", s.alias("s"))).withColumn("s", F.round("s", 6))
+    clusters = _candidates(spark, d).select((F.floor(F.col("candidate_id") / 10) % 2).alias("monitor_id"), F.col("candidate_id").alias("cluster_id"), "centroid")
+    homes = _topics(spark, d)[1].select((F.col("topic_id") % 2).cast("long").alias("monitor_id"), "topic_id", "centroid")
+    return matching.optimal_match(matching.similarities(clusters, homes)).withColumn("s", F.round("s", 6))
 
 
 @query(f"WITH {FEEDBACK_SQL}, a AS (SELECT monitor_id, CASE WHEN k % 9 = 0 THEN 'manual' ELSE 'centroid' END AS method, CAST(published_at AS DATE) AS assigned_on FROM feedback WHERE topic_id IS NOT NULL), w AS (SELECT monitor_id, count(*) FILTER (WHERE method <> 'manual' AND assigned_on > DATE '2024-01-25' - 30 AND assigned_on <= DATE '2024-01-25') AS in_window FROM a GROUP BY 1) SELECT *, CASE WHEN in_window < 5 THEN 'window_too_small' ELSE 'ready' END AS status FROM w")

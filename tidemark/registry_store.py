@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.fixtures import feedback, ledger
-from tidemark.operators import rollup
+from tidemark.fixtures import ledger, table
+from tidemark.operators import inverted_file, rollup, topics
 from tidemark.operators.discovery import shared_folder
 from tidemark.registry import _ROLLUP, _docs, _metrics, query
 from tidemark.sources import daily_table
@@ -52,3 +52,15 @@ def written_upsert(spark, d):
     topic = F.when(F.col("grouping_id") == 2, F.concat("topic_id", F.lit("x"))).otherwise(F.col("topic_id"))
     table.upsert(table.read().where(F.dayofmonth("bucket") == 5).withColumn("doc_count", F.col("doc_count") + 1).withColumn("topic_id", topic), rollup.KEYS)
     return table.read()
+
+
+# ---- nearest of many topics ---------------------------------------------------------------------------------
+
+
+@query("""WITH t0 AS (SELECT label * 20 + vec_id % 20 AS topic_id, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2), t AS (SELECT topic_id, list(m ORDER BY i) AS c FROM t0 GROUP BY 1),
+s AS (SELECT vec_id, topic_id, list_cosine_similarity(embedding::DOUBLE[], c) AS s FROM embeddings, t) SELECT vec_id, topic_id, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, topic_id) = 1""")
+def nearest_of_many_topics(spark, d):
+    """An inverted file of a twentieth of each label's vectors at a time, probed until the sample of documents finds all its nearest."""
+    e = table(spark, d, "embeddings")
+    index = inverted_file.InvertedFile(topics.mean_vectors(e.withColumn("topic_id", F.col("label") * 20 + F.col("vec_id") % 20), "topic_id"))
+    return index.search(e, index.probes_for(e, 1.0)).withColumn("similarity", F.round("similarity", 6))
