@@ -39,7 +39,7 @@ def planted(spark: SparkSession, sf_dir: str, day: str = PLANT_DAY) -> DataFrame
     """The feedback view with changes planted, so that detectors meet what they look for at their own thresholds.
 
     Topic t1 holds a fifth of its documents before the day (a burst on it), t2 grows day by day, t3's sentiment
-    turns ten days before, t4 has no document before the day (it emerges), t5 falls to a third nine days before.
+    turns ten days before, t6's turns then and does not vary on either side, t4 has no document before the day (it emerges), t5 falls to a third nine days before.
     """
     docs, on = feedback(spark, sf_dir), F.lit(day).cast("date")
     topic, i = F.coalesce("topic_id", F.lit("")), F.col("document_id")
@@ -48,7 +48,8 @@ def planted(spark: SparkSession, sf_dir: str, day: str = PLANT_DAY) -> DataFrame
         ((topic == "t1") & early & (i % 5 != 0)) | ((topic == "t2") & (i % 30 > F.dayofmonth("bucket"))) | ((topic == "t4") & early)
         | ((topic == "t5") & (F.col("bucket") >= F.date_sub(on, 9)) & (i % 3 != 0))
     )
-    s = F.when(topic == "t3", F.abs("sentiment_score") * F.when(F.col("bucket") < F.date_sub(on, 10), 1.0).otherwise(-1.0)).otherwise(F.col("sentiment_score"))
+    flat = F.when(F.col("bucket") < F.date_sub(on, 10), 0.5).otherwise(-0.5)
+    s = F.when((topic == "t6") & F.col("sentiment_score").isNotNull(), flat).when(topic == "t3", F.abs("sentiment_score") * F.when(F.col("bucket") < F.date_sub(on, 10), 1.0).otherwise(-1.0)).otherwise(F.col("sentiment_score"))
     label = F.when(F.col("sentiment_score") >= 0.05, "positive").when(F.col("sentiment_score") <= -0.05, "negative").when(F.col("sentiment_score").isNotNull(), "neutral")
     return docs.where(~gone).withColumn("sentiment_score", s).withColumn("sentiment_label", label)
 
@@ -95,7 +96,7 @@ daily AS (SELECT l_returnflag || l_linestatus AS topic_id, CAST(l_shipdate AS DA
 
 _GONE = f"""((coalesce(topic_id, '') = 't1' AND bucket < DATE '{PLANT_DAY}' AND document_id % 5 <> 0) OR (coalesce(topic_id, '') = 't2' AND document_id % 30 > day(bucket))
   OR (coalesce(topic_id, '') = 't4' AND bucket < DATE '{PLANT_DAY}') OR (coalesce(topic_id, '') = 't5' AND bucket >= DATE '{PLANT_DAY}' - 9 AND document_id % 3 <> 0))"""
-_PLANT = f"""feedback1 AS (SELECT *, CASE WHEN topic_id = 't3' THEN abs(sentiment_score) * CASE WHEN bucket < DATE '{PLANT_DAY}' - 10 THEN 1 ELSE -1 END ELSE sentiment_score END AS ns FROM feedback0 WHERE NOT {_GONE}),
+_PLANT = f"""feedback1 AS (SELECT *, CASE WHEN topic_id = 't6' AND sentiment_score IS NOT NULL THEN CASE WHEN bucket < DATE '{PLANT_DAY}' - 10 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END WHEN topic_id = 't3' THEN abs(sentiment_score) * CASE WHEN bucket < DATE '{PLANT_DAY}' - 10 THEN 1 ELSE -1 END ELSE sentiment_score END AS ns FROM feedback0 WHERE NOT {_GONE}),
 feedback AS (SELECT document_id, monitor_id, source_name, entity_id, author_hash, published_at, bucket, topic_id, is_relevant, ns AS sentiment_score,
   CASE WHEN ns >= 0.05 THEN 'positive' WHEN ns <= -0.05 THEN 'negative' WHEN ns IS NOT NULL THEN 'neutral' END AS sentiment_label, rating, engagement, intent, k FROM feedback1),
 ledger AS ("""

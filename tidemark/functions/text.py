@@ -20,7 +20,7 @@ STOP_WORDS = {
     "fr": "de la le et les des en un du une que est pour qui dans sur pas au par avec".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al".split(),
 }
-VALENCE = {"the": 0.0, "good": 1.9, "great": 3.1, "love": 3.2, "bad": -2.5, "terrible": -2.1, "hate": -2.7, "idiot": -2.3, "stupid": -2.4, "worthless": -1.9, "pathetic": -2.7, "disgusting": -2.4, "trash": -1.6, "loser": -2.4, "of": 0.1, "and": 0.2}
+VALENCE = {"good": 1.9, "great": 3.1, "love": 3.2, "bad": -2.5, "terrible": -2.1, "hate": -2.7, "idiot": -2.3, "stupid": -2.4, "worthless": -1.9, "pathetic": -2.7, "disgusting": -2.4, "trash": -1.6, "loser": -2.4}
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Tokens that are measured at once (a longer text stands alone).
 TOKENS_AT_ONCE = 1 << 17
@@ -91,6 +91,13 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return per_document(docs, key, text, TOKEN, "simhash long", measure)
 
 
+def band_keys(simhash: Column) -> Column:
+    """Of six blocks of 10 or 11 bits each choice of three, as a key; hashes that differ in 3 bits at most have one in common."""
+    edges = [0, 11, 22, 33, 44, 54, 64]
+    block = [F.shiftrightunsigned(simhash, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    return F.array(*[F.shiftleft(F.shiftleft(block[x], 11).bitwiseOR(block[y]), 11).bitwiseOR(block[z]) for x, y, z in combinations(range(6), 3)])
+
+
 def near_duplicates(hashes: DataFrame, key: str = "doc_id", distance: int = 3) -> DataFrame:
     """The first earlier document within the distance (3 at most).
 
@@ -99,10 +106,7 @@ def near_duplicates(hashes: DataFrame, key: str = "doc_id", distance: int = 3) -
     pairs: only distinct hashes are joined.
     """
     one = hashes.groupBy("simhash").agg(F.min(key).alias("first"))
-    edges = [0, 11, 22, 33, 44, 54, 64]
-    block = [F.shiftrightunsigned("simhash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-    keys = F.array(*[F.shiftleft(F.shiftleft(block[x], 11).bitwiseOR(block[y]), 11).bitwiseOR(block[z]) for x, y, z in combinations(range(6), 3)])
-    bands = one.select("simhash", "first", F.posexplode(keys).alias("band", "part"))
+    bands = one.select("simhash", "first", F.posexplode(band_keys(F.col("simhash"))).alias("band", "part"))
     a, b = bands.alias("a"), bands.alias("b")
     met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= distance))
     least = met.groupBy(F.col("a.simhash").alias("simhash")).agg(F.min("b.first").alias("m"))

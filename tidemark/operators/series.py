@@ -16,6 +16,8 @@ from tidemark.functions import stats
 
 WINDOW, RECENT, MIN_CLEAN, FLOOR, Z, ALPHA, COOLDOWN = 60, 21, 14, 5, 3.5, 0.1, 3
 MAD_TO_STD = 1.4826
+#: The largest size of a changepoint's statistic: where neither side varies, t has no bound, and a score of the day's largest severity needs one.
+CERTAIN = 1000.0
 
 
 def dense_series(metrics: DataFrame, runs: DataFrame, end: Column, window: int = WINDOW) -> DataFrame:
@@ -137,9 +139,9 @@ def best_split(near: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
 
 
 def detect_changepoint(points: DataFrame, keys: list[str], day: Column, alpha: float = ALPHA, kind: str = "changepoint") -> DataFrame:
-    """Welch's test at the best split, times the number of splits tried; no variance on either side is certainty."""
+    """Welch's test at the best split, times the number of splits tried; no variance on either side is certainty, of a bounded size."""
     met = best_split(recent_clean(points, keys, day), keys).withColumn("p", F.when(F.col("t").isNull(), F.lit(0.0)).otherwise(F.least(F.lit(1.0), stats.student_p("t", "df") * F.col("splits")))).where(F.col("p") < alpha)
-    return _found(met, keys, kind, "pelt", F.coalesce("t", F.lit(float("inf"))), F.col("p"), F.col("after"), F.col("before"), F.when(F.col("after") > F.col("before"), "rising").otherwise("falling"))
+    return _found(met, keys, kind, "pelt", F.least(F.lit(CERTAIN), F.greatest(F.lit(-CERTAIN), F.coalesce("t", F.signum(F.col("after") - F.col("before")) * CERTAIN))), F.col("p"), F.col("after"), F.col("before"), F.when(F.col("after") > F.col("before"), "rising").otherwise("falling"))
 
 
 def trend_candidates(points: DataFrame, keys: list[str], day: Column) -> DataFrame:

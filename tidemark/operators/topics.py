@@ -262,8 +262,12 @@ def assignment_precedence(assignments: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, limit: int = 15) -> DataFrame:
-    """Documents of (topic_id, source, vec_id, distance) in turns of one for each source, best sources first."""
+    """Documents of (topic_id, source, vec_id, distance) in turns of one for each source, best sources first.
+
+    A source gives at most ``limit`` documents, so each task first keeps that many of its own: a topic with most of
+    all rows brings few of them to the window.
+    """
     own = Window.partitionBy("topic_id", "source").orderBy("distance", "vec_id")
-    met = docs.withColumn("turn", F.row_number().over(own)).withColumn("best", F.min("distance").over(Window.partitionBy("topic_id", "source")))
+    met = docs.withColumn("turn", F.row_number().over(own)).where(F.col("turn") <= limit).withColumn("best", F.min("distance").over(Window.partitionBy("topic_id", "source")))
     order = Window.partitionBy("topic_id").orderBy("turn", "best", "source")
     return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("topic_id", "place", "vec_id", "source")

@@ -119,6 +119,15 @@ def trend_scores(components: DataFrame, trust: DataFrame, least_diversity: float
     )
 
 
+def scores_of_all(scores: DataFrame, topics: DataFrame, trust: DataFrame) -> DataFrame:
+    """scores with a row for each topic (monitor_id, bucket, topic_id) that has no metric that day: withheld, for the day's fault or for that."""
+    key = ["monitor_id", "bucket", "topic_id"]
+    lacking = topics.select(*key).distinct().join(scores, key, "left_anti").join(trust, ["monitor_id", "bucket"], "left")
+    reason = F.when(F.coalesce("trusted", F.lit(True)), "no_metric_for_day").otherwise("day_untrustworthy")
+    none = [F.lit(None).cast(scores.schema[c].dataType).alias(c) for c in scores.columns if c not in (*key, "withheld_reason")]
+    return scores.unionByName(lacking.select(*key, *none, reason.alias("withheld_reason")))
+
+
 def latest_score(scores: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """monitor_id, topic_id, score, breadth of each topic's newest score in the period that was not withheld."""
     rows = scores.where("withheld_reason is null")
@@ -176,6 +185,23 @@ def topic_statistics(metrics: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select("monitor_id", "topic_id", "documents", F.round("share", 6).alias("share"), F.round("sentiment", 6).alias("sentiment"), F.round("negativity", 6).alias("negativity"), F.round(F.coalesce("asks", F.lit(0)) / F.col("documents"), 6).alias("ask_share"))
 
 
+def intent_mix(docs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """monitor_id, topic_id, intent_mix: each intent's share of the topic's documents in the period, as a map."""
+    total = metrics.where("grouping_id = 2 and topic_id is not null").groupBy("monitor_id", "topic_id").agg(F.sum("doc_count").alias("documents"))
+    by = docs.where("topic_id is not null and intent is not null").groupBy("monitor_id", "topic_id", "intent").agg(F.count("*").alias("n")).join(total, ["monitor_id", "topic_id"])
+    entry = F.struct("intent", F.round(F.col("n") / F.col("documents"), 6).alias("share"))
+    return by.groupBy("monitor_id", "topic_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("intent_mix"))
+
+
+def period_statistics(metrics: DataFrame, docs: DataFrame, scores: DataFrame) -> DataFrame:
+    """All that an insight is told of a topic's period: figures, the mix of intents, breadth over the period and the latest score that was not withheld."""
+    key = ["monitor_id", "topic_id"]
+    stats = topic_statistics(metrics, docs)
+    mix, score = intent_mix(docs, metrics), latest_score(scores).select(*key, "score")
+    met = stats.join(mix, key, "left").join(period_breadth(metrics), key, "left").join(score, key, "left")
+    return met.select(*stats.columns, "intent_mix", F.round("breadth", 6).alias("breadth"), "score")
+
+
 def period_breadth(metrics: DataFrame) -> DataFrame:
     """Distinct sources of each topic over the distinct sources of its monitor, in the whole period."""
     own = metrics.where("grouping_id = 0").groupBy("monitor_id", "topic_id").agg(F.count_distinct("source_name").alias("own"))
@@ -252,6 +278,19 @@ def label_contamination(labels: DataFrame) -> DataFrame:
     return labels.select("label_id", ((who == "") | who.rlike("pipeline|system|auto|model")).alias("rejected"))
 
 
+# What in a reference points into the system's own output.
+OWN_OUTPUT = ("trend_events/", "insights/", "generation_skips/", "/monitors/")
+
+
+def event_contamination(labels: DataFrame) -> DataFrame:
+    """Event labels without a reference from outside: a blank one, or one into the system's own output."""
+    at = F.lower(F.coalesce("external_reference", F.lit("")))
+    own = F.when(F.trim(at) == "", "blank_reference")
+    for mark in OWN_OUTPUT:
+        own = own.when(at.contains(mark), "own_output")
+    return labels.select("label_id", own.isNotNull().alias("rejected"), own.alias("reason"))
+
+
 def run_status(outcomes: DataFrame, expected_volume: bool = True) -> DataFrame:
     by = outcomes.groupBy("monitor_id", "bucket").agg(F.sum("kept").alias("kept"), F.max(F.col("kept") == 0).alias("any_failed"), F.max(F.col("kept") > 0).alias("any_collected"))
     status = F.when((F.col("kept") == 0) & F.lit(expected_volume), "failed").when(F.col("any_failed") & F.col("any_collected"), "partial").when(F.col("any_failed"), "failed").otherwise("complete")

@@ -9,6 +9,7 @@ from tidemark.fixtures import FEEDBACK_SQL, feedback, ledger, runs, table
 from tidemark.functions import text as tx
 from tidemark.operators import discovery, hierarchy, matching, topics
 from tidemark.plans import cycle, views
+from tidemark.sources import ingest
 from tidemark.registry import _CAND, _EN, _EV, _ROLLUP, _STATS, _VEC, _candidates, _events, _metrics, _residue, _topics, oracle_sql, queries, query
 from tidemark.streaming import daily
 
@@ -151,8 +152,7 @@ def backfill_outcome(spark, d):
 @query(f"WITH {FEEDBACK_SQL} SELECT r.monitor_id, r.bucket, r.status, count(*) AS sources, CAST(sum(l.kept) AS BIGINT) AS kept FROM runs r JOIN ledger l USING (monitor_id, bucket) GROUP BY 1, 2, 3")
 def view_run_history(spark, d):
     docs = feedback(spark, d)
-    met = runs(docs).join(ledger(docs), ["monitor_id", "bucket"])
-    return met.groupBy("monitor_id", "bucket", "status").agg(F.count("*").alias("sources"), F.sum("kept").alias("kept")).orderBy("monitor_id", F.desc("bucket"))
+    return ingest.run_history(runs(docs), ledger(docs))
 
 
 @query(_STATS + f", y AS (SELECT topic_id AS t, document_id, row_number() OVER (PARTITION BY topic_id, source_name ORDER BY k, document_id) AS turn, min(k) OVER (PARTITION BY topic_id, source_name) AS best, source_name FROM feedback WHERE topic_id IS NOT NULL AND is_relevant), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY turn, best, source_name) AS place FROM y) SELECT st.*, ids AS document_ids FROM st JOIN (SELECT t, list(document_id ORDER BY place) AS ids FROM r WHERE place <= 15 GROUP BY 1) ON t = st.topic_id")

@@ -53,8 +53,9 @@ def _split(name: str, source: str) -> str:
   WINDOW w AS (PARTITION BY monitor_id, topic_id, day ORDER BY i), p AS (PARTITION BY monitor_id, topic_id, day)),
 {name}g AS (SELECT monitor_id, topic_id, day, i AS split, n, s / i AS before, (als - s) / (n - i) AS after, greatest(0, q - s * s / i) AS s1, greatest(0, alq - q - (als - s) * (als - s) / (n - i)) AS s2, alq - als * als / n AS whole FROM {name}r WHERE i BETWEEN 4 AND n - 4),
 {name}b AS (SELECT *, s1 / (split - 1) / split AS v1, s2 / (n - split - 1) / (n - split) AS v2 FROM {name}g WHERE round(whole - s1 - s2, 9) > 0 QUALIFY row_number() OVER (PARTITION BY monitor_id, topic_id, day ORDER BY round(whole - s1 - s2, 9) DESC, split) = 1),
-{name}t AS (SELECT *, (after - before) / sqrt(v1 + v2) AS t, (v1 + v2) * (v1 + v2) / (v1 * v1 / (split - 1) + v2 * v2 / (n - split - 1)) AS df FROM {name}b WHERE v1 + v2 > 0),
-{name} AS (SELECT *, least(1, {_student_p("t", "df")} * (n - 7)) AS p FROM {name}t)"""
+{name}t AS (SELECT *, v1 + v2 > 0 AS varies, (after - before) / sqrt(nullif(v1 + v2, 0)) AS t, (v1 + v2) * (v1 + v2) / nullif(v1 * v1 / (split - 1) + v2 * v2 / (n - split - 1), 0) AS df FROM {name}b),
+{name}p AS (SELECT *, least(1, {_student_p("t", "df")} * (n - 7)) AS p FROM {name}t WHERE varies UNION ALL SELECT *, 0 AS p FROM {name}t WHERE NOT varies),
+{name} AS (SELECT * REPLACE (least({series.CERTAIN}::DOUBLE, greatest(-{series.CERTAIN}::DOUBLE, coalesce(t, sign(after - before) * {series.CERTAIN}::DOUBLE))) AS t) FROM {name}p)"""
 
 
 def _recent(name: str, source: str, value: str) -> str:
@@ -257,6 +258,28 @@ def trend_scores(spark, d):
     return _scores(spark, d)[2]
 
 
+@query(_SCORES + """, every AS (SELECT DISTINCT d.monitor_id, d.bucket, t.topic_id FROM (SELECT monitor_id, bucket FROM metrics WHERE grouping_id = 3) d JOIN (SELECT DISTINCT monitor_id, topic_id FROM metrics WHERE grouping_id = 2) t USING (monitor_id))
+SELECT * FROM scores UNION ALL BY NAME SELECT e.*, CASE WHEN r.status = 'partial' THEN 'day_untrustworthy' ELSE 'no_metric_for_day' END AS withheld_reason FROM every e LEFT JOIN runs r USING (monitor_id, bucket) WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.monitor_id = e.monitor_id AND s.bucket = e.bucket AND s.topic_id = e.topic_id)""")
+def trend_scores_of_all(spark, d):
+    """Every topic of a monitor on each of its days: where it has no metric, why it has no score."""
+    docs, metrics, ran, events = _history(spark, d)
+    trust = views.day_trust(ran)
+    scores = views.trend_scores(views.score_components(metrics, events), trust)
+    days, known = metrics.where("grouping_id = 3").select("monitor_id", "bucket"), metrics.where("grouping_id = 2").select("monitor_id", "topic_id").distinct()
+    return views.scores_of_all(scores, days.join(known, "monitor_id"), trust)
+
+
+@query(_SCORES + _LATEST + """, st AS (SELECT monitor_id, topic_id, CAST(sum(doc_count) AS BIGINT) AS documents, round(avg(doc_count_share), 6) AS share, round(avg(sentiment_mean), 6) AS sentiment, round(avg(negativity_rate), 6) AS negativity FROM metrics WHERE grouping_id = 2 GROUP BY 1, 2),
+ic AS (SELECT monitor_id, topic_id, intent, count(*) AS n FROM feedback WHERE topic_id IS NOT NULL AND intent IS NOT NULL GROUP BY 1, 2, 3),
+mix AS (SELECT monitor_id, topic_id, string_agg(intent || '=' || printf('%.4f', n / documents::DOUBLE), ',' ORDER BY intent) AS intent_mix, sum(n) FILTER (WHERE intent IN ('feature_request', 'bug_report')) AS asks FROM ic JOIN st USING (monitor_id, topic_id) GROUP BY 1, 2),
+pb AS (SELECT monitor_id, topic_id, count(DISTINCT source_name) AS own FROM metrics WHERE grouping_id = 0 GROUP BY 1, 2), pa AS (SELECT monitor_id, count(DISTINCT source_name) AS act FROM metrics WHERE grouping_id = 1 GROUP BY 1)
+SELECT st.*, round(coalesce(asks, 0) / CAST(documents AS DOUBLE), 6) AS ask_share, intent_mix, round(own / CAST(act AS DOUBLE), 6) AS breadth, score FROM st LEFT JOIN mix USING (monitor_id, topic_id) LEFT JOIN pb USING (monitor_id, topic_id) LEFT JOIN pa USING (monitor_id) LEFT JOIN latest USING (monitor_id, topic_id)""")
+def period_statistics(spark, d):
+    docs, metrics, scores = _scores(spark, d)
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("intent_mix")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))), ",")
+    return views.period_statistics(metrics, docs, scores).withColumn("intent_mix", told)
+
+
 @query(_SCORES + _LATEST + " SELECT * FROM latest")
 def latest_score(spark, d):
     return views.latest_score(_scores(spark, d)[2])

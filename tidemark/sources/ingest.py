@@ -116,6 +116,21 @@ def cursor_increment(items: DataFrame, cursors: DataFrame) -> DataFrame:
     return items.join(cursors, "source_name", "left").where(F.col("cursor_at").isNull() | (F.col("published_at") > F.col("cursor_at"))).drop("cursor_at")
 
 
+def items_until_cursor(items: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Items that a fetch from the newest down takes before it stops.
+
+    It stops at the item whose external_id the cursor names (``last_external_id``) and at the first that is not newer than
+    ``last_published_at``; either may be null, so a cursor may be an id only, and an id that is not among the items stops
+    nothing. Items of one instant go in order of external_id. One row for each source is joined, no window is needed.
+    """
+    named = F.col("external_id") == F.col("last_external_id")
+    at = items.join(cursors, "source_name").where(named).groupBy("source_name").agg(F.max("published_at").alias("stop_at"), F.first("external_id").alias("stop_id"))
+    met = items.join(cursors.join(at, "source_name", "left"), "source_name", "left")
+    newer = F.col("last_published_at").isNull() | (F.col("published_at") > F.col("last_published_at"))
+    before = F.col("stop_at").isNull() | (F.col("published_at") > F.col("stop_at")) | ((F.col("published_at") == F.col("stop_at")) & (F.col("external_id") < F.col("stop_id")))
+    return met.where(newer & before).select(items.columns)
+
+
 def quota_topk(items: DataFrame, key: list[str], quota: int, adapter: str | None = None) -> DataFrame:
     """The items of each key up to a shared allowance, and whether it was reached. Rank limits apply before the shuffle.
 
@@ -159,3 +174,34 @@ def candidate_antijoin(found: DataFrame, rejected: DataFrame, existing: DataFram
     """New candidates only: neither rejected before nor known."""
     key = ["source_name", "entity_ref"]
     return found.dropDuplicates(key).join(rejected, key, "left_anti").join(existing, key, "left_anti")
+
+
+def discovery(found: DataFrame, queries: DataFrame, rejected: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates to insert, outcome of each monitor) of what searches found: (monitor_id, source_name, entity_ref, query, display_name).
+
+    Only accepted queries (monitor_id, query, accepted) count. A result that was rejected before is counted and not proposed;
+    one that is known stays as it was reviewed. The outcome tells how many results were proposed and how many
+    rejected ones were met, and why nothing was: no accepted query, or every search came back empty.
+    """
+    key = ["monitor_id", "source_name", "entity_ref"]
+    asked = queries.where("accepted").select("monitor_id", "query").distinct()
+    results = found.join(asked, ["monitor_id", "query"], "left_semi").join(rejected.select(*key).distinct().withColumn("known_bad", F.lit(True)), key, "left")
+    fresh = results.where("known_bad is null").drop("known_bad")
+    first = fresh.groupBy(*key).agg(F.min(F.struct("query", "display_name")).alias("x"))
+    new = first.join(existing, key, "left_anti").select(*key, F.col("x.display_name").alias("display_name"), F.col("x.query").alias("proposed_by_query"), F.concat(F.lit("matched query "), F.col("x.query")).alias("reason"))
+    by = results.groupBy("monitor_id").agg(F.count_if(F.col("known_bad").isNull()).alias("proposed"), F.count_if("known_bad").alias("rejected_known"))
+    met = queries.groupBy("monitor_id").agg(F.count_if("accepted").alias("queries")).join(by, "monitor_id", "left").na.fill(0, ["proposed", "rejected_known"])
+    reason = F.when(F.col("queries") == 0, "no_queries").when(F.col("proposed") == 0, "every_surface_empty")
+    return new, met.select("monitor_id", "proposed", "rejected_known", reason.alias("reason"))
+
+
+def run_history(runs: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Each monitor's runs, newest first, with how many sources took part and what they kept."""
+    by = ledger.groupBy("monitor_id", "bucket").agg(F.count("*").alias("sources"), F.sum("kept").alias("kept"))
+    met = runs.join(by, ["monitor_id", "bucket"], "left").na.fill(0, ["sources", "kept"])
+    return met.select("monitor_id", "bucket", "status", "sources", "kept").orderBy("monitor_id", F.desc("bucket"))
+
+
+def run_ledger(ledger: DataFrame, monitor: str, day: str) -> DataFrame:
+    """The ledger's rows of one run, by source."""
+    return ledger.where((F.col("monitor_id") == monitor) & (F.col("bucket") == F.lit(day).cast("date"))).orderBy("source_name")
