@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Where ``materialize`` has put a table.
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: What ``fold_others`` calls the columns that an operator does not read.
 OTHERS = "others"
 
@@ -40,7 +44,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there, and a lost executor takes nothing along."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more, and let Spark drop the shuffles behind them.
+
+    What still lies in the shared folder and in shuffles counts as disk until a session ends; long operators call this
+    between their steps. Tables that ``materialize`` did not make are left alone.
+    """
+    spark = None
+    for df in tables:
+        if path := _STORED.pop(df, None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if spark is not None:
+        gc.collect()  # the driver's handles on finished jobs; then the JVM's, whose cleaner drops their shuffles
+        spark._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, fold_others, list_column, materialize, mix64, slices, unfold_others, word_codes
+from tidemark.llm.common import column, discard, fold_others, list_column, materialize, mix64, slices, unfold_others, word_codes
 
 #: Buckets of the count sketch, the least count that a task reports, and the most subsets of one small set.
 SKETCH_BITS, SKETCH_LEAST, MOST_SUBSETS = 22, 5, 512
@@ -46,6 +47,8 @@ SKETCH_BITS, SKETCH_LEAST, MOST_SUBSETS = 22, 5, 512
 PARITY, CELL, CHAIN = 16, 2048, 1 << 16
 #: Bits of the map that picks texts to fetch, and edges that one task contracts at the end.
 WANTED_BITS, LOCAL_EDGES = 25, 1 << 20
+#: Which of a node's neighbours in its lists, likeliest first, are verified at a time.
+CHAINS = ((0, 1), (1, 8), (8, 1 << 31))
 _U = np.uint64
 
 
@@ -355,9 +358,10 @@ def pairs_apart(lists: DataFrame, facts: DataFrame, found: DataFrame, num: int,
 
     A list of more than ``cell`` nodes is cut into cells; each meets itself and every other, in tasks of their own.
     """
-    whole = Window.partitionBy("key")
     apart = lists.join(found, "node", "left").select("key", "node", "size", "marked", F.coalesce("component", "node").alias("component"))
-    apart = apart.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).withColumn("cells", F.ceil(F.count("*").over(whole) / cell)).where("lo <> hi")
+    # a list is aggregated task by task and joined back, so that a long one is never one task's
+    open_lists = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    apart = apart.join(open_lists.select("key", F.ceil(F.col("n") / cell).alias("cells")), "key")
     apart = apart.join(facts.select("node", "parity"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cells")))
     apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
     apart = apart.select("key", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"), "own", "node", F.col("size").cast("long").alias("size"), "marked", "component", "parity")
@@ -380,9 +384,13 @@ def link_nodes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int,
         F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("tags").alias("tags"), F.first("parity").alias("parity"),
     )
     nodes = materialize(nodes, "join-nodes")
+    known = materialize(signed.select("doc_id", "text_key", "node", "n_shingles"), "join-rows")
+    discard(signed)
     listed = nodes.select("node", F.col("size").cast("int").alias("size"), F.explode(F.arrays_zip("keys", "tags")).alias("x"))
     lists = materialize(with_partners(listed.select(F.col("x.keys").alias("key"), "node", "size", F.col("x.tags").alias("tag")), num, den), "join-lists")
 
+    whole, nodes = nodes, materialize(nodes.drop("keys", "tags"), "join-facts")
+    discard(whole)
     facts = nodes.select("node", "size", "parity")
     side = lambda s: facts.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("parity").alias(f"parity_{s}"))
     chain = lists.where("prev is not null").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct()
@@ -390,18 +398,32 @@ def link_nodes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int,
     sizes = F.col("size_a"), F.col("size_b")
     chain = chain.join(side("a"), "a").join(side("b"), "b").where(_size_room(*sizes, num, den) & (differ <= _spare(*sizes, num, den))).select("a", "b", differ.alias("differ"))
     likely = Window.partitionBy("a").orderBy("differ", "b")
-    todo = materialize(chain.withColumn("nth", F.row_number().over(likely)).where("nth = 1"), "join-chain")
-    sets = fetch_sets(rows, nodes, todo, n)
-    edges = materialize(verify(todo, sets, num, den), "join-edges")
-    found, tested = components(edges, "join-components", local), todo.select("a", "b")
+    chain = materialize(chain.withColumn("nth", F.row_number().over(likely)), "join-chain")
+    # the likeliest neighbours of each node first; of the others only those that are still apart
+    held, linked, passed, sets, found, tested = [], [], [chain], None, None, None
+    for low, high in CHAINS:
+        part = chain.where((F.col("nth") > low) & (F.col("nth") <= high)).select("a", "b", "differ")
+        passed.append(todo := materialize(part if found is None else still_apart(part, found), "join-todo"))
+        if found is not None and todo.isEmpty():
+            continue
+        held.append(fetch_sets(rows, nodes, todo, n, sets))
+        sets = held[0] if sets is None else sets.unionByName(held[-1])
+        linked.append(materialize(verify(todo, sets, num, den), "join-edges"))
+        edges = reduce(DataFrame.unionByName, linked)
+        found = components(edges, "join-components", local)
+        tested = todo.select("a", "b") if tested is None else tested.unionByName(todo.select("a", "b"))
     more = materialize(pairs_apart(lists, facts, found, num, den, cell).join(tested, ["a", "b"], "left_anti"), "join-more")
+    discard(lists)
+    passed.append(more)
     if not more.isEmpty():
-        sets, quota = sets.unionByName(fetch_sets(rows, nodes, more, n, sets)), 4
+        held.append(fetch_sets(rows, nodes, more, n, sets))
+        sets, quota = sets.unionByName(held[-1]), 4
         while True:
-            todo = materialize(more.withColumn("nth", F.row_number().over(likely)), "join-likely")
+            passed.append(todo := materialize(more.withColumn("nth", F.row_number().over(likely)), "join-likely"))
             last = todo.where(F.col("nth") > quota).isEmpty()
             todo = todo.where(F.col("nth") <= quota)
-            edges = edges.unionByName(materialize(verify(todo, sets, num, den), "join-edges"))
+            linked.append(materialize(verify(todo, sets, num, den), "join-edges"))
+            edges = edges.unionByName(linked[-1])
             found = components(edges, "join-components", local)
             if last:
                 break
@@ -409,7 +431,9 @@ def link_nodes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int,
             more = still_apart(more, found).join(tested, ["a", "b"], "left_anti")
     root = nodes.join(found, "node", "left").select("node", "rep", "n_copies", F.coalesce("component", "node").alias("component"))
     least = root.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return signed.select("doc_id", "text_key", "node", "n_shingles"), root.join(least, "component").select("node", "n_copies", "component", "component_id")
+    out = materialize(root.join(least, "component").select("node", "n_copies", "component", "component_id"), "join-nodes")
+    discard(*held, *linked, *passed, nodes)
+    return known, out
 
 
 def link_documents(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
