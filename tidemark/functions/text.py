@@ -24,6 +24,8 @@ VALENCE = {"good": 1.9, "great": 3.1, "love": 3.2, "bad": -2.5, "terrible": -2.1
 TOKEN = r"[\p{L}\p{N}_]+"
 #: Tokens that are measured at once (a longer text stands alone).
 TOKENS_AT_ONCE = 1 << 17
+#: Bytes of input for each core below which rows are dealt to all cores.
+SMALL = 1 << 24
 
 
 def clean_text(c: Column) -> Column:
@@ -52,12 +54,28 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
+def spread_small(docs: DataFrame) -> DataFrame:
+    """Rows of so few and small files that Spark would read them in fewer tasks than there are cores, dealt to all cores.
+
+    A file of one row group is one task, however long its texts take. Larger inputs fill the cores as they are read and
+    are left where they lie.
+    """
+    spark, files = docs.sparkSession, docs.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not 0 < len(files) < cores:
+        return docs
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return docs.repartition(cores) if size < cores * SMALL else docs
+
+
 def per_document(docs: DataFrame, key: str, text: str, pattern: str, schema: str, measure: Callable[[np.ndarray, np.ndarray, list[str]], list[pa.Array]]) -> DataFrame:
     """``key`` and the columns of ``schema`` for each row, from the row's own tokens: nothing is shuffled, repeated keys stay apart.
 
     The JVM finds the tokens, so that letters and cases are those of every other text column. ``measure`` gets,
     for some rows at a time, where each row's tokens start, the place of each token among the distinct ones, and those.
     """
+    docs = spread_small(docs.select(F.col(key).alias(key), F.col(text).alias(text)))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), F.array()).alias("tokens"))
     names = [f.split()[0] for f in schema.split(", ")]
 

@@ -6,9 +6,11 @@ import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +68,8 @@ def references_by_basis(themes: DataFrame, description: DataFrame, queries: Data
 def hashed_embedding(docs: DataFrame, dims: int = 384) -> DataFrame:
     """doc_id, dim, weight: words hashed to ``dims`` places, term counts times idf of the place, unit length; zeros left out.
 
-    Texts are read twice, for document frequencies and for weights, and never shuffled; the frequencies, ``dims``
-    numbers, go to every task.
+    Texts are read and cut into words once; their counts by place are written, and both the places' frequencies and
+    the weights come from those. The frequencies, ``dims`` numbers, go to every task.
     """
 
     def measure(start: np.ndarray, at: np.ndarray, words: list[str]) -> list[pa.Array]:
@@ -75,16 +77,36 @@ def hashed_embedding(docs: DataFrame, dims: int = 384) -> DataFrame:
         row = np.repeat(np.arange(len(start) - 1), np.diff(start))
         cell, n = np.unique(row * dims + place[at], return_counts=True)
         off = pa.array(np.searchsorted(cell, np.arange(len(start)) * dims).astype(np.int32))
-        return [pa.ListArray.from_arrays(off, pa.array(cell % dims)), pa.ListArray.from_arrays(off, pa.array(n.astype(np.int64)))]
-
-    tf = per_document(docs, "doc_id", "text", r"[\p{L}\p{N}_]{2,}", "dims array<bigint>, tf array<bigint>", measure)
-    df = {r["dim"]: r["df"] for r in tf.select(F.explode("dims").alias("dim")).groupBy("dim").agg(F.count("*").alias("df")).collect()}  # dims rows at most
-    total = docs.count()
-    idf = F.array(*[F.lit(float(np.log((total + 1) / (df.get(i, 0) + 1)))) for i in range(dims)])
-    met = tf.withColumn("x", F.zip_with("dims", "tf", lambda i, n: F.struct(i.alias("dim"), (n * F.get(idf, i.cast("int"))).alias("x"))))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
-    each = met.select("doc_id", norm.alias("norm"), F.explode("x").alias("e"))
-    return each.select("doc_id", F.col("e.dim").alias("dim"), F.coalesce(F.col("e.x") / F.nullif("norm", F.lit(0.0)), F.lit(0.0)).alias("weight"))
+        return [pa.ListArray.from_arrays(off, pa.array((cell % dims).astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(n.astype(np.int32)))]
+
+    tf = stored(per_document(docs, "doc_id", "text", r"[\p{L}\p{N}_]{2,}", "dims array<int>, tf array<int>", measure))
+
+    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, total = np.zeros(dims, np.int64), 0
+        for batch in batches:
+            df += np.bincount(batch.column(0).flatten().to_numpy(), minlength=dims)
+            total += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, dims)), pa.array(np.concatenate([[total], df]))], names=["dim", "n"])
+
+    seen = tf.select("dims").mapInArrow(holding, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()  # dims + 1 rows
+    df = np.zeros(dims + 1)
+    for r in seen:
+        df[r["dim"]] = r["n"]  # the last place holds the number of documents
+    idf = docs.sparkSession.sparkContext.broadcast(np.log((df[-1] + 1) / (df[:-1] + 1)))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                dim, n = part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))
+                x = n * idf.value[dim]
+                norm = np.sqrt(np.bincount(row, x * x, part.num_rows))[row]
+                weight = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(dim.astype(np.int64)), pa.array(weight)], names=["doc_id", "dim", "weight"])
+
+    kind = tf.schema["doc_id"].dataType.simpleString()
+    return tf.mapInArrow(weigh, f"doc_id {kind}, dim long, weight double")
 
 
 def near_pairs(rows: DataFrame, least: float, anchors: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ keys (``as_of``), so that one job covers many days.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -144,13 +145,20 @@ def detect_changepoint(points: DataFrame, keys: list[str], day: Column, alpha: f
     return _found(met, keys, kind, "pelt", F.least(F.lit(CERTAIN), F.greatest(F.lit(-CERTAIN), F.coalesce("t", F.signum(F.col("after") - F.col("before")) * CERTAIN))), F.col("p"), F.col("after"), F.col("before"), F.when(F.col("after") > F.col("before"), "rising").otherwise("falling"))
 
 
-def trend_candidates(points: DataFrame, keys: list[str], day: Column) -> DataFrame:
-    """All detectors over the topics that pass the gates: baseline of the raw series, tests on the deseasonalised one."""
+def detectors(points: DataFrame, keys: list[str], day: Column) -> dict[str, Callable[[], DataFrame]]:
+    """The ensemble over the topics that pass the gates, by name: baseline of the raw series, tests on the deseasonalised one."""
     passed = gate_outcomes(points, keys, day).where("passed").select(*keys)
     points = points.join(passed, keys)
     base, flat = robust_baseline(points, keys, day), deseasonalise(points, keys).drop("factor")
-    parts = [detect_robust_z(flat, base, keys, day), detect_poisson(flat, base, keys, day), detect_burst(flat, base, keys, day), detect_trend(flat, keys, day), detect_changepoint(flat, keys, day)]
-    return reduce(DataFrame.unionByName, parts)
+    return {
+        "robust_z": lambda: detect_robust_z(flat, base, keys, day), "poisson_exact": lambda: detect_poisson(flat, base, keys, day), "kleinberg": lambda: detect_burst(flat, base, keys, day),
+        "mann_kendall": lambda: detect_trend(flat, keys, day), "pelt": lambda: detect_changepoint(flat, keys, day),
+    }
+
+
+def trend_candidates(points: DataFrame, keys: list[str], day: Column) -> DataFrame:
+    """All detectors of the ensemble."""
+    return reduce(DataFrame.unionByName, [find() for find in detectors(points, keys, day).values()])
 
 
 def bh_correction(candidates: DataFrame, family: list[str], alpha: float = 0.1) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import series
+from tidemark.operators.discovery import stored
 from tidemark.operators.topics import dot
 from tidemark.plans import views
 
@@ -60,14 +62,33 @@ def novel(points: DataFrame, texts: DataFrame, keys: list[str], day: Column, sto
     return met.select(*keys, F.lit("novelty").alias("kind"), F.lit("ctfidf").alias("method"), share.alias("statistic"), F.lit(0.0).alias("p_value"), share.alias("observed"), F.lit(0.0).alias("expected"), F.lit("rising").alias("direction"))
 
 
-def all_candidates(points: DataFrame, keys: list[str], day: Column, sentiment: DataFrame | None = None, texts: DataFrame | None = None, stop: list[str] | None = None) -> DataFrame:
-    """Every detector's candidates: the ensemble, emergence where the baseline gate fails, flips of sentiment, new vocabulary."""
-    found = series.trend_candidates(points, keys, day).unionByName(emerging(points, keys, day))
+def survivors(parts: dict[str, Callable[[], DataFrame]], failed: dict[str, str]) -> DataFrame:
+    """The candidates of all detectors as one job; where that fails, each runs alone, and ``failed`` gets the error of each that does."""
+    try:
+        return stored(reduce(DataFrame.unionByName, [find() for find in parts.values()]))
+    except Exception:
+        kept = []
+        for name, find in parts.items():
+            try:
+                kept.append(stored(find()))
+            except Exception as e:
+                failed[name] = str(e).splitlines()[0]
+        if not kept:
+            raise
+        return reduce(DataFrame.unionByName, kept)
+
+
+def all_candidates(points: DataFrame, keys: list[str], day: Column, sentiment: DataFrame | None = None, texts: DataFrame | None = None, stop: list[str] | None = None, failed: dict[str, str] | None = None) -> DataFrame:
+    """Every detector's candidates: the ensemble, emergence where the baseline gate fails, flips of sentiment, new vocabulary.
+
+    With ``failed`` one failing detector is named there and skipped, and the others' candidates stay.
+    """
+    parts = series.detectors(points, keys, day) | {"emergence": lambda: emerging(points, keys, day)}
     if sentiment is not None:
-        found = found.unionByName(sentiment_flips(points, sentiment, keys, day))
+        parts["sentiment_flip"] = lambda: sentiment_flips(points, sentiment, keys, day)
     if texts is not None:
-        found = found.unionByName(novel(points, texts, keys, day, stop or []))
-    return found
+        parts["ctfidf"] = lambda: novel(points, texts, keys, day, stop or [])
+    return reduce(DataFrame.unionByName, [find() for find in parts.values()]) if failed is None else survivors(parts, failed)
 
 
 def trend_events(points: DataFrame, past: DataFrame, keys: list[str], day: Column, alpha: float = 0.1, sentiment: DataFrame | None = None, texts: DataFrame | None = None, stop: list[str] | None = None) -> DataFrame:
@@ -86,7 +107,7 @@ def daily_runs(points: DataFrame, keys: list[str], day: dt.date, before: int = s
     return event_history(points, keys, [day - dt.timedelta(back) for back in range(before, -1, -1)], alpha, sentiment, texts, stop).where(F.col("detected_on") == F.lit(day))
 
 
-def corrected(points: DataFrame, keys: list[str], days: list[dt.date], alpha: float = 0.1, sentiment: DataFrame | None = None, texts: DataFrame | None = None, stop: list[str] | None = None) -> DataFrame:
+def corrected(points: DataFrame, keys: list[str], days: list[dt.date], alpha: float = 0.1, sentiment: DataFrame | None = None, texts: DataFrame | None = None, stop: list[str] | None = None, failed: dict[str, str] | None = None) -> DataFrame:
     """Candidates of all the days at once, with their rank within a monitor's day and whether the correction keeps them.
 
     The first day is the first run ever: it has no past. ``texts`` may carry the day (``day``), or else tells of the last one.
@@ -95,13 +116,13 @@ def corrected(points: DataFrame, keys: list[str], days: list[dt.date], alpha: fl
     mood = None if sentiment is None else series.as_of(sentiment, days)
     if texts is not None and "day" not in texts.columns:
         texts = texts.withColumn("day", F.lit(days[-1]))
-    found = all_candidates(series.as_of(points, days), dated, F.col("day"), mood, texts, stop)
+    found = all_candidates(series.as_of(points, days), dated, F.col("day"), mood, texts, stop, failed)
     return series.bh_correction(found, [k for k in dated if k != "topic_id"], alpha)
 
 
-def event_history(points: DataFrame, keys: list[str], days: list[dt.date], alpha: float = 0.1, sentiment: DataFrame | None = None, texts: DataFrame | None = None, stop: list[str] | None = None) -> DataFrame:
+def event_history(points: DataFrame, keys: list[str], days: list[dt.date], alpha: float = 0.1, sentiment: DataFrame | None = None, texts: DataFrame | None = None, stop: list[str] | None = None, failed: dict[str, str] | None = None) -> DataFrame:
     """Events of a run of days, each with the cooldown that the events before it leave."""
-    kept = corrected(points, keys, days, alpha, sentiment, texts, stop).where("kept")
+    kept = corrected(points, keys, days, alpha, sentiment, texts, stop, failed).where("kept")
     events = series.collapse_events(kept, [*keys, "day"], F.col("day")).drop("day")
     return events.join(series.cooldown_history(events, keys), [*keys, "kind", "detected_on"], "left_semi")
 
