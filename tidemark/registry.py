@@ -532,7 +532,20 @@ def eval_relevance(spark, d):
     return views.relevance_measures(lab, pred)
 
 
-@query()
+def _matched(events: str, labels: str) -> str:
+    """match: (g, occurred_on, event_id, lead_days) of events (g, event_id, detected_on) and labels (g, occurred_on), one label of each group at a time."""
+    return f"""me AS ({events}), ml AS (SELECT g, occurred_on, row_number() OVER (PARTITION BY g ORDER BY occurred_on) AS i FROM ({labels})),
+mm(g, i, used, pick) AS (SELECT DISTINCT g, 0::BIGINT, CAST([] AS VARCHAR[]), NULL::VARCHAR FROM ml
+UNION ALL SELECT g, i, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, p FROM (SELECT mm.g, ml.i, any_value(mm.used) AS used, arg_min(me.event_id, (abs(ml.occurred_on - me.detected_on), me.detected_on, me.event_id)) AS p
+FROM mm JOIN ml ON ml.g = mm.g AND ml.i = mm.i + 1 LEFT JOIN me ON me.g = mm.g AND abs(ml.occurred_on - me.detected_on) <= 3 AND NOT list_contains(mm.used, me.event_id) GROUP BY mm.g, ml.i)),
+match AS (SELECT ml.g, ml.occurred_on, me.event_id, CAST(ml.occurred_on - me.detected_on AS INTEGER) AS lead_days FROM mm JOIN ml ON ml.g = mm.g AND ml.i = mm.i JOIN me ON me.g = mm.g AND me.event_id = mm.pick)"""
+
+
+_LABELS = "SELECT DISTINCT monitor_id, detected_on AS occurred_on FROM ev WHERE day(detected_on) % 5 = 0"
+_REV = _EV.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(_REV + ", " + _matched("SELECT monitor_id AS g, CAST(event_id AS VARCHAR) AS event_id, detected_on FROM ev", f"SELECT monitor_id AS g, occurred_on FROM ({_LABELS})") + " SELECT g AS monitor_id, occurred_on, event_id, lead_days FROM match")
 def eval_match_events(spark, d):
     ev = _events(spark, d).select("monitor_id", "detected_on", F.col("event_id").cast("string").alias("event_id"))
     lab = ev.where(F.dayofmonth("detected_on") % 5 == 0).select("monitor_id", F.col("detected_on").alias("occurred_on")).distinct()

@@ -10,7 +10,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import discovery, hierarchy, matching, topics
 from tidemark.plans import cycle, views
 from tidemark.sources import ingest
-from tidemark.registry import _CAND, _EN, _EV, _ROLLUP, _STATS, _VEC, _candidates, _events, _metrics, _residue, _topics, oracle_sql, queries, query
+from tidemark.registry import _CAND, _EN, _EV, _LABELS, _REV, _ROLLUP, _STATS, _VEC, _candidates, _events, _matched, _metrics, _residue, _topics, oracle_sql, queries, query
 from tidemark.streaming import daily
 
 __all__ = ["oracle_sql", "queries"]
@@ -170,12 +170,20 @@ def _marked(spark, d):
     return ev, ev.where(F.dayofmonth("detected_on") % 5 == 0).select("monitor_id", F.col("detected_on").alias("occurred_on")).distinct()
 
 
-@query()
+_ARMS = "SELECT unnest([method, 'ensemble']) AS arm, monitor_id, CAST(event_id AS VARCHAR) AS event_id, detected_on FROM ev"
+_NAMES = "(VALUES ('robust_z'), ('poisson_exact'), ('kleinberg'), ('pelt'), ('ensemble')) n(method)"
+
+
+@query(_REV + f", arms AS ({_ARMS}), lb AS ({_LABELS}), " + _matched("SELECT arm || '|' || monitor_id AS g, event_id, detected_on FROM arms", f"SELECT method || '|' || monitor_id AS g, occurred_on FROM lb, {_NAMES}") + f""", h AS (SELECT split_part(g, '|', 1) AS method, count(*) AS hits, avg(lead_days) AS mean_lead FROM match GROUP BY 1), ne AS (SELECT arm AS method, count(*) AS events FROM arms GROUP BY 1), c AS (SELECT count(*) AS labels FROM lb)
+SELECT n.method, coalesce(events, 0) AS events, coalesce(hits, 0) AS hits, coalesce(hits / nullif(events, 0)::DOUBLE, 0) AS precision, coalesce(coalesce(hits, 0) / nullif(labels, 0)::DOUBLE, 0) AS recall, mean_lead FROM {_NAMES} LEFT JOIN ne USING (method) LEFT JOIN h USING (method), c""")
 def eval_detection(spark, d):
     return cycle.detection_measures(*_marked(spark, d), ["robust_z", "poisson_exact", "kleinberg", "pelt"])
 
 
-@query()
+@query(_ROLLUP.replace("WITH", "WITH RECURSIVE", 1) + ", " + _EV.split(FEEDBACK_SQL + ", ", 1)[1] + f""", own AS (SELECT monitor_id, bucket, topic_id, count(DISTINCT source_name) AS own FROM metrics WHERE grouping_id = 0 GROUP BY ALL), act AS (SELECT monitor_id, bucket, count(DISTINCT source_name) AS act FROM metrics WHERE grouping_id = 1 GROUP BY ALL),
+sd AS (SELECT CASE WHEN round(own / act::DOUBLE, 6) >= 0.5 THEN 'wide' ELSE 'narrow' END AS side, ev.monitor_id, CAST(event_id AS VARCHAR) AS event_id, detected_on FROM ev JOIN own ON own.monitor_id = ev.monitor_id AND own.topic_id = ev.topic_id AND own.bucket = detected_on JOIN act ON act.monitor_id = ev.monitor_id AND act.bucket = detected_on), lb AS ({_LABELS}),
+""" + _matched("SELECT side || '|' || monitor_id AS g, event_id, detected_on FROM sd", "SELECT side || '|' || monitor_id AS g, occurred_on FROM lb, (VALUES ('wide'), ('narrow')) n(side)") + """, h AS (SELECT split_part(g, '|', 1) AS side, count(*) AS hits FROM match GROUP BY 1), ne AS (SELECT side, count(*) AS events FROM sd GROUP BY 1)
+SELECT n.side, coalesce(events, 0) AS events, coalesce(hits, 0) AS hits, coalesce(coalesce(hits, 0) / nullif(events, 0)::DOUBLE, 0) AS hit_rate FROM (VALUES ('wide'), ('narrow')) n(side) LEFT JOIN ne USING (side) LEFT JOIN h USING (side)""")
 def eval_corroboration(spark, d):
     ev, lab = _marked(spark, d)
     return cycle.corroboration(ev, views.breadth_ratio(_metrics(spark, d)), lab)

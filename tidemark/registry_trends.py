@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.fixtures import FEEDBACK_SQL, PLANT_DAY, PLANTED_SQL, planted, planted_ledger, runs
 from tidemark.operators import rollup, series
-from tidemark.operators.discovery import cut
+from tidemark.operators.discovery import cut, stored
 from tidemark.plans import cycle, views
 from tidemark.registry import _ROLLUP, query
 
@@ -122,7 +122,7 @@ _SHOWN = f"{_rounded('statistic')}, round(p, 6) AS p_value, {_rounded('observed
 
 def _inputs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """documents, metrics, runs, and the series of volume and of sentiment."""
-    docs = planted(spark, d)
+    docs = stored(planted(spark, d))
     metrics, ran = cut(rollup.daily_rollup(docs, planted_ledger(docs))), runs(docs)
     rows = metrics.where("grouping_id = 2").select("monitor_id", "bucket", "topic_id", F.col("doc_count").cast("double").alias("value"), "quota_hit", "sentiment_mean")
     made = series.dense_series(rows, ran, _day(), series.WINDOW + len(DAYS))
