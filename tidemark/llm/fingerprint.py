@@ -14,7 +14,8 @@ slots. Empty and null texts have the fingerprint of no names (all zero), which i
 The next document is the one of the next doc_id (null ids first, equal ids in order of a hash of their texts);
 rows are range-partitioned by id and that hash and neighbours meet inside a partition, and only partitions'
 edges meet in a second step. Fingerprints and hashes stay bytes until the end.
-Equal rows are alike in every column. An empty table gives an empty result.
+Equal rows are alike in every column. Bytes that are no UTF-8 count as replacement characters; ids may be of any type
+that orders. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -163,13 +164,13 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, partitions: int
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     out_schema = _OUT.format(id=kind) + ", part int, edge int, edge_text string"
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    schema = pa.schema([("doc_id", id_type), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.int32()), ("edge_text", pa.string())])
+    fields = pa.schema([("doc_id", pa.null()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("edge", pa.int32()), ("edge_text", pa.string())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
         for batch in slices(batches, "text", BATCH):
-            ids, texts = batch.column(0).to_pylist(), [x.decode() for x in as_bytes(batch)]
+            schema = fields.set(0, batch.schema.field("doc_id"))
+            ids, texts = batch.column(0).to_pylist(), [x.decode("utf-8", "replace") for x in as_bytes(batch)]
             own = fingerprints(texts)
             edge: dict = {k: [] for k in schema.names}
             if held is None:
@@ -191,7 +192,8 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, partitions: int
     # two rows for each partition: its first text follows the last text of the partition before
     firsts = walked.where("edge = 0").select("part", F.col("edge_text").alias("following"))
     order = Window.orderBy("part")
-    after = firsts.select(F.lag("part").over(order).alias("part"), "following")
+    after = firsts.select("part").select(F.lag("part").over(order).alias("before"), "part")  # numbers only: no text meets another part's
+    after = after.join(firsts, "part").select(F.col("before").alias("part"), "following")
     whole = firsts.agg(F.max("part").alias("part"), F.min_by("following", "part").alias("following"))
     after = after.where("part is not null").unionByName(whole)
     lasts = walked.where("edge = 1").join(after, "part").select("doc_id", "edge_text", "following")
@@ -200,7 +202,7 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, partitions: int
         for batch in batches:
             ids, texts, following = (c.to_pylist() for c in batch.columns)
             made = _rows(ids, texts, following, fingerprints(texts), fingerprints(following))
-            yield pa.RecordBatch.from_pydict({k: made[k] for k in names}, pa.schema([schema.field(k) for k in names]))
+            yield pa.RecordBatch.from_pydict({k: made[k] for k in names}, pa.schema([batch.schema.field(0), *[fields.field(k) for k in names[1:]]]))
 
     both = walked.where("edge = -1").select(*names).unionByName(lasts.mapInArrow(close, _OUT.format(id=kind)))
     return both.select(*[F.lower(F.hex(c)).alias(c) if c in _BYTES else c for c in names])

@@ -10,7 +10,7 @@ feed expectation-maximisation (one reliability for each labeler, class and kind;
 nothing); its posteriors train a logistic span classifier over votes and kind. Candidates at 0.5 or more that
 overlap no base span and no better candidate are added.
 
-Null and empty texts have no spans. Positions are code points, ends exclusive. Repeated rows get the same
+Null and empty texts have no spans; bytes that are no UTF-8 count as replacement characters. Positions are code points, ends exclusive. Repeated rows get the same
 spans. A table without candidates adds none. Other columns, whatever their names, play no part.
 """
 
@@ -44,9 +44,9 @@ LOOSE = {
     "ip": re.compile(r"\b[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| ?\(dot\) ?|\[dot\])[0-9]{1,3}){3}\b", re.I),
     "card": re.compile(r"\b[0-9]{4}(?:[._/·][0-9]{4}){3}\b|\b[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}\b|(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}\b|(?<![0-9])00[1-9][0-9]{0,2}[ ./-]?[0-9][0-9 ./-]{6,14}[0-9]\b"),
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z0-9+/_~-]{20,512}={0,2}(?![A-Za-z0-9+/_=~-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z0-9+/_~-]{20,}+={0,2}+(?![A-Za-z0-9+/_=~-])"),
 }
-ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|bearer|credentials?)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"',;<>]{8,512})", re.I)
+ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|bearer|credentials?)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"',;<>]{8,}+)", re.I)
 KEY_FORM = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_\w{20,}|github_pat_\w{20,}|sk-\w{16,}|xox[abpr]-[\w-]{10,}|eyJ[\w-]{10,}|AIza[\w-]{30,}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}")
 TLDS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au jp cn ru br in ch se no fi dk pl at be pt".split())
 CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92")
@@ -186,7 +186,7 @@ def find_candidates(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             count, joined, found = [], [], []
             for raw in as_bytes(batch):
-                text = raw.decode()
+                text = raw.decode("utf-8", "replace")
                 base = base_spans(text)
                 count.append([sum(k == i for _, k, _ in base) for i in range(len(BASE_KINDS))])
                 joined.append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base))

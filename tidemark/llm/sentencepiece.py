@@ -9,8 +9,9 @@ No piece holds a space mark after another character, and none holds a line feed,
 is the best paths of its space-led segments put end to end; segments repeat, and each is searched once.
 
 Null and empty texts have no pieces and decode to the empty text. Characters that no piece covers, and a
-literal space mark, become byte pieces, so decoding gives back every text exactly. Repeated rows are
-encoded alike. Columns besides ``doc_id`` and ``text`` pass by untouched in ``encode_documents``.
+literal space mark, become byte pieces, so decoding gives back every text exactly. Bytes that are no UTF-8 count as
+replacement characters. Repeated rows are encoded alike. Of other columns ``encode_documents`` keeps those it is
+told to, untouched.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str = MOD
         for batch in slices(batches, "_text"):
             packed, exact = [], []
             for raw in as_bytes(batch, "_text"):
-                text = raw.decode()
+                text = raw.decode("utf-8", "replace")
                 packed.append(own.encode(text))
                 exact.append(own.decode(np.frombuffer(packed[-1], np.int32).tolist()) == text)
             size = np.array([len(x) // 4 for x in packed], np.int64)
