@@ -62,8 +62,13 @@ def discard(*tables: DataFrame) -> None:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     if spark is not None:
-        gc.collect()  # the driver's handles on finished jobs; then the JVM's, whose cleaner drops their shuffles
-        spark._jvm.System.gc()
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished jobs: the driver's handles on them, then the JVM's, whose cleaner drops their shuffles from disk."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, discard, fold_others, list_column, materialize, mix64, slices, unfold_others, word_codes
+from tidemark.llm.common import column, discard, fold_others, list_column, materialize, mix64, release, slices, unfold_others, word_codes
 
 #: Buckets of the count sketch, the least count that a task reports, and the most subsets of one small set.
 SKETCH_BITS, SKETCH_LEAST, MOST_SUBSETS = 22, 5, 512
@@ -247,7 +247,9 @@ def fetch_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, know
     picks, wanted = wanted.select("pick"), wanted.select("node")
     texts = picked(rows.select("doc_id", "text"), picks, F.xxhash64("doc_id", F.xxhash64("text"))).select("text")
     found = node_sets(texts, n).join(wanted.hint("shuffle_hash"), "node", "left_semi")
-    return materialize(found.groupBy("node").agg(F.first("elements").alias("elements")), "join-sets")
+    out = materialize(found.groupBy("node").agg(F.first("elements").alias("elements")), "join-sets")
+    release(rows.sparkSession)
+    return out
 
 
 def _size_room(na: Column, nb: Column, num: int, den: int) -> Column:
@@ -399,6 +401,7 @@ def link_nodes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int,
     chain = chain.join(side("a"), "a").join(side("b"), "b").where(_size_room(*sizes, num, den) & (differ <= _spare(*sizes, num, den))).select("a", "b", differ.alias("differ"))
     likely = Window.partitionBy("a").orderBy("differ", "b")
     chain = materialize(chain.withColumn("nth", F.row_number().over(likely)), "join-chain")
+    release(spark)
     # the likeliest neighbours of each node first; of the others only those that are still apart
     held, linked, passed, sets, found, tested = [], [], [chain], None, None, None
     for low, high in CHAINS:
@@ -412,6 +415,7 @@ def link_nodes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int,
         edges = reduce(DataFrame.unionByName, linked)
         found = components(edges, "join-components", local)
         tested = todo.select("a", "b") if tested is None else tested.unionByName(todo.select("a", "b"))
+        release(spark)
     more = materialize(pairs_apart(lists, facts, found, num, den, cell).join(tested, ["a", "b"], "left_anti"), "join-more")
     discard(lists)
     passed.append(more)
@@ -427,6 +431,7 @@ def link_nodes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int,
             found = components(edges, "join-components", local)
             if last:
                 break
+            release(spark)
             tested, quota = tested.unionByName(todo.select("a", "b")), quota * 16
             more = still_apart(more, found).join(tested, ["a", "b"], "left_anti")
     root = nodes.join(found, "node", "left").select("node", "rep", "n_copies", F.coalesce("component", "node").alias("component"))
