@@ -61,7 +61,7 @@ def two_densities(seed, dims=8):
     return list(enumerate(rows)), truth
 
 
-@pytest.mark.parametrize("options", [{"block": 16}, {"block": 16, "edges": 20}, {"size": 12, "least": 3, "whole": True}])
+@pytest.mark.parametrize("options", [{"block": 16, "edges": 20}, {"size": 12, "least": 3, "whole": True}])
 def test_equals_the_plain_tree(spark, options):
     data, truth = two_densities(1)
     got = dict(map(tuple, hierarchy.density_hierarchy(spark.createDataFrame(data, "vec_id long, embedding array<double>"), **options).collect()))

@@ -369,9 +369,25 @@ def _residue(spark, d):
     return topics.residue_pool(e, topics.assign_topics(topics.nearest_topic(e, t)))
 
 
-@query(_VEC + " SELECT vec_id FROM best WHERE s < 0.55")
+#: A third of the vectors of two thirds of the labels moved towards their label's mean, so that topics take some and leave others.
+_NEAR = _VEC.replace("sim AS (SELECT vec_id, topic_id, list_cosine_similarity(embedding::DOUBLE[], centroid) AS s FROM embeddings, cen)", """moved AS (SELECT vec_id, label, CASE WHEN vec_id % 3 = 0 AND label % 3 <> 0
+THEN list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE + centroid[i] / sqrt(list_inner_product(centroid, centroid))) ELSE embedding::DOUBLE[] END AS v FROM embeddings JOIN cen ON topic_id = label),
+sim AS (SELECT vec_id, topic_id, list_cosine_similarity(v, centroid) AS s FROM moved, cen)""")
+
+
+def _near_topics(spark, d):
+    """Moved vectors and topics."""
+    e, t = _topics(spark, d)
+    c = F.col("centroid")
+    moved = F.zip_with("embedding", F.transform(c, lambda x: x / F.sqrt(topics.dot(c, c))), lambda x, y: x.cast("double") + y)
+    near = F.when((F.col("vec_id") % 3 == 0) & (F.col("label") % 3 != 0), moved).otherwise(F.transform("embedding", lambda x: x.cast("double")))
+    return e.join(t, e["label"] == t["topic_id"]).select("vec_id", "label", near.alias("embedding")), t
+
+
+@query(_NEAR + " SELECT vec_id FROM best WHERE s < 0.55")
 def residue_pool(spark, d):
-    return _residue(spark, d).select("vec_id")
+    e, t = _near_topics(spark, d)
+    return topics.residue_pool(e, topics.assign_topics(topics.nearest_topic(e, t))).select("vec_id")
 
 
 @query(_VEC + ", a AS (SELECT label AS topic_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) - 1 AS later, count(*) OVER (PARTITION BY label) AS n FROM embeddings), x AS (SELECT topic_id, i, sum(0.02 * pow(0.98, later) * embedding[i]::DOUBLE) AS mv, any_value(n) AS n FROM a, range(1, 65) r(i) GROUP BY 1, 2), y AS (SELECT x.topic_id, x.n, pow(0.98, x.n) * c0.m + x.mv - c0.m AS delta FROM x JOIN c0 USING (topic_id, i)) SELECT topic_id, any_value(n) AS doc_count, round(sqrt(sum(delta * delta)), 6) AS moved FROM y GROUP BY 1")

@@ -10,7 +10,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import discovery, rollup, topics
 from tidemark.operators.discovery import cut
 from tidemark.plans import cycle, views
-from tidemark.registry import _COH, _HEALTH, _LANG, _ROLLUP, _VEC, _WS, _docs, _metrics, _topics, oracle_sql, query
+from tidemark.registry import _COH, _HEALTH, _LANG, _NEAR, _ROLLUP, _VEC, _WS, _docs, _metrics, _near_topics, _topics, oracle_sql, query
 from tidemark.sources import ingest
 
 # ---- payloads -------------------------------------------------------------------------------------------------
@@ -250,9 +250,9 @@ def dormant_topics(spark, d):
     return topics.mark_dormant(seen.withColumn("status", F.when(F.col("topic_id") % 10 == 0, "merged").otherwise("active")), F.lit("2001-06-30").cast("date"))
 
 
-@query(_VEC + ", took AS (SELECT DISTINCT topic_id FROM best WHERE s >= 0.55) SELECT topic_id, CASE WHEN topic_id IN (SELECT topic_id FROM took) THEN DATE '2024-01-30' ELSE DATE '2024-01-01' END AS last_seen FROM cen")
+@query(_NEAR + ", took AS (SELECT DISTINCT topic_id FROM best WHERE s >= 0.55) SELECT topic_id, CASE WHEN topic_id IN (SELECT topic_id FROM took) THEN DATE '2024-01-30' ELSE DATE '2024-01-01' END AS last_seen FROM cen")
 def touched_topics(spark, d):
-    e, t = _topics(spark, d)
+    e, t = _near_topics(spark, d)
     old = t.select("topic_id", F.lit("2024-01-01").cast("date").alias("last_seen"))
     return topics.touch_topics(old, topics.assign_topics(topics.nearest_topic(e, t)), F.lit("2024-01-30").cast("date"))
 
