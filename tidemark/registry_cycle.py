@@ -189,11 +189,14 @@ def eval_corroboration(spark, d):
     return cycle.corroboration(ev, views.breadth_ratio(_metrics(spark, d)), lab)
 
 
-@query(_ROLLUP + ", t AS (SELECT topic_id, bucket, sum(doc_count)::DOUBLE AS value FROM metrics WHERE grouping_id = 2 GROUP BY 1, 2), tt AS (SELECT *, sum(value) OVER (PARTITION BY bucket) AS total FROM t), lg AS (SELECT topic_id, bucket, 'raw_count' AS arm, value AS x FROM tt UNION ALL SELECT topic_id, bucket, 'prevalence', value / total FROM tt), se AS (SELECT a.topic_id, a.arm, a.bucket, a.x, b.x AS y FROM lg a JOIN lg b ON a.topic_id = b.topic_id AND a.arm = b.arm AND b.bucket < a.bucket), mi AS (SELECT topic_id, arm, bucket, x, median(y) AS m FROM se GROUP BY 1, 2, 3, 4 HAVING count(*) >= 14), ma AS (SELECT topic_id, arm, bucket, x, m, median(abs(y - m)) * 1.4826 AS mad FROM se JOIN mi USING (topic_id, arm, bucket, x) GROUP BY 1, 2, 3, 4, 5), fi AS (SELECT topic_id, arm, count(*) AS tested, count(*) FILTER (WHERE mad > 0 AND abs(x - m) / mad >= 3.5) AS fired FROM ma GROUP BY 1, 2) SELECT topic_id, arm, round(stddev_pop(x) / avg(x), 6) AS variation, coalesce(any_value(tested), 0) AS tested, coalesce(any_value(fired), 0) AS fired, 'measured' AS status FROM lg LEFT JOIN fi USING (topic_id, arm) GROUP BY 1, 2 UNION ALL SELECT DISTINCT topic_id, 'per_author', NULL, 0, 0, 'unavailable' FROM t")
+@query(_ROLLUP.replace("WITH", "WITH RECURSIVE", 1) + ", t AS (SELECT topic_id, bucket, sum(doc_count)::DOUBLE AS value FROM metrics WHERE grouping_id = 2 GROUP BY 1, 2), tt AS (SELECT *, sum(value) OVER (PARTITION BY bucket) AS total FROM t), lg AS (SELECT topic_id, bucket, 'raw_count' AS arm, value AS x FROM tt UNION ALL SELECT topic_id, bucket, 'prevalence', value / total FROM tt), se AS (SELECT a.topic_id, a.arm, a.bucket, a.x, b.x AS y FROM lg a JOIN lg b ON a.topic_id = b.topic_id AND a.arm = b.arm AND b.bucket < a.bucket), mi AS (SELECT topic_id, arm, bucket, x, median(y) AS m FROM se GROUP BY 1, 2, 3, 4 HAVING count(*) >= 14), ma AS (SELECT topic_id, arm, bucket, x, m, median(abs(y - m)) * 1.4826 AS mad FROM se JOIN mi USING (topic_id, arm, bucket, x) GROUP BY 1, 2, 3, 4, 5), fi AS (SELECT topic_id, arm, count(*) AS tested, count(*) FILTER (WHERE mad > 0 AND abs(x - m) / mad >= 3.5) AS fired FROM ma GROUP BY 1, 2), res AS (SELECT topic_id, arm, round(stddev_pop(x) / avg(x), 6) AS variation, coalesce(any_value(tested), 0) AS tested, coalesce(any_value(fired), 0) AS fired, 'measured' AS status FROM lg LEFT JOIN fi USING (topic_id, arm) GROUP BY 1, 2 UNION ALL SELECT DISTINCT topic_id, 'per_author', NULL, 0, 0, 'unavailable' FROM t), al AS (SELECT topic_id || '|' || arm AS g, topic_id || '|' || arm || '|' || bucket AS event_id, bucket AS detected_on FROM ma WHERE mad > 0 AND abs(x - m) / mad >= 3.5), "
++ _matched("SELECT g, event_id, detected_on FROM al", "SELECT r.topic_id || '|' || r.arm AS g, t.bucket AS occurred_on FROM res r JOIN t ON t.topic_id = r.topic_id AND day(t.bucket) % 10 = 0")
++ ", hi AS (SELECT g, count(*) AS hits FROM match GROUP BY 1) SELECT res.*, CASE WHEN status = 'measured' AND fired > 0 THEN 1 - coalesce(hits, 0) / fired::DOUBLE END AS false_positive_rate FROM res LEFT JOIN hi ON hi.g = topic_id || '|' || arm")
 def eval_normalisation(spark, d):
     m = _metrics(spark, d).where("grouping_id = 2").groupBy("topic_id", "bucket").agg(F.sum("doc_count").cast("double").alias("value"))
     total = m.groupBy("bucket").agg(F.sum("value").alias("total"))
-    return cycle.normalisation(m.join(total, "bucket")).withColumn("variation", F.round("variation", 6))
+    labels = m.where(F.dayofmonth("bucket") % 10 == 0).select("topic_id", F.col("bucket").alias("occurred_on"))
+    return cycle.normalisation(m.join(total, "bucket"), labels=labels).withColumn("variation", F.round("variation", 6))
 
 
 @query("SELECT f.label AS context, CASE f.vec_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'summary' ELSE 'action' END AS field, f.vec_id, round(CASE WHEN f.vec_id % 50 = 1 THEN 0 ELSE avg(list_cosine_similarity(f.embedding::DOUBLE[], e.embedding::DOUBLE[])) END, 6) AS groundedness FROM embeddings f JOIN embeddings e ON e.label = f.label AND e.vec_id % 10 <> 1 WHERE f.vec_id % 10 = 1 GROUP BY f.label, f.vec_id")
