@@ -21,17 +21,12 @@ from pyspark.sql.types import ArrayType, DateType, DoubleType, LongType, StructF
 
 from tidemark.operators.series import COOLDOWN
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: An event of this kind only moves the watermark: a source that has no more to come sends one.
 CLOSE = "__close__"
 _DAY = 86_400_000
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """Keyed state with timers needs this store; it keeps state on disk, not in the executors' heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-
-
 class Cooldown(StatefulProcessor):
     def __init__(self, days: int):
         self.days = days
@@ -115,13 +110,22 @@ def drifts(assigned: DataFrame, topics: DataFrame, rate: float = 0.02) -> DataFr
 
 
 def take_in(stream: DataFrame, root: str, mode: str) -> None:
-    """Process what has landed and stop; ``root`` holds the results (one folder a batch) and the checkpoint to go on from."""
-    use_state_store(stream.sparkSession)
+    """Process what has landed and stop; ``root`` holds the results (one folder a batch) and the checkpoint to go on from.
+
+    Keyed state with timers needs a store of its own kind, which keeps state on disk, not in the executors' heap; the
+    session's setting comes back afterwards.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, _ROCKS)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    try:
+        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(_STORE, before)
 
 
 def results(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
