@@ -142,15 +142,25 @@ def latest_score(scores: DataFrame, start: str | None = None, end: str | None =
 def event_evidence(events: DataFrame, docs: DataFrame, limit: int = 5) -> DataFrame:
     """The newest relevant documents in an event's window, of new vocabulary those of the strongest sentiment first.
 
-    Days are exploded so that the join has equal keys.
+    The best of each topic's day are found first, in one pass over the documents; windows, once each, choose among their
+    days' best, and events take what their window chose. So no event meets a document that another of its day outdoes.
     """
+    topic, window = ["monitor_id", "topic_id"], ["monitor_id", "topic_id", "detected_on", "span", "loud"]
     span = F.when(F.col("method").isin("mann_kendall", "pelt"), 7).otherwise(1)
-    days = events.withColumn("day", F.explode(F.sequence(F.date_sub("detected_on", span - 1), F.col("detected_on"))))
-    met = days.join(docs.where("is_relevant").withColumn("day", F.to_date("published_at")), ["monitor_id", "topic_id", "day"])
-    strength = F.when(F.col("method") == "ctfidf", F.abs(F.coalesce("sentiment_score", F.lit(0.0)))).otherwise(F.lit(0.0))
-    order = Window.partitionBy("event_id").orderBy(F.desc(strength), F.desc("published_at"), "document_id")
-    best = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    return best.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "document_id"))), lambda s: s["document_id"]).alias("evidence_ids"))
+    asked = events.select("event_id", *topic, "detected_on", span.alias("span"), F.coalesce(F.col("method") == "ctfidf", F.lit(False)).alias("loud"))
+
+    def best(rows: DataFrame, by: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.desc("strength"), F.desc("published_at"), "document_id")
+        return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+    orders = F.broadcast(asked.select("loud").distinct())  # two rows at most
+    strength = F.when(F.col("loud"), F.abs(F.coalesce("sentiment_score", F.lit(0.0)))).otherwise(F.lit(0.0))
+    rows = docs.where("is_relevant and topic_id is not null").join(orders, how="inner", on=F.lit(True))
+    daily = best(rows.select(*topic, F.to_date("published_at").alias("day"), "loud", strength.alias("strength"), "published_at", "document_id"), [*topic, "day", "loud"]).drop("place")
+    days = asked.select(*window).distinct().withColumn("day", F.explode(F.sequence(F.date_sub("detected_on", F.col("span") - 1), F.col("detected_on"))))
+    told = best(days.join(daily, [*topic, "day", "loud"]), window).select(*window, "strength", "published_at", "document_id")
+    met = best(asked.join(told, window), ["event_id"])
+    return met.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "document_id"))), lambda s: s["document_id"]).alias("evidence_ids"))
 
 
 def without_evidence(events: DataFrame, evidence: DataFrame) -> DataFrame:
