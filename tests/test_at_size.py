@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import sketches
+from tidemark.operators import discovery, sketches
 from tidemark.plans import views
 
 
@@ -50,3 +52,30 @@ def test_authors_of_halves_are_exact_beyond_any_sketch(spark):
     a, b = ({(None if i == 0 else i * 7 % 13_001) for i in range(n) if (i % 10 < 7) == w} for w in (True, False))
     got = sketches.in_both(sketches.distinct_values(rows, ["k", "half"], "author"), ["k"], "author", F.col("half") == 1).first()
     assert tuple(got)[1:] == (len(a), len(b), len(a | b), len(a & b))
+
+
+@pytest.mark.parametrize("hubs", [1, 12, 2048])
+def test_clusters_equal_all_pairs_whatever_the_hubs(spark, monkeypatch, hubs):
+    monkeypatch.setattr(discovery, "TILE", (16, 64))
+    rng = np.random.default_rng(hubs)
+    x = np.concatenate([h + rng.normal(scale=0.25, size=(25, 6)) for h in rng.normal(size=(6, 6))] + [rng.normal(size=(40, 6))])
+    x = np.concatenate([x, x[:3], x[:3]])
+    ids = (rng.permutation(len(x)) * 3).tolist()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = {i: {j for j in range(len(u)) if j != i and u[i] @ u[j] >= 0.9} for i in range(len(u))}
+    core = {i for i in near if len(near[i]) >= 4}
+    want = {i: ids[i] for i in core}
+    for _ in core:
+        want = {i: min([want[i], *[want[j] for j in near[i] & core]]) for i in core}
+    want |= {i: min(want[j] for j in near[i] & core) for i in set(near) - core if near[i] & core}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    assert dict(map(tuple, discovery.density_clusters(rows, 0.9, 5, 30, hubs).collect())) == {ids[i]: c for i, c in want.items()}
+    assert len(set(want.values())) > 2
+
+
+def test_clusters_need_no_pairs_where_rows_have_many_near_ones(spark, monkeypatch):
+    made, pairs = [], discovery.near_pairs
+    monkeypatch.setattr(discovery, "near_pairs", lambda *a: made.append(pairs(*a)) or made[-1])
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, (rng.normal(size=8) + 1).tolist()) for i in range(1500)], "vec_id long, embedding array<double>")
+    assert discovery.density_clusters(rows, 0.25).count() > 1400 and made[0].count() < 1500
