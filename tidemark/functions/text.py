@@ -100,10 +100,10 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     def measure(start: np.ndarray, at: np.ndarray, words: list[str]) -> list[pa.Array]:
         digest = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in words), np.uint8).reshape(-1, 8)
-        sign = np.unpackbits(digest, axis=1).astype(np.int32) * 2 - 1
-        total = np.zeros((len(at) + 1, 64), np.int32)
-        np.cumsum(sign[at], axis=0, out=total[1:])
-        one = (total[start[1:]] - total[start[:-1]]) > 0
+        sign = np.unpackbits(digest, axis=1).astype(np.int8) * 2 - 1
+        some, one = start[1:] > start[:-1], np.zeros((len(start) - 1, 64), bool)
+        if some.any():
+            one[some] = np.add.reduceat(sign[at], start[:-1][some], axis=0, dtype=np.int32) > 0
         return [pa.array(np.packbits(one, axis=1).view(">i8").ravel().astype(np.int64))]
 
     return per_document(docs, key, text, TOKEN, "simhash long", measure)
