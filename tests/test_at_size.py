@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import registry, registry_store
+from tidemark.functions import language_model, text
 from tidemark.operators import discovery, sketches
 from tidemark.plans import views
+from tidemark.sources import daily_table
 
 
 def joined_rows(spark, df):
@@ -79,3 +82,40 @@ def test_clusters_need_no_pairs_where_rows_have_many_near_ones(spark, monkeypatc
     rng = np.random.default_rng(2)
     rows = spark.createDataFrame([(i, (rng.normal(size=8) + 1).tolist()) for i in range(1500)], "vec_id long, embedding array<double>")
     assert discovery.density_clusters(rows, 0.25).count() > 1400 and made[0].count() < 1500
+
+
+def counted(df):
+    """df, and how many of its rows were computed."""
+    n = df.sparkSession.sparkContext.accumulator(0)
+
+    def see(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(see, df.schema), n
+
+
+def test_steps_compute_their_input_once(spark, monkeypatch, tmp_path):
+    texts = [(i, f"word{i % 7} alpha beta {'x' * (i % 5)}" if i % 11 else ("" if i % 2 else None), ("en", "de", None)[i % 3]) for i in range(60)]
+    docs, make, seen = spark.createDataFrame(texts, "doc_id long, text string, lang string"), text.simhash, []
+
+    def once(*args):
+        df, n = counted(make(*args))
+        seen.append(n)
+        return df
+
+    monkeypatch.setattr(text, "simhash", once)
+    monkeypatch.setattr(registry, "table", lambda *a: docs)
+    monkeypatch.setattr(registry_store, "table", lambda *a: docs)
+    a, b = ({tuple(r) for r in registry.queries()[q](spark, "").collect()} for q in ("near_dups", "near_dups_by_day"))
+    assert a == b and [n.value for n in seen] == [60, 60]
+    counts, n = counted(language_model.trigram_counts(docs, "lang"))
+    rows = counts.count()
+    n.value = 0
+    model = language_model.fit(counts, "lang")
+    assert n.value == rows and model.names == ["de", "en"]
+    table = daily_table.DayTable(spark, str(tmp_path / "t"), spark.createDataFrame([], "day string, k long").schema, ("day",))
+    new, n = counted(spark.createDataFrame([(str(i % 3), i) for i in range(30)], "day string, k long"))
+    table.upsert(new, ["day", "k"])
+    assert n.value == 30 and table.read().count() == 30 and not list((tmp_path / "t").glob("_pending/*"))
