@@ -61,9 +61,14 @@ def trigram_counts(docs: DataFrame, label: str, text: str = "text") -> DataFrame
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, row, code, _ in _parts(batches):
             names = part.column(0).dictionary_encode()
-            code = np.stack([names.indices.to_numpy()[row], code], 1)
-            grams, n = np.unique(code, axis=0, return_counts=True) if len(code) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(grams[:, 0])), pa.array(grams[:, 1]), pa.array(n)], names=["label", "code", "n"])
+            label, own, found = names.indices.to_numpy()[row], [], []
+            for i in range(len(names.dictionary)):  # hashed by language: the pairs need no sort
+                grams = pc.value_counts(pa.array(code[label == i]))
+                own.append(np.full(len(grams), i))
+                found.append(grams)
+            if found:
+                grams = pa.concat_arrays(found)
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(np.concatenate(own))), grams.field(0), grams.field(1)], names=["label", "code", "n"])
 
     by = rows.mapInArrow(count, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
     return by.select(F.col("label").alias(label), "code", "n")
@@ -82,10 +87,13 @@ class LanguageModel:
         self.names, self.codes, self.logs = names, codes, logs
 
     def sums(self, rows: int, row: np.ndarray, code: np.ndarray) -> np.ndarray:
+        # a trigram is looked up once, however often it occurs
+        some = pa.array(code).dictionary_encode()
+        code, again = some.dictionary.to_numpy(), some.indices.to_numpy()
         at = np.searchsorted(self.codes, code)
         known = at < len(self.codes)
         known[known] = self.codes[at[known]] == code[known]
-        at = np.where(known, at, len(self.codes))
+        at = np.where(known, at, len(self.codes))[again]
         out = np.zeros((rows, len(self.names)))
         for j in range(len(self.names)):
             out[:, j] = np.bincount(row, self.logs[at, j], rows)
@@ -93,7 +101,10 @@ class LanguageModel:
 
 
 def fit(counts: DataFrame, label: str, grams: int = GRAMS) -> LanguageModel:
-    """From ``trigram_counts``; at most ``grams`` trigrams, the most frequent (ties: the smaller code points), come to the driver."""
+    """From ``trigram_counts``, which are computed once; at most ``grams`` trigrams, the most frequent (ties: the smaller code points), come to the driver."""
+    from tidemark.operators.discovery import stored
+
+    counts = stored(counts)
     totals = counts.groupBy(label).agg(F.sum("n").alias("n")).orderBy(label).collect()  # a row for each language
     kept = counts.groupBy("code").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "code").limit(grams)
     table = counts.join(F.broadcast(kept.select("code")), "code").select(label, "code", "n").toArrow()  # grams x languages
