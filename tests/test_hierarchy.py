@@ -82,6 +82,20 @@ def test_compares_far_fewer_than_all_pairs(spark):
     assert len({got[i] for i, _ in rows if i in got}) == 75 and all(got[i] // 40 == i // 40 for i in got)
 
 
+def test_vectors_travel_to_tiles_not_to_each_block(spark, monkeypatch):
+    rng, went, visiting = np.random.default_rng(9), [], hierarchy.visiting
+    data = [(i, rng.standard_normal(16).tolist()) for i in range(200)]  # nothing that a bound could rule out
+
+    def counted(*args):
+        went.append(visiting(*args).count())
+        return visiting(*args)
+
+    monkeypatch.setattr(hierarchy, "visiting", counted)
+    monkeypatch.setattr(hierarchy, "TRAVEL", 1000, raising=False)  # two tiles at a time
+    got = dict(map(tuple, hierarchy.density_hierarchy(spark.createDataFrame(data, "vec_id long, embedding array<double>"), size=3, least=2, block=8).collect()))
+    assert got == plain(data, 3, 2) and max(went) <= 2 * len(data)
+
+
 def test_odd_pools(spark):
     v = [1.0, 0.0]
     df = spark.createDataFrame([(i, v) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0])], "vec_id long, embedding array<double>")
