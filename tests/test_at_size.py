@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import registry, registry_store
 from tidemark.functions import language_model, text
+from tidemark.llm import ngram_join
 from tidemark.operators import discovery, sketches
 from tidemark.plans import views
 from tidemark.sources import daily_table
@@ -119,3 +120,31 @@ def test_steps_compute_their_input_once(spark, monkeypatch, tmp_path):
     new, n = counted(spark.createDataFrame([(str(i % 3), i) for i in range(30)], "day string, k long"))
     table.upsert(new, ["day", "k"])
     assert n.value == 30 and table.read().count() == 30 and not list((tmp_path / "t").glob("_pending/*"))
+
+
+def sent_rows(spark, df):
+    """The result, and how many rows were shuffled for it where no join broadcasts unasked."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, store, sent = df.collect(), spark._jsparkSession.sharedState().statusStore(), 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    last = max(store.executionsList().apply(i).executionId() for i in range(store.executionsList().size()))
+    told, nodes = store.executionMetrics(last), store.planGraph(last).allNodes()
+    for i in range(nodes.size()):
+        of = nodes.apply(i).metrics()
+        for j in range(of.size()):
+            if of.apply(j).name() == "shuffle records written" and told.contains(of.apply(j).accumulatorId()):
+                sent += int(told.apply(of.apply(j).accumulatorId()).replace(",", ""))
+    return rows, sent
+
+
+def test_only_sets_of_pairs_and_texts_that_may_go_travel(spark):
+    sets = spark.range(600).select(F.col("id").alias("node"), F.sequence(F.col("id") * 10, F.col("id") * 10 + 99).alias("elements"))
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (5, 599)], "a long, b long")
+    rows, sent = sent_rows(spark, ngram_join.verify(pairs, sets, 80, 100))
+    assert sorted(map(tuple, rows)) == [(1, 2)] and 0 < sent < 100
+    words = lambda i: " ".join(f"w{i}_{k}" for k in range(20))
+    docs = [(i, words(i)) for i in range(600)] + [(1000 + i, words(i)) for i in range(5)] + [(7, words(7)), (2000, None), (2000, None)]
+    rows, sent = sent_rows(spark, ngram_join.one_of_each(spark, spark.createDataFrame(docs, "doc_id long, text string")))
+    assert sorted(map(tuple, rows), key=str) == sorted([*docs[:600], *docs[-2:]], key=str) and sent < 200

@@ -223,8 +223,8 @@ def node_sets(rows: DataFrame, n: int) -> DataFrame:
     return rows.select("text").mapInArrow(whole, "node long, elements array<long>")
 
 
-def picked(rows: DataFrame, picks: DataFrame, names: Column) -> DataFrame:
-    """The rows whose ``names`` (a long) is in picks (``pick``), and few others: those that a map over hash slots lets pass.
+def mapped(rows: DataFrame, picks: DataFrame, names: Column) -> DataFrame:
+    """rows with ``passes``: whether ``names`` (a long) is in picks (``pick``), or one of few others that a map over hash slots lets pass.
 
     The map goes to every task: 2^WANTED_BITS bits at most (4 MB), whatever the number of picks. Where it is
     full it lets every row pass. Nothing is shuffled.
@@ -234,8 +234,13 @@ def picked(rows: DataFrame, picks: DataFrame, names: Column) -> DataFrame:
     placed = rows.withColumn("named", names).withColumn("slot", slot(F.col("named")))
     at = F.pmod("slot", F.lit(1 << 15))
     byte = F.conv(F.hex(F.substring("bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    some = placed.join(F.broadcast(bits), F.shiftright("slot", 15) == F.col("slots")).withColumn("byte", byte).where(F.expr("getbit(byte, CAST(slot % 8 AS INT)) = 1"))
-    return some.select(rows.columns)
+    met = placed.join(F.broadcast(bits), F.shiftright("slot", 15) == F.col("slots"), "left").withColumn("byte", byte)
+    return met.select(*rows.columns, F.coalesce(F.expr("getbit(byte, CAST(slot % 8 AS INT)) = 1"), F.lit(False)).alias("passes"))
+
+
+def picked(rows: DataFrame, picks: DataFrame, names: Column) -> DataFrame:
+    """The rows that ``mapped`` lets pass."""
+    return mapped(rows, picks, names).where("passes").select(rows.columns)
 
 
 def fetch_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, known: DataFrame | None = None) -> DataFrame:
@@ -266,9 +271,9 @@ def _spare(na: Column, nb: Column, num: int, den: int) -> Column:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    """The pairs (a, b) whose whole sets link. Of the sets only those travel that are an end of a pair, each to its own ends."""
+    of = lambda end: picked(sets, pairs.select(F.col(end).alias("pick")), F.col("node")).select(F.col("node").alias(end), F.col("elements").alias(f"e{end}"))
+    left, right = of("a"), of("b")
     both = F.size(F.array_intersect("ea", "eb")).cast("long")
     union = F.size("ea") + F.size("eb") - both
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(both * den >= union * num).select("a", "b")
@@ -464,9 +469,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80,
     by = by.select("doc_id", "text_key", "rows", (F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("text_key") == F.col("stay.text_key"))).alias("stays"))
     by = materialize(by.where("rows > 1 or not stays").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "stays"), "join-gone")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key"))
-    kept = folded.join(by, same, "left_anti")
+    # texts that surely stay don't travel
+    seen = mapped(folded, by.select(F.xxhash64("gone_id", "gone_key").alias("pick")), F.xxhash64("doc_id", F.xxhash64("text")))
+    some = seen.where("passes").select(folded.columns)
+    kept = seen.where("not passes").select(folded.columns).unionByName(some.join(by, same, "left_anti"))
     if not by.where("stays").isEmpty():
-        again = folded.join(by.where("stays"), same, "left_semi").withColumn("row", F.struct(*folded.columns))
+        again = some.join(by.where("stays"), same, "left_semi").withColumn("row", F.struct(*folded.columns))
         again = again.groupBy("doc_id", F.xxhash64("text").alias("text_key")).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
         kept = kept.unionByName(again.select("row.*"))
     return kept.select(*unfold_others(docs, *core))
