@@ -148,3 +148,30 @@ def test_only_sets_of_pairs_and_texts_that_may_go_travel(spark):
     docs = [(i, words(i)) for i in range(600)] + [(1000 + i, words(i)) for i in range(5)] + [(7, words(7)), (2000, None), (2000, None)]
     rows, sent = sent_rows(spark, ngram_join.one_of_each(spark, spark.createDataFrame(docs, "doc_id long, text string")))
     assert sorted(map(tuple, rows), key=str) == sorted([*docs[:600], *docs[-2:]], key=str) and sent < 200
+
+
+def test_of_long_sets_only_likely_ones_are_fetched_and_in_parts(spark, monkeypatch):
+    fetched, whole = [], ngram_join.fetch_sets
+
+    def counted(*args):
+        fetched.append((out := whole(*args)).count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "fetch_sets", counted)
+    monkeypatch.setattr(ngram_join, "LEAST_PART", 1)
+    words = lambda name, n: [f"{name}_{k}" for k in range(n)]
+    shared = words("s", 300)
+    apart = [words(f"a{i}", 2700) + shared for i in range(20)]
+    # copies but for one word, and a pair whose parities are of two widths
+    alike = [t for i in range(20) for t in (words(f"b{i}", 3000), [*words(f"b{i}", 2999), "x"])] + [words("c", 2050), words("c", 2070)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(apart + alike)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(spark, docs, 5, 80, 100).collect()}
+    assert got == {i: i if i < 20 else i - i % 2 for i in range(62)}
+    assert sum(fetched) == 42 and max(fetched) < 30
+
+
+def test_keys_of_sets_that_do_not_repeat_stay(spark):
+    signed = spark.range(600).select(F.when(F.col("id") < 595, F.col("id")).otherwise(F.col("id") - 590).alias("node"), F.col("id").alias("at"), F.lit(1).alias("n_shingles"), F.array("id").alias("keys"))
+    nodes = signed.groupBy("node").agg(F.count("*").alias("n_copies"), F.min("at").alias("first"))
+    rows, sent = sent_rows(spark, ngram_join.first_rows(signed, nodes)[0])
+    assert sorted(r["at"] for r in rows) == list(range(595)) and sent < 100

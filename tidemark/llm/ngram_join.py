@@ -12,7 +12,11 @@ short lists. Entries leave a list at once where sizes and marks leave them no pa
 
 A node carries parity words: for each of some hash buckets, whether its set has an odd number of elements
 there. Two sets differ in at least as many elements as their parities differ in bits, so parities rule out
-nearly all pairs that don't link before their sets meet.
+nearly all pairs that don't link before their sets meet. Sets of more elements than a node's parity has bits fill it, so
+these have a wide parity besides, of at least a bit for each element, by which pairs are tested once they are told apart.
+
+Disk: keys stay where they were made but for those of repeated sets; their lists are made some keys at a time, and sets
+meet some pairs at a time, each part's shuffles and sets dropped before the next.
 
 Within a list, neighbours in an order of its own (size classes, shuffled within) are compared first; what they
 link is contracted. Only nodes of different components are then compared, each pair that sizes and parities
@@ -45,6 +49,8 @@ from tidemark.llm.common import column, discard, fold_others, list_column, mater
 SKETCH_BITS, SKETCH_LEAST, MOST_SUBSETS = 22, 5, 512
 #: Words of 64 parity bits, the nodes of a list's cell, and the occurrences by which a hot list is cut for its chains.
 PARITY, CELL, CHAIN = 16, 2048, 1 << 16
+#: Parts in which keys go to their lists; the share of all elements, one of so many, that a part's pairs hold; most such parts; elements that need no parts.
+KEY_PARTS, SET_SHARE, MOST_PARTS, LEAST_PART = 4, 8, 64, 1 << 20
 #: Bits of the map that picks texts to fetch, and edges that one task contracts at the end.
 WANTED_BITS, LOCAL_EDGES = 25, 1 << 20
 #: Which of a node's neighbours in its lists, likeliest first, are verified at a time.
@@ -101,6 +107,19 @@ def index_size(a: int, num: int, den: int) -> int:
     return a - least_common(a, a, num, den) + 1
 
 
+def parity_words(own: np.ndarray, words: int) -> np.ndarray:
+    """For each of 64 * words hash buckets a bit: whether the set has an odd number of elements there. Words: a power of two, or 0."""
+    if not words:
+        return np.zeros(0, np.int64)
+    bit = np.bincount((own & _U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bit.astype(np.uint8)).view(np.int64)
+
+
+def wide_words(a: int) -> int:
+    """Words of a wide parity: a bit or more for each element; none where the narrow one has as many."""
+    return 1 << (-(-a // 64) - 1).bit_length() if a > 64 * PARITY else 0
+
+
 def subset_sizes(a: int, num: int, den: int) -> list[int]:
     return sorted({c for b in partners(a, num, den) if (c := least_common(a, b, num, den)) <= min(a, b)})
 
@@ -155,9 +174,9 @@ def sketch_counts(rows: DataFrame, n: int) -> DataFrame:
 
 
 def signatures(spark: SparkSession, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_key, node, n_shingles, keys, tags, parity: what the candidate search needs of each document.
+    """doc_id, text_key, node, n_shingles, keys, tags, parity, wide, at: what the candidate search needs of each document.
 
-    A tag is twice a salt, which cuts the lists of very frequent elements, and one more for a marked key. What comes to the driver is the sketch, 2^SKETCH_BITS
+    ``at`` numbers the rows. A tag is twice a salt, which cuts the lists of very frequent elements, and one more for a marked key. What comes to the driver is the sketch, 2^SKETCH_BITS
     buckets at most, packed.
     """
     counts = sketch_counts(rows, n).select(F.col("bucket").cast("int"), F.least(F.col("total"), F.lit(1 << 30)).cast("int").alias("total")).toArrow()
@@ -174,7 +193,7 @@ def signatures(spark: SparkSession, rows: DataFrame, n: int, num: int, den: int)
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, cut = shared.value
         for batch in slices(batches, "text"):
-            node, size, keys, tags, length, parity = [], [], [], [], [], []
+            node, size, keys, tags, length, parity, wide = [], [], [], [], [], [], []
             for own in shingle_sets(batch, n):
                 a = len(own)
                 size.append(a)
@@ -196,19 +215,20 @@ def signatures(spark: SparkSession, rows: DataFrame, n: int, num: int, den: int)
                 keys += mine
                 tags += tag
                 length.append(sum(map(len, mine)))
-                bit = np.bincount((own & _U(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
-                parity.append(np.packbits(bit.astype(np.uint8)).view(np.int64))
+                parity.append(parity_words(own, PARITY))
+                wide.append(parity_words(own, wide_words(a)))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             flat_tags = np.concatenate(tags) if tags else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "doc_id"), column(batch, "text_key"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(size, np.int64)), list_column(flat, np.array(length), pa.int64()),
-                 list_column(flat_tags, np.array(length), pa.int32()), list_column(np.concatenate(parity), np.full(len(parity), PARITY), pa.int64())],
-                names=["doc_id", "text_key", "node", "n_shingles", "keys", "tags", "parity"],
+                 list_column(flat_tags, np.array(length), pa.int32()), list_column(np.concatenate(parity), np.full(len(parity), PARITY), pa.int64()),
+                 list_column(np.concatenate(wide), np.array([len(w) for w in wide]), pa.int64())],
+                names=["doc_id", "text_key", "node", "n_shingles", "keys", "tags", "parity", "wide"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, f"doc_id {kind}, text_key long, node long, n_shingles long, keys array<long>, tags array<int>, parity array<long>")
-    return materialize(signed, "join-signatures")
+    signed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(sign, f"doc_id {kind}, text_key long, node long, n_shingles long, keys array<long>, tags array<int>, parity array<long>, wide array<long>")
+    return materialize(signed.withColumn("at", F.monotonically_increasing_id()), "join-signatures")
 
 
 def node_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -243,11 +263,9 @@ def picked(rows: DataFrame, picks: DataFrame, names: Column) -> DataFrame:
     return mapped(rows, picks, names).where("passes").select(rows.columns)
 
 
-def fetch_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, known: DataFrame | None = None) -> DataFrame:
-    """node, elements of the nodes of pairs (a, b) that are not yet known: one text of each is fetched, by a hash of its id and text."""
+def fetch_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """node, elements of the nodes of pairs (a, b): one text of each is fetched, by a hash of its id and text."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    if known is not None:
-        wanted = wanted.join(known.select("node"), "node", "left_anti")
     wanted = materialize(nodes.select("node", "pick").join(wanted, "node", "left_semi"), "join-picks")
     picks, wanted = wanted.select("pick"), wanted.select("node")
     texts = picked(rows.select("doc_id", "text"), picks, F.xxhash64("doc_id", F.xxhash64("text"))).select("text")
@@ -279,6 +297,36 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(both * den >= union * num).select("a", "b")
 
 
+def wide_apart(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, ...) but for those whose wide parities (node, size, wide) differ in more bits than linked sets differ in elements.
+
+    The longer of two parities is folded to the shorter; the few pairs for which one fold is not enough stay.
+    """
+    of = lambda end: picked(wide, pairs.select(F.col(end).alias("pick")), F.col("node")).select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("wide").alias(f"wide_{end}"))
+    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    x, y = F.col("wide_a"), F.col("wide_b")
+
+    def fold(w: Column) -> Column:
+        half = (F.size(w) / 2).cast("int")
+        return F.zip_with(F.slice(w, 1, half), F.slice(w, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    differ = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+    bits = F.when(F.size(x) == F.size(y), differ(x, y)).when(F.size(x) == 2 * F.size(y), differ(fold(x), y)).when(2 * F.size(x) == F.size(y), differ(x, fold(y)))
+    return met.where(F.coalesce(bits <= _spare(F.col("size_a"), F.col("size_b"), num, den), F.lit(True))).select(pairs.columns)
+
+
+def verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, num: int, den: int, total: int) -> list[DataFrame]:
+    """Tables of the pairs (a, b, elements: of both sets) that link, some pairs at a time; none where there are no pairs. total: elements of all nodes."""
+    out, elements = [], pairs.agg(F.sum("elements")).first()[0]
+    parts = min(MOST_PARTS, -(-elements // max(LEAST_PART, -(-total // SET_SHARE)))) if elements else 0
+    for part in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == part)
+        sets = fetch_sets(rows, nodes, some, n)
+        out.append(materialize(verify(some, sets, num, den), "join-edges"))
+        discard(sets)
+    return out
+
+
 def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node that edges reach) of all nodes but the smallest ones."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -335,6 +383,16 @@ def components(edges: DataFrame, name: str = "components", local: int = LOCAL_ED
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def first_rows(signed: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The row of each node that has the smallest ``at``, its ``first``; and the others' ``at``. Only rows that go, and few others, are shuffled with their keys."""
+    again = nodes.where("n_copies > 1").select("node", "first")
+    spare = picked(signed.select("node", "at"), again.select(F.col("node").alias("pick")), F.col("node")).join(again, "node").where("at <> first")
+    spare = materialize(spare.select("at"), "join-spare")
+    seen = mapped(signed.where("n_shingles > 0"), spare.select(F.xxhash64("at").alias("pick")), F.xxhash64("at"))
+    some = seen.where("passes").select(signed.columns)
+    return seen.where("not passes").select(signed.columns).unionByName(some.join(spare, "at", "left_anti")), spare
+
+
 def with_partners(listed: DataFrame, num: int, den: int) -> DataFrame:
     """key, node, size, marked, prev of the entries (key, node, size, tag) that may have a partner in their list.
 
@@ -361,7 +419,7 @@ def still_apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def pairs_apart(lists: DataFrame, facts: DataFrame, found: DataFrame, num: int, den: int, cell: int = CELL) -> DataFrame:
-    """a, b, differ: the pairs of different components that share a list and whose sizes and parities leave room for a link.
+    """a, b, differ, elements: the pairs of different components that share a list and whose sizes and parities leave room for a link.
 
     A list of more than ``cell`` nodes is cut into cells; each meets itself and every other, in tasks of their own.
     """
@@ -379,7 +437,7 @@ def pairs_apart(lists: DataFrame, facts: DataFrame, found: DataFrame, num: int,
     differ = _differ(F.col("x.parity"), F.col("y.parity"))
     marked = (F.col("x.marked") & (na <= nb)) | (F.col("y.marked") & (nb <= na))
     met = x.join(y, same & once & marked & (F.col("x.component") != F.col("y.component")) & _size_room(na, nb, num, den) & (differ <= _spare(na, nb, num, den)))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), differ.alias("differ")).groupBy("a", "b").agg(F.first("differ").alias("differ"))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), differ.alias("differ"), (na + nb).alias("elements")).groupBy("a", "b").agg(F.first("differ").alias("differ"), F.first("elements").alias("elements"))
 
 
 def link_nodes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int, cell: int = CELL, local: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame]:
@@ -387,62 +445,65 @@ def link_nodes(spark: SparkSession, docs: DataFrame, n: int, num: int, den: int,
     rows = docs.select("doc_id", "text")
     signed = signatures(spark, rows, n, num, den)
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min(F.xxhash64("doc_id", "text_key")).alias("pick"),
-        F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("tags").alias("tags"), F.first("parity").alias("parity"),
+        F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.min(F.xxhash64("doc_id", "text_key")).alias("pick"), F.min("at").alias("first"),
+        F.first("n_shingles").alias("size"), F.first("parity").alias("parity"), F.first("wide").alias("wide"),
     )
-    nodes = materialize(nodes, "join-nodes")
+    nodes = materialize(nodes, "join-facts")
     known = materialize(signed.select("doc_id", "text_key", "node", "n_shingles"), "join-rows")
-    discard(signed)
-    listed = nodes.select("node", F.col("size").cast("int").alias("size"), F.explode(F.arrays_zip("keys", "tags")).alias("x"))
-    lists = materialize(with_partners(listed.select(F.col("x.keys").alias("key"), "node", "size", F.col("x.tags").alias("tag")), num, den), "join-lists")
+    release(spark)
+    (firsts, spare), lists = first_rows(signed, nodes), []
+    total = nodes.agg(F.sum("size")).first()[0] or 0
+    parts = KEY_PARTS if total > LEAST_PART else 1
+    for part in range(parts):
+        entries = F.expr(f"filter(arrays_zip(keys, tags), x -> pmod(x.keys, {parts}L) = {part})")
+        listed = firsts.select("node", F.col("n_shingles").cast("int").alias("size"), F.explode(entries).alias("x"))
+        lists.append(materialize(with_partners(listed.select(F.col("x.keys").alias("key"), "node", "size", F.col("x.tags").alias("tag")), num, den), "join-lists"))
+        release(spark)
+    discard(signed, spare)
+    passed, lists = lists, reduce(DataFrame.unionByName, lists)
 
-    whole, nodes = nodes, materialize(nodes.drop("keys", "tags"), "join-facts")
-    discard(whole)
-    facts = nodes.select("node", "size", "parity")
+    facts, wide = nodes.select("node", "size", "parity"), nodes.where(F.size("wide") > 0).select("node", "size", "wide")
     side = lambda s: facts.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("parity").alias(f"parity_{s}"))
     chain = lists.where("prev is not null").select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct()
     differ = _differ(F.col("parity_a"), F.col("parity_b"))
     sizes = F.col("size_a"), F.col("size_b")
-    chain = chain.join(side("a"), "a").join(side("b"), "b").where(_size_room(*sizes, num, den) & (differ <= _spare(*sizes, num, den))).select("a", "b", differ.alias("differ"))
+    chain = chain.join(side("a"), "a").join(side("b"), "b").where(_size_room(*sizes, num, den) & (differ <= _spare(*sizes, num, den)))
+    passed.append(met := materialize(chain.select("a", "b", differ.alias("differ"), (sizes[0] + sizes[1]).alias("elements")), "join-met"))
     likely = Window.partitionBy("a").orderBy("differ", "b")
-    chain = materialize(chain.withColumn("nth", F.row_number().over(likely)), "join-chain")
+    chain = materialize(wide_apart(met, wide, num, den).withColumn("nth", F.row_number().over(likely)), "join-chain")
     release(spark)
     # the likeliest neighbours of each node first; of the others only those that are still apart
-    held, linked, passed, sets, found, tested = [], [], [chain], None, None, None
+    linked, found, tested = [], None, None
+    passed.append(chain)
     for low, high in CHAINS:
-        part = chain.where((F.col("nth") > low) & (F.col("nth") <= high)).select("a", "b", "differ")
+        part = chain.where((F.col("nth") > low) & (F.col("nth") <= high)).drop("nth")
         passed.append(todo := materialize(part if found is None else still_apart(part, found), "join-todo"))
-        if found is not None and todo.isEmpty():
-            continue
-        held.append(fetch_sets(rows, nodes, todo, n, sets))
-        sets = held[0] if sets is None else sets.unionByName(held[-1])
-        linked.append(materialize(verify(todo, sets, num, den), "join-edges"))
-        edges = reduce(DataFrame.unionByName, linked)
-        found = components(edges, "join-components", local)
+        more = verified(rows, nodes, todo, n, num, den, total)
+        linked += more
         tested = todo.select("a", "b") if tested is None else tested.unionByName(todo.select("a", "b"))
-        release(spark)
-    more = materialize(pairs_apart(lists, facts, found, num, den, cell).join(tested, ["a", "b"], "left_anti"), "join-more")
-    discard(lists)
-    passed.append(more)
-    if not more.isEmpty():
-        held.append(fetch_sets(rows, nodes, more, n, sets))
-        sets, quota = sets.unionByName(held[-1]), 4
-        while True:
-            passed.append(todo := materialize(more.withColumn("nth", F.row_number().over(likely)), "join-likely"))
-            last = todo.where(F.col("nth") > quota).isEmpty()
-            todo = todo.where(F.col("nth") <= quota)
-            linked.append(materialize(verify(todo, sets, num, den), "join-edges"))
-            edges = edges.unionByName(linked[-1])
+        if more or found is None:
+            edges = reduce(DataFrame.unionByName, linked) if linked else todo.select("a", "b")
             found = components(edges, "join-components", local)
-            if last:
-                break
-            release(spark)
-            tested, quota = tested.unionByName(todo.select("a", "b")), quota * 16
-            more = still_apart(more, found).join(tested, ["a", "b"], "left_anti")
+        release(spark)
+    passed.append(met := materialize(pairs_apart(lists, facts, found, num, den, cell).join(tested, ["a", "b"], "left_anti"), "join-met"))
+    release(spark)
+    passed.append(more := materialize(wide_apart(met, wide, num, den), "join-more"))
+    quota = 4
+    while not more.isEmpty():
+        passed.append(todo := materialize(more.withColumn("nth", F.row_number().over(likely)), "join-likely"))
+        last = todo.where(F.col("nth") > quota).isEmpty()
+        todo = todo.where(F.col("nth") <= quota).drop("nth")
+        linked += verified(rows, nodes, todo, n, num, den, total)
+        found = components(reduce(DataFrame.unionByName, linked), "join-components", local)
+        if last:
+            break
+        release(spark)
+        tested, quota = tested.unionByName(todo.select("a", "b")), quota * 16
+        more = still_apart(more, found).join(tested, ["a", "b"], "left_anti")
     root = nodes.join(found, "node", "left").select("node", "rep", "n_copies", F.coalesce("component", "node").alias("component"))
     least = root.groupBy("component").agg(F.min("rep").alias("component_id"))
     out = materialize(root.join(least, "component").select("node", "n_copies", "component", "component_id"), "join-nodes")
-    discard(*held, *linked, *passed, nodes)
+    discard(*linked, *passed, nodes)
     return known, out
 
 
