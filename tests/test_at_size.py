@@ -175,3 +175,30 @@ def test_keys_of_sets_that_do_not_repeat_stay(spark):
     nodes = signed.groupBy("node").agg(F.count("*").alias("n_copies"), F.min("at").alias("first"))
     rows, sent = sent_rows(spark, ngram_join.first_rows(signed, nodes)[0])
     assert sorted(r["at"] for r in rows) == list(range(595)) and sent < 100
+
+
+def broadcasts(spark, run):
+    """What ``run`` gives, and how many broadcasts its plans hold."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    before, out, sent = ids(), run(), 0
+    for i in ids() - before:
+        nodes = store.planGraph(i).allNodes()
+        sent += sum("Broadcast" in nodes.apply(k).name() for k in range(nodes.size()))
+    return out, sent
+
+
+def alike_hashes(n):
+    """doc_id, simhash, near_duplicate_of by all pairs: groups within 3 bits of each other, and beyond."""
+    rng = np.random.default_rng(n)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 20)
+    rows = [(i, int(base[rng.integers(20)] ^ np.bitwise_or.reduce(np.int64(1) << rng.integers(0, 63, rng.integers(1, 5))))) for i in range(n)]
+    return [(i, h, next((j for j, g in rows[:i] if ((h ^ g) & ((1 << 64) - 1)).bit_count() <= 3), None)) for i, h in rows]
+
+
+def test_bands_of_a_small_file_of_hashes_are_not_broadcast(spark):
+    rows = alike_hashes(300)
+    hashes = discovery.stored(spark.createDataFrame(rows, "doc_id long, simhash long, n long").drop("n"))
+    got, sent = broadcasts(spark, lambda: text.near_duplicates(hashes).collect())
+    assert {r["doc_id"]: r["near_duplicate_of"] for r in got} == {i: n for i, _, n in rows} and len(got) == 300
+    assert len({n for *_, n in rows}) > 5 and not sent

@@ -116,19 +116,25 @@ def band_keys(simhash: Column) -> Column:
     return F.array(*[F.shiftleft(F.shiftleft(block[x], 11).bitwiseOR(block[y]), 11).bitwiseOR(block[z]) for x, y, z in combinations(range(6), 3)])
 
 
-def near_duplicates(hashes: DataFrame, key: str = "doc_id", distance: int = 3) -> DataFrame:
-    """The first earlier document within the distance (3 at most).
+def linked(hashes: DataFrame, key: str = "doc_id", distance: int = 3) -> DataFrame:
+    """key, simhash, near_duplicate_of: the first earlier document within the distance (3 at most).
 
     Of six blocks of 10 or 11 bits, three agree where 3 bits differ: each choice of three is a key of 31 bits
     or more, so that hundreds of millions of hashes still spread thin. Equal hashes meet once as a group, not in
-    pairs: only distinct hashes are joined.
+    pairs: only distinct hashes are joined. Joins merge: Spark takes the twenty bands of a hash to be no larger than
+    the file of hashes, and would broadcast them through the driver.
     """
     one = hashes.groupBy("simhash").agg(F.min(key).alias("first"))
     bands = one.select("simhash", "first", F.posexplode(band_keys(F.col("simhash"))).alias("band", "part"))
     a, b = bands.alias("a"), bands.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= distance))
+    met = a.hint("merge").join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash"))) <= distance))
     least = met.groupBy(F.col("a.simhash").alias("simhash")).agg(F.min("b.first").alias("m"))
-    return hashes.join(least, "simhash").select(key, F.when(F.col("m") < F.col(key), F.col("m")).alias("near_duplicate_of"))
+    return hashes.hint("merge").join(least, "simhash").select(key, "simhash", F.when(F.col("m") < F.col(key), F.col("m")).alias("near_duplicate_of"))
+
+
+def near_duplicates(hashes: DataFrame, key: str = "doc_id", distance: int = 3) -> DataFrame:
+    """key, near_duplicate_of of each row of hashes."""
+    return linked(hashes, key, distance).drop("simhash")
 
 
 def language(docs: DataFrame, key: str = "doc_id", text: str = "text", profiles: dict[str, list[str]] | None = None) -> DataFrame:
