@@ -202,3 +202,13 @@ def test_bands_of_a_small_file_of_hashes_are_not_broadcast(spark):
     got, sent = broadcasts(spark, lambda: text.near_duplicates(hashes).collect())
     assert {r["doc_id"]: r["near_duplicate_of"] for r in got} == {i: n for i, _, n in rows} and len(got) == 300
     assert len({n for *_, n in rows}) > 5 and not sent
+
+
+def test_days_meet_stored_bands_without_broadcasts(spark, monkeypatch):
+    rows = alike_hashes(303)
+    hashes = spark.createDataFrame(rows, "doc_id long, simhash long, n long").drop("n")
+    monkeypatch.setattr(registry_store, "table", lambda *a: hashes)
+    monkeypatch.setattr(text, "simhash", lambda df: df)
+    got, sent = broadcasts(spark, lambda: registry.queries()["near_dups_by_day"](spark, "").collect())
+    assert {r["doc_id"]: r["near_duplicate_of"] for r in got} == {i: n for i, _, n in rows} and len(got) == 303
+    assert not sent

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import band_keys, near_duplicates
+from tidemark.functions.text import band_keys, linked
 from tidemark.operators.discovery import stored
 
 
@@ -43,14 +43,17 @@ class BandIndex:
         return met.groupBy(F.col("own").alias("simhash")).agg(F.min("first").alias("first"), F.max(F.col("own") == F.col("simhash")).alias("known"))
 
     def link(self, hashes: DataFrame, key: str = "doc_id") -> DataFrame:
-        """key, near_duplicate_of of a day's rows (key, simhash), among themselves and those stored before them; then store them."""
+        """key, near_duplicate_of of a day's rows (key, simhash), among themselves and those stored before them; then store them.
+
+        Joins merge, as in ``linked``: a day's file of hashes may be small, and its rows many.
+        """
         hashes = stored(hashes.select(key, "simhash"))
-        own = near_duplicates(hashes, key)
+        own = linked(hashes, key)
         if not self.exists():
             self.add(hashes, key)
-            return own
+            return own.drop("simhash")
         found = stored(self.earlier(hashes, key))
         before = F.when(F.col("first") < F.col(key), F.least("first", F.coalesce("near_duplicate_of", "first"))).otherwise(F.col("near_duplicate_of"))
-        out = stored(own.join(hashes, key).join(found, "simhash", "left").select(key, before.alias("near_duplicate_of")))
-        self.add(hashes.join(found.where("known"), "simhash", "left_anti"), key)
+        out = stored(own.hint("merge").join(found, "simhash", "left").select(key, before.alias("near_duplicate_of")))
+        self.add(hashes.hint("merge").join(found.where("known"), "simhash", "left_anti"), key)
         return out
