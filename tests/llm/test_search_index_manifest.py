@@ -190,3 +190,17 @@ def test_manifest_odd_rows(spark):
     assert lone["leaf"] == lone["subroot"] == lone["root"] and lone["proof_sha256"] == hashlib.sha256(b"").hexdigest()
     raw = df.limit(1).select("doc_id", "source", "lang", "n_chars", F.expr("cast(X'ff4142' as string)").alias("text"))
     assert merkle.manifest(raw).first()["leaf"] == hashlib.sha256(b"----3:\xffAB").hexdigest()
+
+
+@pytest.mark.parametrize("few", [4096, 1])
+def test_manifest_stores_no_paths(spark, monkeypatch, few):
+    stored, write = [], merkle.materialize
+    monkeypatch.setattr(merkle, "materialize", lambda *a: stored.append(write(*a)) or stored[-1])
+    monkeypatch.setattr(merkle, "FEW", few, raising=False)
+    rows = [(i, ("hot", "warm")[i % 4 == 0], "en", i, f"Text {i}") for i in range(3000)]
+    got = merkle.manifest(spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(manifest_plainly(rows))
+    for df in stored:  # a block's row holds its nodes' digests, not some kB for each
+        size = F.length(F.to_json(F.struct("*")))
+        most, total = df.agg(F.max(size), F.sum(size)).first()
+        assert most < 100_000 and total < 3000 * 400

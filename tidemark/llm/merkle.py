@@ -3,12 +3,13 @@
 A leaf is the hash of a row's fields. Leaves of a source ascend by doc_id; every 16 consecutive nodes become the
 hash of their concatenation, until one node is left. Subroots, by source, do the same.
 
-Levels are strings. A block holds ``BLOCK`` consecutive nodes of a group (two levels, so blocks end where runs
-do) as one string of their digests, 64 characters each; its parents are hashes of substrings of 1,024, joined to
-the next string, and what stands left and right of a node in its run are substrings too. A block's path is thus
-cut from its own two strings. The blocks' roots are nodes of the next round, with a 256th of the rows; rounds end
-when every group is one block. Then a node's path is its block's followed by what the later rounds found for the
-block. No row meets more than a block's other rows, however large the source.
+A block holds ``BLOCK`` consecutive nodes of a group (two levels, so blocks end where runs do), 32 bytes for each
+digest; only the task that works on it has its levels as text: its nodes' digests end to end, 64 characters each, and
+their parents', hashes of 1,024 characters each. What stands left and right of a node in its run is cut from these. The
+blocks' roots are nodes of the next round, with a 256th of the rows; rounds end when every group is one block. Then a
+node's path is what its own block gives, followed by the path of the block's root, which travels once for each block.
+A node's whole path, some kB, is made where its hashes are, and neither stored nor sent. No row meets more than a
+block's other rows, however large the source.
 
 Places are dealt without a window over a source's rows: these are range-partitioned by source, doc_id and leaf (a
 row's own number breaks ties, so that repeated rows are spread out too), and a row's place is its place in its part
@@ -22,6 +23,8 @@ columns play no part. An empty table gives none. Texts are hashed as the bytes t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +34,9 @@ from tidemark.llm.common import lower_ascii, materialize
 FIELDS, RUN, HEX = ("doc_id", "source", "lang", "n_chars", "text"), 16, 64
 #: Nodes of a block: two levels.
 BLOCK = RUN * RUN
-_PATH = "array<struct<l:string,r:string>>"
+#: Sources up to which their paths to the root are broadcast, some kB for each.
+FEW = 4096
+_PATH = "array<struct<l:binary,r:binary>>"
 
 
 def hashed(*parts: Column) -> Column:
@@ -59,10 +64,14 @@ def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     return ranged.join(shifts, ["grp", "part"]).withColumn("place", F.col("at") + F.col("shift")).drop("at", "shift", "part")
 
 
+def _text(digest: Column) -> Column:
+    return F.lower(F.hex(digest))
+
+
 def _runs(level: Column) -> Column:
-    """The parents of a level's nodes, as one string."""
-    count = F.ceil(F.length(level) / F.lit(RUN * HEX)).cast("int")
-    return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.sha2(F.substring(level, i * RUN * HEX + 1, F.lit(RUN * HEX)), 256)), "")
+    """The parents of a level's nodes, as one text."""
+    count = F.ceil(F.octet_length(level) / F.lit(RUN * HEX)).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.sha2(F.substring(level, i * RUN * HEX + 1, F.lit(RUN * HEX)), 256)), "").cast("binary")
 
 
 def _beside(level: Column, i: Column) -> Column:
@@ -72,37 +81,50 @@ def _beside(level: Column, i: Column) -> Column:
     return F.struct(left.alias("l"), F.substring(level, (i + 1) * HEX + 1, (start + RUN - 1 - i) * HEX).alias("r"))
 
 
-def climbed(nodes: DataFrame, name: str, depth: int = 0) -> DataFrame:
-    """Of (grp, place, total, digest, item): grp, top (the group's root), items (item and path of each of a block's nodes).
+def _levels(blocks: DataFrame) -> DataFrame:
+    """blocks with l0 and l1, the text of their nodes and of these's parents, as bytes."""
+    blocks = blocks.withColumn("l0", F.array_join(F.transform("nodes", lambda x: _text(x["digest"])), "").cast("binary"))
+    return blocks.withColumn("l1", F.when(F.col("total") > 1, _runs(F.col("l0"))))
+
 
-    ``item`` is any column to keep; a row holds one block, and ``inline`` it for a row of each node.
+def climbed(nodes: DataFrame, name: str, depth: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Of (grp, place, total, digest, item): the blocks, and grp, block, top (the group's root), rest (the path of the block's root).
+
+    A block has grp, block, total, root and nodes (slot, digest and item of each); ``item`` is any column to keep.
     """
     slot = F.pmod("place", F.lit(BLOCK)).cast("int")
     kept = F.struct(slot.alias("slot"), F.col("digest"), F.col("item"))
     blocks = nodes.groupBy("grp", F.floor(F.col("place") / BLOCK).alias("block")).agg(F.first("total").alias("total"), F.sort_array(F.collect_list(kept)).alias("nodes"))
-    blocks = blocks.withColumn("l0", F.array_join(F.transform("nodes", lambda x: x["digest"]), "")).withColumn("l1", F.when(F.col("total") > 1, _runs(F.col("l0"))))
-    blocks = blocks.withColumn("root", F.when(F.col("total") <= 1, F.col("l0")).when(F.col("total") <= RUN, F.col("l1")).otherwise(F.sha2("l1", 256)))
+    root = F.when(F.col("total") <= 1, F.col("nodes")[0]["digest"]).when(F.col("total") <= RUN, F.unhex(F.col("l1").cast("string"))).otherwise(F.unhex(F.sha2("l1", 256)))
+    blocks = materialize(_levels(blocks).select("grp", "block", "total", root.alias("root"), "nodes"), f"{name}-blocks")
+    none = F.array().cast(_PATH)
+    more = blocks.where(F.col("total") > BLOCK).select("grp", F.col("block").alias("place"), F.ceil(F.col("total") / BLOCK).alias("total"), F.col("root").alias("digest"), F.col("block").alias("item"))
+    if more.isEmpty():
+        return blocks, blocks.select("grp", "block", F.col("root").alias("top"), none.alias("rest"))
+    above = materialize(paths(*climbed(more, f"{name}-{depth + 1}", depth + 1), lambda x, path: F.struct(x["item"].alias("block"), path.alias("rest"))), f"{name}-above")
+    heads = blocks.select("grp", "block", "root").join(above.hint("merge"), ["grp", "block"], "left")
+    return blocks, heads.select("grp", "block", F.coalesce("top", "root").alias("top"), F.coalesce("rest", none).alias("rest"))
 
-    def path(x: Column) -> Column:
+
+def paths(blocks: DataFrame, heads: DataFrame, of: Callable[[Column, Column], Column]) -> DataFrame:
+    """For each node of the blocks, the heads' columns but block and rest, and the fields of ``of(node, its whole path)``.
+
+    The join merges: Spark would size paths by their files, where most of them repeat, and broadcast them.
+    """
+
+    def each(x: Column) -> Column:
         i = x["slot"]
-        up = F.floor(i / RUN).cast("int")
-        both = F.array(_beside(F.col("l0"), i), _beside(F.col("l1"), up))
-        return F.when(F.col("total") <= 1, F.array().cast(_PATH)).when(F.col("total") <= RUN, F.slice(both, 1, 1)).otherwise(both)
+        first = _beside(F.col("l0"), i)
+        own = F.when(F.col("total") <= 1, F.array().cast(_PATH)).when(F.col("total") <= RUN, F.array(first)).otherwise(F.array(first, _beside(F.col("l1"), F.floor(i / RUN).cast("int"))))
+        return F.transform(F.array(F.concat(own, F.col("rest"))), lambda path: of(x, path))[0]
 
-    blocks = materialize(blocks.select("grp", "block", "total", "root", "nodes", "l0", "l1"), f"{name}-blocks")
-    whole = blocks.select("grp", "block", "total", F.transform("nodes", lambda x: F.struct(x["item"].alias("item"), x["digest"].alias("digest"), path(x).alias("path"))).alias("items"), "root")
-    more = blocks.where(F.col("total") > BLOCK).select("grp", F.col("block").alias("place"), F.ceil(F.col("total") / BLOCK).alias("total"), F.col("root").alias("digest"), F.col("block").alias("item"))
-    if more.isEmpty():
-        return whole.select("grp", F.col("root").alias("top"), "items")
-    above = climbed(more, f"{name}-{depth + 1}", depth + 1).select("grp", "top", F.inline("items")).select("grp", F.col("item").alias("block"), "top", F.col("path").alias("rest"))
-    met = whole.join(above, ["grp", "block"], "left")
-    items = F.when(F.col("rest").isNull(), F.col("items")).otherwise(F.transform("items", lambda x: F.struct(x["item"].alias("item"), x["digest"].alias("digest"), F.concat(x["path"], F.col("rest")).alias("path"))))
-    return met.select("grp", F.coalesce("top", "root").alias("top"), items.alias("items"))
+    met = _levels(blocks.select("grp", "block", "total", "nodes").join(heads.hint("merge"), ["grp", "block"]))
+    return met.select(*[c for c in heads.columns if c not in ("block", "rest")], F.inline(F.transform("nodes", each)))
 
 
 def fold(path: Column, leaf: Column) -> Column:
     """The root that a leaf and its siblings give."""
-    return F.aggregate(path, leaf, lambda a, s: F.sha2(F.concat(s["l"], a, s["r"]), 256))
+    return F.aggregate(path, leaf.cast("binary"), lambda a, s: F.sha2(F.concat(s["l"], a, s["r"]), 256).cast("binary")).cast("string")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -112,14 +134,18 @@ def manifest(docs: DataFrame) -> DataFrame:
     # '' is the null source and '=...' any other, so the order of bytes is the order of sources
     grp = F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
     tampers = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    leaves = docs.select(grp.alias("grp"), "doc_id", leaf_of(docs).alias("digest"), F.when(tampers, leaf_of(docs, text=lower_ascii(text))).alias("tampered"))
+    leaves = docs.select(grp.alias("grp"), "doc_id", F.unhex(leaf_of(docs)).alias("digest"), F.when(tampers, F.unhex(leaf_of(docs, text=lower_ascii(text)))).alias("tampered"))
     nodes = placed(leaves, [F.col("doc_id"), F.col("digest")], "manifest")
-    sources = climbed(nodes.select("grp", "place", "total", "digest", F.struct("doc_id", "tampered").alias("item")), "manifest")
-    sources = materialize(sources, "manifest-sources")
-    subroots = sources.select("grp", "top").distinct().select(F.lit(0).alias("grp"), F.col("grp").alias("item"), F.col("top").alias("digest"))
-    tops = climbed(placed(subroots, [F.col("item")], "manifest-top"), "manifest-top").select("top", F.inline("items")).select(F.col("item").alias("grp"), F.col("top").alias("root"), F.col("path").alias("rest"))
-    met = sources.join(tops, "grp").select(F.col("top").alias("subroot"), "root", "rest", F.inline("items"))
-    met = met.select(F.col("item.doc_id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.concat("path", "rest").alias("path"), F.coalesce("item.tampered", "digest").alias("shown"))
-    proof = F.sha2(F.array_join(F.transform("path", lambda s: F.concat(s["l"], s["r"])), ""), 256)
-    out = met.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), fold(F.col("path"), F.col("shown")).alias("folded_root"))
+    blocks, heads = climbed(nodes.select("grp", "place", "total", "digest", F.struct("doc_id", "tampered").alias("item")), "manifest")
+    subroots = heads.where("block = 0").select(F.lit(0).alias("grp"), F.col("grp").alias("item"), F.col("top").alias("digest"))
+    tops = paths(*climbed(placed(subroots, [F.col("item")], "manifest-top"), "manifest-top"), lambda x, path: F.struct(x["item"].alias("source"), path.alias("onward")))
+    tops = materialize(tops.select(F.col("source").alias("grp"), F.col("top").alias("root"), "onward"), "manifest-tops")
+    met = heads.join(F.broadcast(tops) if tops.count() <= FEW else tops.hint("merge"), "grp").select("grp", "block", "top", "root", F.concat("rest", "onward").alias("rest"))
+
+    def proved(x: Column, path: Column) -> Column:
+        proof = F.sha2(F.aggregate(path, F.lit("").cast("binary"), lambda a, s: F.concat(a, s["l"], s["r"])), 256)
+        folded = fold(path, _text(F.coalesce(x["item"]["tampered"], x["digest"])))
+        return F.struct(x["item"]["doc_id"].alias("doc_id"), _text(x["digest"]).alias("leaf"), proof.alias("proof_sha256"), folded.alias("folded_root"))
+
+    out = paths(blocks, met, proved).select("doc_id", "leaf", _text(F.col("top")).alias("subroot"), _text(F.col("root")).alias("root"), "proof_sha256", "folded_root")
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
