@@ -55,5 +55,6 @@ class BandIndex:
         found = stored(self.earlier(hashes, key))
         before = F.when(F.col("first") < F.col(key), F.least("first", F.coalesce("near_duplicate_of", "first"))).otherwise(F.col("near_duplicate_of"))
         out = stored(own.hint("merge").join(found, "simhash", "left").select(key, before.alias("near_duplicate_of")))
-        self.add(hashes.hint("merge").join(found.where("known"), "simhash", "left_anti"), key)
+        one = hashes.groupBy("simhash").agg(F.min(key).alias(key))  # before the join, so that copies of one hash don't meet in a task
+        self.add(one.hint("merge").join(found.where("known"), "simhash", "left_anti"), key)
         return out
